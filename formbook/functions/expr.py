@@ -37,5 +37,17 @@ def nan_to_null(c) -> Column:
 
 
 def r6(c) -> Column:
-    """Six decimals, without a negative zero."""
-    return F.round(col(c), 6) + F.lit(0.0)
+    """Six decimals, half up in plain double arithmetic (the same steps in any engine)."""
+    return F.floor(col(c) * 1000000.0 + 0.5) / F.lit(1000000.0)
+
+
+def correlation(x, y) -> Column:
+    """Aggregate: Pearson correlation of complete pairs, NULL without variation.
+
+    The built-in `corr` divides by zero on constant input under ANSI mode, even
+    behind a guard, since aggregates are evaluated first.
+    """
+    seen = col(x).isNotNull() & col(y).isNotNull()
+    a, b = F.when(seen, col(x).cast("double")), F.when(seen, col(y).cast("double"))
+    varied = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    return F.when(varied, F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))

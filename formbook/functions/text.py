@@ -73,12 +73,12 @@ def classification_flag(c) -> Column:
 
 
 def percent(p) -> Column:
-    """`100%`, `>99.9%`, `<0.1%`, otherwise one decimal."""
+    """`100%`, `>99.9%`, `<0.1%`, otherwise one decimal (half even on the exact binary value)."""
     p = col(p)
     return (F.when(p >= 1.0, F.lit("100%"))
              .when(p >= 0.9995, F.lit(">99.9%"))
              .when(p < 0.0005, F.lit("<0.1%"))
-             .otherwise(F.format_string("%.1f%%", p * 100)))
+             .otherwise(F.concat(F.format_number(p * 100, 1), F.lit("%"))))
 
 
 def finish_label(raw) -> Column:

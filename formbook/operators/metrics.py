@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import CONTEST
-from ..functions.expr import col, ratio
+from ..functions.expr import correlation, ratio
 from .grouping import has_hot_group, ranks, tie_ranks
 from .labels import ensure_labels
 
@@ -40,8 +39,8 @@ def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, out: str,
         split = has_hot_group(pairs, keys)
     pairs = tie_ranks(pairs, keys, a, "_ra", ["driver"], split)
     pairs = tie_ranks(pairs, keys, b, "_rb", ["driver"], split)
-    varied = ((F.count(F.lit(1)) >= 3) & (F.min("_ra") < F.max("_ra")) & (F.min("_rb") < F.max("_rb")))
-    return pairs.groupBy(*keys).agg(F.when(varied, F.corr("_ra", "_rb")).alias(out))
+    enough = F.count(F.lit(1)) >= 3
+    return pairs.groupBy(*keys).agg(F.when(enough, correlation("_ra", "_rb")).alias(out))
 
 
 def contest_metrics(df: DataFrame, score: str, ascending: bool, by: Sequence[str] = (),
@@ -182,11 +181,8 @@ def invariance(df: DataFrame, score: str, ascending: bool, seeds: Sequence[int]
 def outcome_correlations(df: DataFrame, features: Sequence[str], outcome: str,
                          contest: Sequence[str] = CONTEST) -> DataFrame:
     """Correlation of each feature with the outcome, overall and averaged within contests."""
-    # A constant pair has no correlation; both engines get NULL for it.
     def r(f):
-        seen = F.col(f).isNotNull() & F.col(outcome).isNotNull()
-        x, y = F.when(seen, F.col(f)), F.when(seen, F.col(outcome))
-        return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x.cast("double"), y.cast("double")))
+        return correlation(f, outcome)
     whole = df.agg(*[r(f).alias(f) for f in features]).unpivot([], list(features), "feature", "overall")
     per = df.groupBy(*contest).agg(*[r(f).alias(f) for f in features])
     mean = per.agg(*[F.avg(f).alias(f) for f in features]).unpivot([], list(features), "feature", "within")

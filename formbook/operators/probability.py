@@ -246,3 +246,20 @@ def coherence(df: DataFrame, tolerance: float = vocab.COHERENCE_TOLERANCE,
     nested = F.col("rule").isin("win_over_podium", "podium_over_top10")
     off = F.when(nested, F.col("total")).otherwise(F.abs(F.col("total") - F.col("expected")))
     return long.filter(off > tolerance)
+
+
+def select_alpha_spearman(df: DataFrame, score: str, alphas: Sequence[float] = vocab.ALPHA_GRID,
+                          contest: Sequence[str] = CONTEST) -> DataFrame:
+    """Blend weight with the highest mean rank correlation; ties go to the lowest weight."""
+    from .metrics import predicted_rank, spearman
+    placed = ranks(df, contest, {"_g": [("grid_position", "asc"), ("driver", "asc")],
+                                 "_m": [(score, "desc"), ("grid_position", "asc"), ("driver", "asc")]})
+    wide = placed.select(*contest, "driver", "grid_position", "result_order", "_g", "_m",
+                         _candidates(alphas, "alpha", "_i"))
+    wide = wide.withColumn("_b", F.col("alpha") * F.col("_g") + (1 - F.col("alpha")) * F.col("_m"))
+    keys = ["alpha", *contest]
+    ranked = predicted_rank(wide, "_b", True, contest=keys)
+    mean = (spearman(ranked, keys, "pred_rank", "result_order", "_rho").groupBy("alpha")
+            .agg(F.avg("_rho").alias("spearman")))
+    return mean.agg(F.max_by("alpha", F.struct(F.round("spearman", 9), -F.col("alpha"))).alias("alpha"),
+                    F.max("spearman").alias("spearman"))

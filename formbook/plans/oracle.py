@@ -28,12 +28,12 @@ def sql(needs: str, final: str) -> str:
 
 
 def r(*names: str) -> str:
-    """Rounded doubles, each `expr as name` or a plain column name."""
+    """Rounded doubles: `expr as name` items, or plain names (several in one string)."""
     parts = []
     for n in names:
-        for item in (n.split(", ") if " as " not in n else [n]):
-            expr, _, alias = item.partition(" as ")
-            parts.append(f"round(cast({expr} as double), 6) + 0.0 as {alias or expr}")
+        for item in ([n] if " as " in n else n.split(", ")):
+            expr, _, alias = item.rpartition(" as ")
+            parts.append(f"floor(cast({expr or alias} as double) * 1000000.0 + 0.5) / 1000000.0 as {alias}")
     return ", ".join(parts)
 
 

@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _once(spark: SparkSession, sf_dir: str, label: str, build) -> DataFrame:
+def stored(spark: SparkSession, sf_dir: str, label: str, build) -> DataFrame:
     """The derived table of this session, rebuilt if its files are gone."""
     key = (spark.sparkContext.applicationId, sf_dir, label)
     if key in _built:
@@ -106,7 +106,7 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (contest, entity)."""
-    return _once(spark, sf_dir, "entries", lambda: _entries(spark, sf_dir))
+    return stored(spark, sf_dir, "entries", lambda: _entries(spark, sf_dir))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,8 +119,51 @@ def paced_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         pace = race_pace(laps(spark, sf_dir))
         return entries(spark, sf_dir).join(pace, [*K, "driver"], "left")
-    return _once(spark, sf_dir, "paced", build)
+    return stored(spark, sf_dir, "paced", build)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
+
+
+def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat forecast rows of every contest, from the known order alone.
+
+    Made six hours before the first of the month, or a day after it when the
+    contest number is a multiple of 5 (a late forecast).
+    """
+    return stored(spark, sf_dir, "forecasts", lambda: _forecasts(spark, sf_dir))
+
+
+def _forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.probability import softmax
+    rows = entries(spark, sf_dir).select(*K, "date", "driver", "team", "grid_position", "pit_start")
+    rows = softmax(rows.withColumn("_u", -F.col("grid_position")), "_u", 10.0)
+    rows = ranks(rows, K, {"pred_finish_rank": [("grid_position", "asc"), ("driver", "desc")]})
+    late = (F.col("year") * 12 + F.col("round")) % 5 == 0
+    start = F.col("date").cast("timestamp_ntz")
+    made = F.when(late, start + F.expr("interval 24 hours")).otherwise(start - F.expr("interval 6 hours"))
+    return rows.select(
+        *K, "date", F.concat(F.lit("Contest "), F.col("round").cast("string")).alias("event_name"),
+        made.alias("created_utc"), F.lit(vocab.PROVISIONAL).alias("grid_status"), "pred_finish_rank",
+        "driver", "team", "grid_position", "pit_start", "p_win",
+        F.least(F.lit(1.0), 3 * F.col("p_win")).alias("p_podium"),
+        F.least(F.lit(1.0), 10 * F.col("p_win")).alias("p_top10"))
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that have arrived: every labelled contest but those of the last year."""
+    rows = labelled(spark, sf_dir)
+    last = rows.agg(F.max("year").alias("_last"))
+    return rows.crossJoin(F.broadcast(last)).filter(F.col("year") < F.col("_last")).drop("_last")
+
+
+def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calendar of contests: every month of shipping, testing months marked."""
+    months = (table(spark, sf_dir, "lineitem")
+              .select(F.trunc("l_shipdate", "month").alias("date")).distinct())
+    start = F.col("date").cast("timestamp_ntz")
+    return months.select(
+        F.year("date").alias("year"), F.month("date").alias("round"), "date", start.alias("start_utc"),
+        F.concat(F.lit("Venue #"), F.month("date").cast("string"), F.lit("!")).alias("location"),
+        F.when(F.month("date") == 2, "testing").otherwise("conventional").alias("format"))
