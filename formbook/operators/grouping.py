@@ -40,6 +40,17 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], calendar: boo
     return rows.join(table, list(keys), "left")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over the full shuffle width before they are multiplied.
+
+    A small input sits in few partitions; an expansion by draws or candidates
+    would then run in few tasks. The partition count is explicit, so adaptive
+    coalescing (which sees only the small input) leaves it alone.
+    """
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(width, *keys)
+
+
 def group_totals(rows: DataFrame, keys: Sequence[str], totals: Mapping[str, Column],
                  calendar: bool = False, salts: int = 1) -> DataFrame:
     """Attach aggregates of each group to its rows."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import CONTEST
 from ..functions import draws, vocab
 from ..functions.expr import col, ratio
-from .grouping import attach, group_totals, has_hot_group, ranks, top_k
+from .grouping import attach, group_totals, ranks, spread, top_k
 
 K = list(CONTEST)
 
@@ -124,7 +124,8 @@ def temperature_losses(df: DataFrame, score: str, by: Sequence[str] = (),
     grid = temperature_grid() if grid is None else grid
     group = [*by, *contest]
     top = df.groupBy(*group).agg(F.max(score).alias("_top"), F.max("is_winner").alias("_w"))
-    shifted = attach(df, top, group, calendar=True).filter(F.col("_w") == 1).select(
+    scored = attach(df, top, group, calendar=True).filter(F.col("_w") == 1)
+    shifted = spread(scored, *group, "driver").select(
         *group, "is_winner", (F.col(score) - F.col("_top")).alias("_d"),
         _candidates(grid, "temperature", "t_index"))
     e = F.exp(F.col("_d") / F.col("temperature"))
@@ -150,7 +151,7 @@ def weight_losses(df: DataFrame, base: str, heads: tuple[str, str], by: Sequence
     pairs = [(a, b) for a in weights for b in weights]
     items = F.array(*[F.struct(F.lit(i).alias("w_index"), F.lit(float(a)).alias("w_win"),
                                F.lit(float(b)).alias("w_pod")) for i, (a, b) in enumerate(pairs)])
-    wide = df.select(*by, *contest, "is_winner", base, *heads, F.inline(items)).withColumn(
+    wide = df.select(*by, *contest, "driver", "is_winner", base, *heads, F.inline(items)).withColumn(
         "_u", F.col(base) + F.col("w_win") * F.col(heads[0]) + F.col("w_pod") * F.col(heads[1]))
     losses = temperature_losses(wide, "_u", [*by, "w_index", "w_win", "w_pod"], grid, contest)
     return fit_temperature(losses, [*by, "w_index", "w_win", "w_pod"])
@@ -172,7 +173,7 @@ def plackett_luce(df: DataFrame, score: str, temperature: float, n_draws: int =
     from every task, however large the field is.
     """
     rows = softmax(df, score, temperature, contest=contest)
-    noisy = rows.select(*contest, "driver", score, F.explode(F.sequence(F.lit(1), F.lit(n_draws))).alias("draw"))
+    noisy = spread(rows, *contest, "driver").select(*contest, "driver", score, F.explode(F.sequence(F.lit(1), F.lit(n_draws))).alias("draw"))
     noise = draws.gumbel(seed, F.col("draw"), *[F.col(c) for c in contest], F.col("driver"))
     noisy = noisy.select(*contest, "driver", "draw", (F.col(score) / F.lit(float(temperature)) + noise).alias("_g"))
     first = top_k(noisy, [*contest, "draw"], [("_g", "desc"), ("driver", "asc")], 10)
@@ -206,7 +207,7 @@ def exact_podium(df: DataFrame, p="p_win", out="p_podium_exact", contest: Sequen
     time point replace all pairs and triples: cost grows with rows, not cubes.
     """
     nodes = F.inline(F.array(*[F.struct(F.lit(t).alias("_t"), F.lit(w).alias("_w")) for t, w in _nodes()]))
-    rows = df.select(*contest, "driver", F.col(p).alias("_p"))
+    rows = spread(df.select(*contest, "driver", F.col(p).alias("_p")), *contest, "driver")
     odds = F.expm1(F.col("_p") * F.col("_t"))
     wide = rows.select("*", nodes).withColumn("_o", odds)
     sums = wide.groupBy(*contest, "_t").agg(F.sum("_o").alias("_e1"), F.sum(F.col("_o") * F.col("_o")).alias("_s2"))

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import CONTEST
 from ..functions import draws, vocab
 from ..functions.expr import ratio
+from .grouping import spread
 
 K = list(CONTEST)
 
@@ -38,16 +39,24 @@ def bootstrap(differences: DataFrame, by: Sequence[str] = ("metric",), n: int =
     slots = differences.withColumn("slot", F.row_number().over(order) - 1)
     sizes = differences.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
                                          F.avg("difference").alias("mean_difference"))
-    picks = (slots.select(*by, "slot").join(F.broadcast(sizes.select(*by, "_n")), by)
-             .select(*by, "_n", "slot", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rep"))
-             .select(*by, "rep", draws.draw_index("_n", seed, F.col("rep"), F.col("slot")).alias("slot")))
+    picks = _resample(slots.select(*by, "slot").join(F.broadcast(sizes.select(*by, "_n")), by), by, n, seed)
     means = (picks.join(F.broadcast(slots.select(*by, "slot", "difference")), [*by, "slot"])
-             .groupBy(*by, "rep").agg(F.avg("difference").alias("m")))
+             .groupBy("_block", *by, "rep").agg(F.avg("difference").alias("m")))
     return _interval(means, by, confidence).join(sizes, by).select(
         *by, F.col("_n").alias("n_contests"), "mean_difference", "ci_low", "ci_high",
         ((F.col("ci_low") > 0) | (F.col("ci_high") < 0)).alias("resolves"))
 
 
+def _resample(slots: DataFrame, by: list[str], n: int, seed: int, block: int = 50) -> DataFrame:
+    """One drawn slot per (replicate, slot). Blocks of replicates spread over the tasks,
+    and a replicate stays within its block, so its mean needs no further shuffle."""
+    blocks = slots.select("*", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // block))).alias("_block"))
+    first = F.col("_block") * block + 1
+    reps = F.sequence(first, F.least(first + block - 1, F.lit(n)))
+    return (spread(blocks, "_block").select("_block", *by, "_n", "slot", F.explode(reps).alias("rep"))
+            .select("_block", *by, "rep", draws.draw_index("_n", seed, F.col("rep"), F.col("slot")).alias("slot")))
+
+
 def _interval(means: DataFrame, by: list[str], confidence: float) -> DataFrame:
     tail = (1.0 - confidence) / 2.0
     return means.groupBy(*by).agg(F.percentile("m", F.lit(tail)).alias("ci_low"),
@@ -62,11 +71,9 @@ def cluster_bootstrap(differences: DataFrame, cluster="year", by: Sequence[str]
     per = differences.groupBy(*by, cluster).agg(F.sum("difference").alias("s"), F.count(F.lit(1)).alias("c"))
     slots = per.withColumn("slot", F.row_number().over(Window.partitionBy(*by).orderBy(cluster)) - 1)
     sizes = slots.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    picks = (slots.select(*by, "slot").join(F.broadcast(sizes), by)
-             .select(*by, "_n", "slot", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rep"))
-             .select(*by, "rep", draws.draw_index("_n", seed, F.col("rep"), F.col("slot")).alias("slot")))
+    picks = _resample(slots.select(*by, "slot").join(F.broadcast(sizes), by), by, n, seed)
     means = (picks.join(F.broadcast(slots.select(*by, "slot", "s", "c")), [*by, "slot"])
-             .groupBy(*by, "rep").agg((F.sum("s") / F.sum("c")).alias("m")))
+             .groupBy("_block", *by, "rep").agg((F.sum("s") / F.sum("c")).alias("m")))
     mean = differences.groupBy(*by).agg(F.avg("difference").alias("mean_difference"))
     return _interval(means, by, confidence).join(sizes, by).join(mean, by).select(
         *by, F.col("_n").alias("n_clusters"), "mean_difference", "ci_low", "ci_high")

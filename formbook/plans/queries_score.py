@@ -11,7 +11,7 @@ from ..sources import league
 from ..sources.league import K, entries, labelled
 from .oracle import part, r, sql
 from .registry import out, query
-from .tables import scored_entries
+from .tables import probability_table, scored_entries
 
 ID = [*K, "driver"]
 IDS = "year, round, driver"
@@ -169,7 +169,7 @@ part("withpl", ("soft", "pl_share"), "select s.*, p_podium, p_top10 from soft s
 @query("prob10_podium_brier",
        sql("withpl", f"select {r('avg(b) as podium_brier')} from (select avg((p_podium - is_podium) * (p_podium - is_podium)) as b from withpl group by year, round)"))
 def _(spark, sf):
-    return out(probability.podium_briers(model_probabilities(spark, sf)).agg(F.avg("podium_brier").alias("podium_brier")))
+    return out(probability.podium_briers(probability_table(spark, sf, DRAWS)).agg(F.avg("podium_brier").alias("podium_brier")))
 
 
 _BENT = "select year, round, driver, p_win * 1.1 as p_win, p_podium, case when driver % 9 = 0 then p_podium / 2 else p_top10 end as p_top10 from withpl"
@@ -184,7 +184,7 @@ _BENT = "select year, round, driver, p_win * 1.1 as p_win, p_podium, case when d
            union all select year, round, 'win_over_podium', {r('x as total', '0.0 as expected')} from t where x > 0.02
            union all select year, round, 'podium_over_top10', {r('y as total', '0.0 as expected')} from t where y > 0.02""").replace(")\n,", "),"))
 def _(spark, sf):
-    df = model_probabilities(spark, sf).withColumns({
+    df = probability_table(spark, sf, DRAWS).withColumns({
         "p_win": F.col("p_win") * 1.1,
         "p_top10": F.when(F.col("driver") % 9 == 0, F.col("p_podium") / 2).otherwise(F.col("p_top10"))})
     return out(probability.coherence(df))
@@ -432,7 +432,7 @@ _PG = [("log_loss_beats_grid", "l", "0", "l < 0"), ("podium_brier_guard", "b", "
            f"select '{g}' as gate, {v} as value, {t} as threshold, {c} as passed from agg" for g, v, t, c in _PG)
            + ")").replace("\nselect gate", ", agg as (select avg(lm - lg) as l, avg(bm - bg) as b, (select sum(k) from broken) as k, avg(lm) - avg(lu) as u from losses)\nselect gate"))
 def _(spark, sf):
-    df = grid_probabilities(spark, sf, model_probabilities(spark, sf))
+    df = probability_table(spark, sf, DRAWS)
     return out(gates.probability_gates(df, n=REPLICATES))
 
 

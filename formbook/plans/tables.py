@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features, folds
 from ..operators.labels import derive_labels, relevance
-from ..operators.probability import blend
+from ..operators.probability import blend, plackett_luce
 from ..sources.league import labelled, paced_entries, stored
 
 
@@ -35,3 +35,14 @@ def scored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
             "p_top10_clf": 1.0 / (1.0 + F.exp(finish / 20.0 - 1.0))})
         return blend(rows, "rank_score", 0.5)
     return stored(spark, sf_dir, "predictions", build)
+
+
+def probability_table(spark: SparkSession, sf_dir: str, n_draws: int) -> DataFrame:
+    """Exported predictions with model and known-order probabilities."""
+    def build():
+        rows = plackett_luce(scored_entries(spark, sf_dir), "rank_score", 8.0, n_draws)
+        order = scored_entries(spark, sf_dir).select("year", "round", "driver", (-F.col("grid_position")).alias("_u"))
+        order = plackett_luce(order, "_u", 10.0, n_draws)
+        return rows.join(order.select("year", "round", "driver", F.col("p_win").alias("p_win_grid"),
+                                      F.col("p_podium").alias("p_podium_grid")), ["year", "round", "driver"])
+    return stored(spark, sf_dir, f"probabilities{n_draws}", build)
