@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -30,20 +33,32 @@ BUNDLE_VERSION, POLICY_VERSION = 1, 2
 # becomes a constant plus an indicator.
 INDICATED = tuple(c for c in FEATURE_COLS if c in NATIVE_MISSING)
 INPUTS = (*FEATURE_COLS, *[f"{c}_missing" for c in INDICATED])
+FILLED = tuple(f"in_{c}" for c in INPUTS)
 
 # Search grid: tree depth stands for 7 / 15 / 31 leaves, then minimum rows per leaf.
 SEARCH = tuple({"maxDepth": d, "minInstancesPerNode": n} for d in (3, 4, 5) for n in (20, 40, 80))
 
 
+def _together(*tasks, width: int = 4) -> list:
+    """Independent fits submitted side by side: small jobs fill each other's gaps."""
+    with ThreadPoolExecutor(width) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+
+
 def inputs(df: DataFrame) -> DataFrame:
-    """Model inputs as doubles without NULLs, ids and labels kept."""
-    marks = {f"{c}_missing": flag(F.col(c).isNull()).cast("double") for c in INDICATED}
-    values = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATURE_COLS}
-    return df.withColumns(marks).withColumns(values)
+    """Add the model inputs (`in_*`): doubles without NULLs, next to the untouched columns."""
+    values = {f"in_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATURE_COLS}
+    marks = {f"in_{c}_missing": flag(F.col(c).isNull()).cast("double") for c in INDICATED}
+    return df.withColumns({**values, **marks})
 
 
 def _assembler() -> VectorAssembler:
-    return VectorAssembler(inputCols=list(INPUTS), outputCol="features", handleInvalid="keep")
+    return VectorAssembler(inputCols=list(FILLED), outputCol="features", handleInvalid="keep")
+
+
+def _score(model: PipelineModel, df: DataFrame, value, out: str) -> DataFrame:
+    """Rows with one model output added."""
+    return model.transform(inputs(df)).select(*df.columns, value().alias(out))
 
 
 def fit_classifier(train: DataFrame, val: DataFrame, label: str, balanced: bool = False,
@@ -59,15 +74,12 @@ def fit_classifier(train: DataFrame, val: DataFrame, label: str, balanced: bool
         weight = F.when(F.col("_label") == 1, F.col("_share") ** -1).otherwise((1 - F.col("_share")) ** -1)
         both = both.crossJoin(F.broadcast(share)).withColumn("_weight", weight)
         gbt = gbt.setWeightCol("_weight")
-    return Pipeline(stages=[_assembler(), gbt]).fit(both.select("_label", "_is_val", *INPUTS, *(["_weight"] if balanced else [])))
+    return Pipeline(stages=[_assembler(), gbt]).fit(both.select("_label", "_is_val", *FILLED, *(["_weight"] if balanced else [])))
 
 
 def with_probability(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
     """Positive-class probability of a fitted classifier."""
-    keep = [F.col(c) for c in df.columns]
-    packed = inputs(df.select("*", F.struct(*keep).alias("_row")))
-    scored = model.transform(packed)
-    return scored.select("_row.*", vector_to_array("probability")[1].alias(out))
+    return _score(model, df, lambda: vector_to_array("probability")[1], out)
 
 
 def comparison_pairs(df: DataFrame, offsets: Sequence[int] = (1, 2, 4, 8, 16)) -> DataFrame:
@@ -78,21 +90,21 @@ def comparison_pairs(df: DataFrame, offsets: Sequence[int] = (1, 2, 4, 8, 16)) -
     """
     keep = df.filter(F.col("officially_classified") == 1)
     placed = ranks(keep, K, {"_place": [("result_order", "asc"), ("driver", "asc")]})
-    placed = materialise(inputs(placed).select(*K, "_place", *INPUTS), "places")
-    lower = placed.select(*K, F.col("_place"), *[F.col(c).alias(f"_b_{c}") for c in INPUTS])
+    placed = materialise(inputs(placed).select(*K, "_place", *FILLED), "places")
+    lower = placed.select(*K, F.col("_place"), *[F.col(c).alias(f"_b_{c}") for c in FILLED])
     upper = placed.withColumn("_offset", F.explode(F.array(*[F.lit(o) for o in offsets])))
     upper = upper.withColumn("_at", F.col("_place") + F.col("_offset")).drop("_place")
     joined = upper.join(lower.withColumnRenamed("_place", "_at"), [*K, "_at"])
-    return joined.select(*K, "_at", "_offset", *[(F.col(c) - F.col(f"_b_{c}")).alias(c) for c in INPUTS])
+    return joined.select(*K, "_at", "_offset", *[(F.col(c) - F.col(f"_b_{c}")).alias(c) for c in FILLED])
 
 
-def fit_ranker(train: DataFrame, reg: float = 0.01, max_iter: int = 50) -> PipelineModel:
+def fit_ranker(train: DataFrame, reg: float = 0.01, max_iter: int = 20) -> PipelineModel:
     """Pairwise logistic ranker: which of two entries finishes ahead."""
     pairs = comparison_pairs(train)
     # Mirror half of the pairs by a row hash, so both labels occur equally often.
     turn = F.when(F.pmod(F.xxhash64(*K, "_at", "_offset"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
     pairs = pairs.withColumn("_turn", turn).select(
-        ((F.col("_turn") + 1) / 2).alias("_label"), *[(F.col(c) * F.col("_turn")).alias(c) for c in INPUTS])
+        ((F.col("_turn") + 1) / 2).alias("_label"), *[(F.col(c) * F.col("_turn")).alias(c) for c in FILLED])
     stages = [_assembler(), StandardScaler(inputCol="features", outputCol="scaled", withMean=False),
               LogisticRegression(labelCol="_label", featuresCol="scaled", fitIntercept=False,
                                  regParam=reg, maxIter=max_iter)]
@@ -101,9 +113,7 @@ def fit_ranker(train: DataFrame, reg: float = 0.01, max_iter: int = 50) -> Pipel
 
 def with_rank_score(model: PipelineModel, df: DataFrame, out="rank_score") -> DataFrame:
     """Linear score of the pairwise ranker; higher finishes ahead."""
-    keep = [F.col(c) for c in df.columns]
-    scored = model.transform(inputs(df.select("*", F.struct(*keep).alias("_row"))))
-    return scored.select("_row.*", vector_to_array("rawPrediction")[1].alias(out))
+    return _score(model, df, lambda: vector_to_array("rawPrediction")[1], out)
 
 
 def fit_grade_ranker(train: DataFrame, max_iter: int = 20, **params) -> PipelineModel:
@@ -111,23 +121,22 @@ def fit_grade_ranker(train: DataFrame, max_iter: int = 20, **params) -> Pipeline
     rows = inputs(train).withColumn("_grade", F.col("relevance") / F.col("field_size"))
     gbt = GBTRegressor(labelCol="_grade", featuresCol="features", maxIter=max_iter, seed=vocab.SEED,
                        **{"maxDepth": 3, "stepSize": 0.1, **params})
-    return Pipeline(stages=[_assembler(), gbt]).fit(rows.select("_grade", *INPUTS))
+    return Pipeline(stages=[_assembler(), gbt]).fit(rows.select("_grade", *FILLED))
 
 
 def with_grade(model: PipelineModel, df: DataFrame, out="rank_score") -> DataFrame:
-    keep = [F.col(c) for c in df.columns]
-    scored = model.transform(inputs(df.select("*", F.struct(*keep).alias("_row"))))
-    return scored.select("_row.*", F.col("prediction").alias(out))
+    return _score(model, df, lambda: F.col("prediction"), out)
 
 
 def search(train: DataFrame, val: DataFrame, grid: Sequence[dict] = SEARCH, max_iter: int = 20) -> DataFrame:
     """Validation NDCG@3 of each configuration; ties go to the first (smallest) one."""
-    rows = []
-    for i, params in enumerate(grid):
+    def one(i, params):
         model = fit_grade_ranker(train, max_iter, **params)
-        scored = further_metrics(with_grade(model, val), "rank_score", False)
+        scored = further_metrics(materialise(with_grade(model, val), "search"), "rank_score", False)
         score = scored.agg(F.avg("ndcg_3").alias("s")).first()["s"]
-        rows.append((i, params["maxDepth"], params["minInstancesPerNode"], score))
+        return i, params["maxDepth"], params["minInstancesPerNode"], score
+
+    rows = _together(*[lambda i=i, p=p: one(i, p) for i, p in enumerate(grid)])
     table = val.sparkSession.createDataFrame(rows, "config int, max_depth int, min_rows int, ndcg_3 double")
     best = table.agg(F.max_by("config", F.struct("ndcg_3", -F.col("config"))).alias("_best"))
     return table.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("config") == F.col("_best")).drop("_best")
@@ -150,18 +159,23 @@ def fit_fold(prefill: DataFrame, table: DataFrame, fold: str, n_draws: int = 200
     policy = impute.fit(part[folds.TRAIN])
     train, val, test = (materialise(impute.transform(part[r], policy), f"fold-{r}")
                         for r in (folds.TRAIN, folds.VAL, folds.TEST))
-    clf = fit_classifier(train, val, "finished_top10", max_iter=max_iter)
-    ranker = fit_ranker(train)
-    heads = {h: fit_classifier(train, val, t, balanced=True, max_iter=max_iter)
-             for h, t in (("winner_head", "is_winner"), ("podium_head", "is_podium"))}
+    clf, ranker, *fitted = _together(
+        lambda: fit_classifier(train, val, "finished_top10", max_iter=max_iter),
+        lambda: fit_ranker(train),
+        lambda: fit_classifier(train, val, "is_winner", balanced=True, max_iter=max_iter),
+        lambda: fit_classifier(train, val, "is_podium", balanced=True, max_iter=max_iter))
+    heads = dict(zip(("winner_head", "podium_head"), fitted))
 
     def scored(df):
         df = with_rank_score(ranker, with_probability(clf, df, "p_top10_clf"))
         for h, m in heads.items():
-            df = with_probability(m, df, f"_p_{h}").withColumn(h, probability.log_odds(f"_p_{h}")).drop(f"_p_{h}")
+            df = with_probability(m, df, f"_p_{h}")
+        # Written before use: an expression over a model output would run the model once per mention.
+        df = materialise(df, "fold-scored")
+        df = df.withColumns({h: probability.log_odds(f"_p_{h}") for h in heads})
         return probability.standardise(df, ["rank_score", "winner_head", "podium_head"])
 
-    val, test = (materialise(scored(x), "fold-scored") for x in (val, test))
+    val, test = scored(val), scored(test)
     alpha = probability.select_alpha(probability.alpha_table(val, "rank_score")).first()["alpha"]
     weights = probability.select_weights(probability.weight_losses(
         val, "rank_score_z", ("winner_head_z", "podium_head_z"))).first()
@@ -182,13 +196,11 @@ def fit_fold(prefill: DataFrame, table: DataFrame, fold: str, n_draws: int = 200
 
 
 def run_folds(prefill: DataFrame, table: DataFrame, n_draws: int = 200, max_iter: int = 20) -> DataFrame:
-    """`fit_fold` over every fold (a handful); each part is written before the next starts."""
+    """`fit_fold` over every fold (a handful, a few at a time); each part is written when done."""
     names = [r["fold"] for r in table.select("fold").distinct().orderBy("fold").collect()]
-    out = None
-    for name in names:
-        one = materialise(fit_fold(prefill, table, name, n_draws, max_iter), f"predictions-{name}")
-        out = one if out is None else out.unionByName(one)
-    return out
+    parts = _together(*[lambda n=n: materialise(fit_fold(prefill, table, n, n_draws, max_iter), "predictions")
+                        for n in names])
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- bundles -------------------------------------------------------------------------
@@ -258,10 +270,11 @@ def forecast(upcoming: DataFrame, bundle: tuple[PipelineModel, DataFrame, DataFr
     """
     ranker, policy, manifest = bundle
     one = manifest.first()
+    upcoming = materialise(upcoming, "upcoming")
     early = upcoming.filter(F.col("date").cast("timestamp") <= F.lit(one["training_cutoff_utc"]))
     if not early.isEmpty():
         raise ValueError("a bundle may only score contests after its training cutoff")
-    rows = with_rank_score(ranker, impute.transform(upcoming, policy))
+    rows = materialise(with_rank_score(ranker, impute.transform(upcoming, policy)), "forecast")
     rows = probability.blend(rows, "rank_score", one["alpha"])
     rows = probability.plackett_luce(rows, "rank_score", one["temperature"], n_draws)
     rows = predicted_rank(rows, "blend_score", True, "pred_finish_rank")

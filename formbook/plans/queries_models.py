@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..operators import features, folds, grid, impute, models
-from ..session import shared_dir
+from ..session import materialise, shared_dir
 from ..sources.league import K, paced_entries, stored
 from .oracle import part, r, sql
 from .queries_base import next_contest
@@ -50,7 +50,7 @@ part("cls", ("labelled",), """select year, round, driver, grid_position, row_num
 def _(spark, sf):
     train, _, _ = _parts(spark, sf)
     return out(models.comparison_pairs(train), *K, F.col("_at").alias("at_place"), F.col("_offset").alias("offset_places"),
-               F.col("grid_position").alias("grid_gap"))
+               F.col("in_grid_position").alias("grid_gap"))
 
 
 @query("ml2_grade_challenger")
@@ -65,7 +65,8 @@ def _(spark, sf):
     train, val, test = _parts(spark, sf)
     for head, label in (("winner_head", "is_winner"), ("podium_head", "is_podium")):
         model = models.fit_classifier(train, val, label, balanced=True, max_iter=ITER)
-        test = models.with_probability(model, test, "_p").withColumn(head, log_odds("_p")).drop("_p")
+        test = models.with_probability(model, test, head)
+    test = materialise(test, "heads").withColumns({h: log_odds(h) for h in ("winner_head", "podium_head")})
     return out(test, *ID, "winner_head", "podium_head")
 
 
