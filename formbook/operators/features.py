@@ -85,9 +85,10 @@ def build(df: DataFrame, *families: Family) -> DataFrame:
 
     contest, quantiles = _merged(families, "contest"), _merged(families, "quantiles")
     if contest or quantiles:
-        one = base.groupBy(*K).agg(*[c.alias(n) for n, c in contest.items()])
         if quantiles:
-            one = one.join(group_quantiles(base, K, quantiles), K)
+            one = group_quantiles(base, K, quantiles, contest)
+        else:
+            one = base.groupBy(*K).agg(*[c.alias(n) for n, c in contest.items()])
         joined = attach(joined, one, K, calendar=True)
 
     outputs = [o for f in families for o in f.outputs]

@@ -137,14 +137,18 @@ def top_k(rows: DataFrame, keys: Sequence[str], order: Sequence[Order], k: int,
 
 
 def group_quantiles(rows: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]],
-                    split: bool | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles, one row per group; NULLs are skipped."""
+                    extra: Mapping[str, Column] | None = None, split: bool | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles, one row per group; NULLs are skipped.
+
+    `extra` aggregates of the same groups share the pass over the rows.
+    """
+    others = [c.alias(n) for n, c in (extra or {}).items()]
     if split is None:
         split = has_hot_group(rows, keys)
     if not split:
         return rows.groupBy(*keys).agg(
-            *[F.percentile(value, F.lit(q)).alias(out) for out, (value, q) in wanted.items()])
-    result = rows.select(*keys).distinct()
+            *[F.percentile(value, F.lit(q)).alias(out) for out, (value, q) in wanted.items()], *others)
+    result = rows.groupBy(*keys).agg(*others) if others else rows.select(*keys).distinct()
     for value in dict.fromkeys(v for v, _ in wanted.values()):
         have = rows.select(*keys, value).filter(col(value).isNotNull())
         placed = _split_rank(have, keys, [(value, "asc")], "_place")

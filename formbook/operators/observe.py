@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import CONTEST
 from ..functions import vocab
 from ..functions.expr import col, ratio
-from .grouping import attach, group_quantiles, has_hot_group, ranks
+from ..session import hot_group_rows, materialise
+from .grouping import attach, group_quantiles
 
 
 def clean(laps: DataFrame) -> DataFrame:
@@ -32,10 +33,9 @@ def race_pace(laps: DataFrame, contest: Sequence[str] = CONTEST, entity="driver"
     """Median clean pace per entity against the median of medians, spread and count."""
     keys = [*contest, entity]
     good = clean(laps).select(*keys, "secs")
-    sizes = good.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("race_pace_laps"),
-                                    F.stddev_samp("secs").alias("_sd"))
-    mid = group_quantiles(good, keys, {"_mid": ("secs", 0.5)})
-    per = _against_field(mid.join(sizes, keys), "_mid", contest)
+    mid = group_quantiles(good, keys, {"_mid": ("secs", 0.5)}, {
+        "race_pace_laps": F.count(F.lit(1)).cast("double"), "_sd": F.stddev_samp("secs")})
+    per = _against_field(mid, "_mid", contest)
     return per.select(*keys, (100.0 * (F.col("_mid") / F.col("_field") - 1.0)).alias("race_pace_pct"),
                       "race_pace_laps", (100.0 * ratio("_sd", "_mid")).alias("race_pace_sd_pct"))
 
@@ -53,9 +53,12 @@ def long_runs(laps: DataFrame, contest: Sequence[str] = CONTEST, entity="driver"
             .agg(F.count(F.lit(1)).cast("int").alias("laps"), F.stddev_samp("secs").alias("sd_s"),
                  slope.alias("deg_slope"))
             .filter(F.col("laps") >= min_laps))
-    # Only the laps of qualifying runs go on to the median.
-    kept = good.join(runs.select(*keys), keys, "left_semi")
-    return runs.join(group_quantiles(kept, keys, {"median_s": ("secs", 0.5)}), keys)
+    # Few groups are long enough: their keys are written once, serve as the size
+    # check, and cut the laps down before the median sorts anything.
+    runs = materialise(runs, "runs")
+    hot = not runs.filter(F.col("laps") > hot_group_rows(laps.sparkSession)).isEmpty()
+    kept = good.select(*keys, "secs").join(runs.select(*keys), keys, "left_semi")
+    return runs.join(group_quantiles(kept, keys, {"median_s": ("secs", 0.5)}, split=hot), keys)
 
 
 def best_runs(runs: DataFrame, contest: Sequence[str] = CONTEST, entity="driver") -> DataFrame:

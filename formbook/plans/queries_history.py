@@ -312,7 +312,10 @@ def _(spark, sf):
              union all select 'grid', l.*, row_number() over (partition by year, round order by grid_position, driver) as pr
              from labelled l) s group by 1, 2, 3) where w = 1 group by 1"""))
 def _(spark, sf):
-    df = features.recent_form(labelled(spark, sf))
-    per = metrics.orderings_metrics(df, {"form": ("form_avg_finish_3", True), "grid": ("grid_position", True)})
-    return out(per.filter(F.col("winner_accuracy").isNotNull()).groupBy("method").agg(
-        F.count(F.lit(1)).alias("n_contests"), F.avg("winner_accuracy").alias("winner_accuracy")))
+    df = features.recent_form(labelled(spark, sf)).select(*ID, "is_winner", "grid_position", "form_avg_finish_3")
+    long = metrics.stack_orderings(df, {"form": ("form_avg_finish_3", True), "grid": ("grid_position", True)})
+    # Only the first pick matters, so map tasks keep one row per contest and method.
+    picks = top_k(long, ["method", *K], [("_score", "asc"), ("grid_position", "asc"), ("driver", "asc")], 1)
+    won = df.groupBy(*K).agg(F.max("is_winner").alias("_w")).filter(F.col("_w") == 1)
+    return out(picks.join(F.broadcast(won.select(*K)), K, "left_semi").groupBy("method").agg(
+        F.count(F.lit(1)).alias("n_contests"), F.avg("is_winner").alias("winner_accuracy")))
