@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import CONTEST
 from ..functions.expr import col
 from ..functions.text import event_id
+from .grouping import with_row
 
 TRAIN, VAL, TEST = "train", "val", "test"
 K = list(CONTEST)
@@ -30,12 +31,12 @@ def chronological_split(df: DataFrame) -> DataFrame:
     """`partition` per row. An empty part is an error when the label is read."""
     years = df.groupBy("year").agg(F.count(F.lit(1)).alias("_n"))
     latest = years.agg(F.max("year").alias("_latest"))
-    parts = years.crossJoin(F.broadcast(latest)).agg(
+    parts = with_row(years, latest).agg(
         F.max("_latest").alias("_latest"),
         F.count_distinct(split_label("year", "_latest")).alias("_parts"))
     label = F.when(F.col("_parts") == 3, split_label("year", "_latest")).otherwise(
         F.raise_error(F.lit("chronological split needs three parts of data")).cast("string"))
-    return (df.crossJoin(F.broadcast(parts)).withColumn("partition", label).drop("_latest", "_parts"))
+    return (with_row(df, parts).withColumn("partition", label).drop("_latest", "_parts"))
 
 
 def season_folds(df: DataFrame, min_train: int = 2, train_from: int | None = None) -> DataFrame:

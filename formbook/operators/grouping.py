@@ -40,6 +40,11 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], calendar: boo
     return rows.join(table, list(keys), "left")
 
 
+def with_row(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row table: an aggregate without keys, so never a product."""
+    return rows.crossJoin(F.broadcast(one))
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over the full shuffle width before they are multiplied.
 

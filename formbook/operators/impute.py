@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import col
+from .grouping import with_row
 
 # Column groups of the fill chain (fixed values).
 POSITION_SCALED = ("form_avg_finish_3", "form_avg_quali_3", "season_avg_finish",
@@ -46,7 +47,7 @@ def transform(df: DataFrame, policy: DataFrame, by: Sequence[str] = ()) -> DataF
     """Apply fitted constants: own prior first, then the global mean, the prior itself last."""
     names = df.columns
     # One row, or one per fold: the size of the policy does not depend on the data.
-    joined = df.join(F.broadcast(policy), list(by)) if by else df.crossJoin(F.broadcast(policy))
+    joined = df.join(F.broadcast(policy), list(by)) if by else with_row(df, policy)
     filled = {}
     for c in POSITION_SCALED:
         chain = [F.col(c), *([F.col(PRIOR)] if PRIOR in names else []), F.col("global_mean_finish")]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import CONTEST
 from ..functions.expr import correlation, ratio
-from .grouping import has_hot_group, ranks, tie_ranks
+from .grouping import has_hot_group, ranks, tie_ranks, with_row
 from .labels import ensure_labels
 
 K = list(CONTEST)
@@ -129,7 +129,7 @@ def classifier_metrics(df: DataFrame, p: str, label: str, by: Sequence[str] = ()
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"),
         # Per score: positives times negatives scored lower, ties half.
         F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("_pairs"))
-    ap = (run.join(F.broadcast(rise), list(by)) if by else run.crossJoin(F.broadcast(rise)))
+    ap = (run.join(F.broadcast(rise), list(by)) if by else with_row(run, rise))
     above_pos = F.col("_p") - F.col("pos_below")
     above_all = above_pos + F.col("_n") - F.col("neg_below")
     ap = ap.groupBy(*by).agg(F.sum(F.col("pos") / F.col("_p") * above_pos / above_all).alias("average_precision"))
@@ -144,7 +144,7 @@ def classifier_metrics(df: DataFrame, p: str, label: str, by: Sequence[str] = ()
     auc = rise.select(*by, ratio("_pairs", F.col("_p") * F.col("_n")).alias("roc_auc"))
     if by:
         return flat.join(auc, list(by)).join(ap, list(by))
-    return flat.crossJoin(auc).crossJoin(ap)
+    return with_row(with_row(flat, auc), ap)
 
 
 def _running(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str],

@@ -12,7 +12,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import CONTEST
@@ -22,7 +22,7 @@ from ..session import materialise
 from ..sources.schema import FEATURE_COLS, NATIVE_MISSING
 from . import folds, impute, probability
 from .asof import asof_join
-from .grouping import ranks
+from .grouping import ranks, with_row
 from .metrics import further_metrics, predicted_rank
 
 K = list(CONTEST)
@@ -41,8 +41,9 @@ SEARCH = tuple({"maxDepth": d, "minInstancesPerNode": n} for d in (3, 4, 5) for
 
 def _together(*tasks, width: int = 4) -> list:
     """Independent fits submitted side by side: small jobs fill each other's gaps."""
+    keep = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(width) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+        return [f.result() for f in [pool.submit(keep(t)) for t in tasks]]
 
 
 def inputs(df: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def fit_classifier(train: DataFrame, val: DataFrame, label: str, balanced: bool
     if balanced:
         share = train.agg(F.avg(F.col(label).cast("double")).alias("_share"))
         weight = F.when(F.col("_label") == 1, F.col("_share") ** -1).otherwise((1 - F.col("_share")) ** -1)
-        both = both.crossJoin(F.broadcast(share)).withColumn("_weight", weight)
+        both = with_row(both, share).withColumn("_weight", weight)
         gbt = gbt.setWeightCol("_weight")
     return Pipeline(stages=[_assembler(), gbt]).fit(both.select("_label", "_is_val", *FILLED, *(["_weight"] if balanced else [])))
 
@@ -139,7 +140,7 @@ def search(train: DataFrame, val: DataFrame, grid: Sequence[dict] = SEARCH, max_
     rows = _together(*[lambda i=i, p=p: one(i, p) for i, p in enumerate(grid)])
     table = val.sparkSession.createDataFrame(rows, "config int, max_depth int, min_rows int, ndcg_3 double")
     best = table.agg(F.max_by("config", F.struct("ndcg_3", -F.col("config"))).alias("_best"))
-    return table.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("config") == F.col("_best")).drop("_best")
+    return with_row(table, best).withColumn("chosen", F.col("config") == F.col("_best")).drop("_best")
 
 
 def importances(model: PipelineModel, spark) -> DataFrame:

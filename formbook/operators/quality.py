@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import CONTEST
@@ -91,21 +91,22 @@ def mismatches(left: DataFrame, right: DataFrame, keys: Sequence[str], columns:
 
 def naive_history(df: DataFrame, key: Sequence[str], value: Column, out: str, last: int | None = None,
                   contest: Sequence[str] = CONTEST) -> DataFrame:
-    """Audit path: join each contest of a key to its strictly earlier ones, then average.
+    """Audit path: for each contest of a key, filter its strictly earlier ones and average.
 
-    Independent of the window path. Both sides are first reduced to one row per
-    (key, contest), so the pairs are bounded by the calendar, not by the rows.
+    Independent of the window path. Rows are first reduced to one per (key,
+    contest), so a key's list is no longer than the calendar; the comparison of
+    a contest with its past happens inside the row and no pairs are shuffled.
     """
-    per = df.groupBy(*key, *contest).agg(F.min("date").alias("date"), F.sum(value).alias("s"),
+    per = df.groupBy(*key, *contest).agg(F.min("date").alias("date"), F.sum(value).cast("double").alias("s"),
                                          F.count(value).alias("c"))
-    now = per.select(*key, *contest, "date")
-    was = per.select(*key, F.col("date").alias("past"), "s", "c")
-    pairs = now.join(was, list(key)).filter(F.col("past") < F.col("date"))
+    listed = per.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("date", *contest, "s", "c"))).alias("_all"))
+    each = listed.select(*key, "_all", F.explode("_all").alias("_now"))
+    past = F.filter("_all", lambda x: x["date"] < F.col("_now.date"))
     if last is not None:
-        w = Window.partitionBy(*key, *contest).orderBy(F.desc("past"))
-        pairs = pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= last)
-    mean = pairs.groupBy(*key, *contest).agg(ratio(F.sum("s"), F.sum("c")).alias(out))
-    return now.drop("date").join(mean, [*key, *contest], "left")
+        past = F.when(F.size(past) > last, F.slice(past, -last, last)).otherwise(past)
+    total = F.aggregate(past, F.lit(0.0), lambda a, x: a + F.coalesce(x["s"], F.lit(0.0)))
+    known = F.aggregate(past, F.lit(0).cast("bigint"), lambda a, x: a + x["c"])
+    return each.select(*key, *[F.col(f"_now.{k}").alias(k) for k in contest], ratio(total, known).alias(out))
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], time="date") -> DataFrame:

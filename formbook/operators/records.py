@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import CONTEST
 from ..functions import vocab
-from ..functions.expr import col, flag, ratio
+from ..functions.expr import flag
 from ..functions.text import display_name, event_id, finish_label, percent, place_delta
-from .grouping import attach, has_hot_group, ranks, top_k
+from .grouping import attach, top_k
 from .metrics import spearman
 
 K = list(CONTEST)

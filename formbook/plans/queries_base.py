@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions import text, vocab
 from ..functions.expr import flag
-from ..operators import features, folds, gates, grid, impute, labels, observe, quality, records
-from ..operators.grouping import attach, group_quantiles, ranks, top_k
+from ..operators import features, folds, grid, impute, labels, observe, quality, records
+from ..operators.grouping import attach, top_k, with_row
 from ..session import shared_dir
 from ..sources import files, league, schema
 from ..sources.league import K, entries, labelled, laps, paced_entries, table
@@ -653,7 +653,7 @@ def _(spark, sf):
 def _(spark, sf):
     table_ = folds.rolling_folds(entries(spark, sf))
     bad = folds.overlaps(table_).agg(F.count(F.lit(1)).alias("n_overlaps"))
-    return table_.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(bad)
+    return with_row(table_.agg(F.count(F.lit(1)).alias("n_rows")), bad)
 
 
 @query("fold7_policy_per_fold",

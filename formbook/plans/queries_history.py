@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import CONTEST
-from ..functions import vocab
-from ..operators import asof, features, folds, labels, metrics, quality
-from ..operators.grouping import group_quantiles, ranks, tie_ranks, top_k
-from ..sources import league
+from ..operators import asof, features, metrics, quality
+from ..operators.grouping import group_quantiles, ranks, tie_ranks, top_k, with_row
 from ..sources.league import K, entries, events, laps, labelled, paced_entries
 from ..sources.schema import FEATURE_COLS
 from .oracle import ewm, past, part, r, sql
@@ -73,8 +70,8 @@ def _(spark, sf):
 def _(spark, sf):
     e = entries(spark, sf)
     dup = quality.duplicate_contests(e, ID).agg(F.count(F.lit(1)).alias("n_duplicate_contests"))
-    return e.groupBy(*ID).agg(F.count(F.lit(1)).alias("n")).agg(
-        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys")).crossJoin(dup)
+    return with_row(e.groupBy(*ID).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys")), dup)
 
 
 @query("win11_predicted_rank",

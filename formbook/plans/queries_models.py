@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import vocab
 from ..operators import features, folds, grid, impute, models
+from ..operators.grouping import with_row
 from ..session import materialise, shared_dir
 from ..sources.league import K, paced_entries, stored
 from .oracle import part, r, sql
@@ -118,8 +118,8 @@ def _(spark, sf):
 def _(spark, sf):
     m = _bundle(spark, sf)
     problems = models.manifest_problems(m).agg(F.count(F.lit(1)).alias("n_problems"))
-    return m.select("bundle_version", F.col("training_cutoff_utc").cast("timestamp_ntz").alias("cutoff"), "n_train_rows", "n_train_contests",
-                    "train_year_min", "train_year_max", F.size("feature_cols").cast("bigint").alias("n_features")).crossJoin(problems)
+    return with_row(m.select("bundle_version", F.col("training_cutoff_utc").cast("timestamp_ntz").alias("cutoff"), "n_train_rows", "n_train_contests",
+                    "train_year_min", "train_year_max", F.size("feature_cols").cast("bigint").alias("n_features")), problems)
 
 
 @query("ml8_cutoff_guard",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..operators import folds, gates, metrics, probability, records, stats
+from ..operators.grouping import with_row
 from ..operators.labels import relevance
 from ..sources import league
 from ..sources.league import K, entries, labelled
@@ -201,7 +202,7 @@ def _(spark, sf):
     fitted = probability.fit_temperature(probability.temperature_losses(
         val_rows(spark, sf).withColumn("_u", -F.col("grid_position")), "_u"))
     rows = grid_probabilities(spark, sf, scored_entries(spark, sf))
-    return out(rows.crossJoin(F.broadcast(fitted.select(F.col("temperature").alias("grid_temperature")))),
+    return out(with_row(rows, fitted.select(F.col("temperature").alias("grid_temperature"))),
                *ID, "p_win_grid", "p_podium_grid", "grid_temperature")
 
 

@@ -15,7 +15,7 @@ from .. import CONTEST
 from ..functions import vocab
 from ..functions.expr import flag
 from ..functions.text import status_category
-from ..operators.grouping import attach, has_hot_group, ranks
+from ..operators.grouping import attach, has_hot_group, ranks, with_row
 from ..operators.labels import derive_labels
 from ..operators.observe import race_pace
 from ..session import materialise, path_exists
@@ -155,7 +155,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results that have arrived: every labelled contest but those of the last year."""
     rows = labelled(spark, sf_dir)
     last = rows.agg(F.max("year").alias("_last"))
-    return rows.crossJoin(F.broadcast(last)).filter(F.col("year") < F.col("_last")).drop("_last")
+    return with_row(rows, last).filter(F.col("year") < F.col("_last")).drop("_last")
 
 
 def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:

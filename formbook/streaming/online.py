@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import CONTEST
 from ..operators import asof, records
+from ..operators.grouping import with_row
 from ..session import path_exists
 
 K = list(CONTEST)
@@ -61,7 +62,7 @@ def online_history(events: DataFrame, keys: Sequence[str], time: str, tie: str,
                                          *[blank.alias(f) for f in fields[1:]], F.col(time).alias("last"))
         # One row: the newest event time of all earlier batches.
         edge = known.agg((F.max("last") - F.expr(f"interval {delay}")).alias("_edge"))
-        marked = rows.crossJoin(F.broadcast(edge))
+        marked = with_row(rows, edge)
         late = F.coalesce(F.col(time) < F.col("_edge"), F.lit(False))
         marked.filter(late).drop("_edge").write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
         fresh = marked.filter(~late).drop("_edge")
