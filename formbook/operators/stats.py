@@ -111,9 +111,9 @@ def mcnemar(table: DataFrame) -> DataFrame:
 
 
 def wilcoxon(differences: DataFrame, by: Sequence[str] = ("metric",)) -> DataFrame:
-    """Signed-rank statistic and its normal z, zero differences left out."""
+    """Signed-rank statistic and its normal z; differences that are zero up to float noise are left out."""
     by = list(by)
-    rows = differences.filter(F.col("difference") != 0).withColumn("_a", F.round(F.abs("difference"), 12))
+    rows = differences.withColumn("_a", F.round(F.abs("difference"), 12)).filter(F.col("_a") > 0)
     w = Window.partitionBy(*by).orderBy("_a")
     same = Window.partitionBy(*by, "_a")
     rows = rows.withColumn("_r", F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / F.lit(2.0))

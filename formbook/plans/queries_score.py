@@ -387,7 +387,7 @@ def _(spark, sf):
 
 
 part("signed", ("diffs",), """select metric, diff, rank() over (partition by metric order by a) + (count(*) over (partition by metric, a) - 1) / 2.0 as rk
-    from (select *, round(abs(diff), 12) as a from diffs where diff <> 0)""")
+    from (select *, round(abs(diff), 12) as a from diffs) where a > 0""")
 
 
 @query("eval8_wilcoxon",
