@@ -3,8 +3,6 @@ folds, data quality and the starting-order contract."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +10,7 @@ from ..functions import text, vocab
 from ..functions.expr import flag
 from ..operators import features, folds, grid, impute, labels, observe, quality, records
 from ..operators.grouping import attach, top_k, with_row
-from ..session import shared_dir
+from ..session import scratch_path as scratch
 from ..sources import files, league, schema
 from ..sources.league import K, entries, labelled, laps, paced_entries, table
 from .oracle import part, r, sql
@@ -24,10 +22,6 @@ IDS = "year, round, driver"
 PRACTICE = ", ".join(schema.PRACTICE_COLS)
 
 
-def scratch(spark, label):
-    return f"{shared_dir(spark)}/formbook/{label}-{uuid.uuid4().hex}"
-
-
 # --- sources and sinks ------------------------------------------------------------
 @query("src1_parquet_scan", f"select o_orderkey, o_custkey, o_orderdate, {r('o_totalprice')}, o_orderstatus from orders")
 def _(spark, sf):
@@ -51,8 +45,7 @@ def _(spark, sf):
     e = entries(spark, sf).select(*ID, "date", "position", "points")
     old, new = scratch(spark, "part"), scratch(spark, "part")
     e.filter("year <= 1997").write.parquet(old)
-    e.filter("year > 1997").drop("points").withColumn("points", F.col("position") * 0 + 0) \
-        .drop("points").join(entries(spark, sf).select(*ID, "points"), ID).write.parquet(new)
+    e.filter("year > 1997").select("points", "position", "date", *reversed(ID)).write.parquet(new)
     return out(files.read_parts(spark, [old, new]), *ID, "date", "position", "points")
 
 

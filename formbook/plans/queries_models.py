@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import features, folds, grid, impute, models
 from ..operators.grouping import with_row
-from ..session import materialise, shared_dir
+from ..session import materialise, scratch_path
 from ..sources.league import K, paced_entries, stored
 from .oracle import part, r, sql
 from .queries_base import next_contest
@@ -102,7 +100,7 @@ def _(spark, sf):
 
 def _bundle(spark, sf):
     """Bundle trained on all contests, refitted once per session."""
-    path = f"{shared_dir(spark)}/formbook/bundle-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "bundle")
     return stored(spark, sf, "bundle", lambda: models.develop_and_refit(training_table(spark, sf), path))
 
 

@@ -36,14 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/formbook/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     Cuts the lineage and keeps what a checkpoint loses: column pruning, filter
     pushdown and a known size for join planning.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/formbook/{label}-{uuid.uuid4().hex}"
+    path = path or scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -18,7 +18,7 @@ from ..functions.text import status_category
 from ..operators.grouping import attach, has_hot_group, ranks, with_row
 from ..operators.labels import derive_labels
 from ..operators.observe import race_pace
-from ..session import materialise, path_exists
+from ..session import materialise, path_exists, scratch_path
 
 K = list(CONTEST)
 _built: dict[tuple, tuple[str, DataFrame]] = {}
@@ -35,8 +35,9 @@ def stored(spark: SparkSession, sf_dir: str, label: str, build) -> DataFrame:
         path, df = _built[key]
         if path_exists(spark, path):
             return df
-    df = materialise(build(), label)
-    _built[key] = (df.inputFiles()[0].rsplit("/", 1)[0], df)
+    path = scratch_path(spark, label)
+    df = materialise(build(), label, path)
+    _built[key] = (path, df)
     return df
 
 

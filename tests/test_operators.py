@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from formbook.functions import text, vocab
 from formbook.operators import (features, folds, gates, grid, impute, labels, metrics, models, observe,
                                 probability, quality, records, stats)
-from formbook.session import shared_dir
+from formbook.session import scratch_path as scratch
 from formbook.sources import files, schema
 
 K = ["year", "round"]
@@ -157,7 +157,7 @@ def test_empty_fit_is_refused(frame):
 
 
 def test_policy_version_is_checked(spark, frame):
-    path = f"{shared_dir(spark)}/policy-test"
+    path = scratch(spark, "policy-test")
     files.write_policy(impute.fit(fill_rows(frame)), f"{path}/ok")
     assert files.read_policy(spark, f"{path}/ok").first()["global_mean_finish"] == 6.0
     impute.fit(fill_rows(frame)).withColumn("schema_version", F.lit(99)).write.json(f"{path}/bad")
@@ -287,7 +287,7 @@ HEADER = lambda: {"source": F.lit("test"), "training_cutoff_utc": F.lit("2026-08
 
 
 def test_records_round_trip_once_and_in_parts(spark, frame):
-    path = f"{shared_dir(spark)}/archive-test"
+    path = scratch(spark, "archive-test")
     nested = records.nest(forecast_rows(frame), HEADER(), per_record=3)
     assert sorted(column(nested, F.size("predictions"))) == [1, 3]
     files.archive_forecasts(nested, path)
@@ -307,7 +307,7 @@ def test_scoring_uses_archived_probability(frame):
 
 
 def test_overlapping_parts_are_refused(spark, frame):
-    base = f"{shared_dir(spark)}/parts-test"
+    base = scratch(spark, "parts-test")
     part = lambda rounds: frame("year int, round int, date timestamp, driver string", *[(2024, r, datetime(2024, r, 1), "A") for r in rounds])
     part((1, 2, 3)).write.parquet(f"{base}/a")
     part((3, 4)).write.parquet(f"{base}/b")

@@ -7,14 +7,14 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, canonical
-from formbook.session import shared_dir
+from formbook.session import scratch_path as scratch
 from formbook.streaming import online
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_late_events_do_not_change_history(spark):
-    base = f"{shared_dir(spark)}/stream-test"
+    base = scratch(spark, "stream-test")
     at = datetime(2024, 1, 1)
     schema = "id bigint, k int, ts timestamp, v double"
     first = [(i, 1, at + timedelta(hours=i), float(i)) for i in range(4)]
