@@ -15,6 +15,7 @@ from .labels import ensure_labels
 K = list(CONTEST)
 METRICS = ("winner_accuracy", "podium_overlap", "top10_overlap", "top_pick_finished_top10",
            "spearman_all", "spearman_finishers")
+EPSILON = 2.220446049250313e-16
 HEADLINE = ("winner_accuracy", "podium_overlap", "top10_overlap", "spearman_all", "spearman_finishers")
 DENOMINATORS = {"n_contests_winner": "winner_accuracy", "n_contests_podium": "podium_overlap",
                 "n_contests_top10": "top10_overlap", "n_contests_spearman_all": "spearman_all",
@@ -133,7 +134,8 @@ def classifier_metrics(df: DataFrame, p: str, label: str, by: Sequence[str] = ()
     above_pos = F.col("_p") - F.col("pos_below")
     above_all = above_pos + F.col("_n") - F.col("neg_below")
     ap = ap.groupBy(*by).agg(F.sum(F.col("pos") / F.col("_p") * above_pos / above_all).alias("average_precision"))
-    q = F.greatest(F.least(F.col(p), F.lit(1 - 1e-15)), F.lit(1e-15))
+    # Log loss clips by the spacing of doubles at 1, as the usual definition does.
+    q = F.greatest(F.least(F.col(p), F.lit(1 - EPSILON)), F.lit(EPSILON))
     said = F.col(p) >= 0.5
     flat = df.groupBy(*by).agg(
         F.avg(F.when(said == (y == 1), 1.0).otherwise(0.0)).alias("accuracy"),

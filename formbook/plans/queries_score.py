@@ -494,12 +494,13 @@ def _(spark, sf):
 
 
 _P = "p_top10_clf"
+_CLIPPED = f"greatest(least({_P}, 1 - 2.220446049250313e-16), 2.220446049250313e-16)"
 
 
 @query("eval12_classifier_metrics",
        sql("scored", f"""select {r('accuracy', 'roc_auc', 'average_precision', 'log_loss', 'brier')}, true_pos, false_pos, false_neg, true_neg from
            (select avg(case when ({_P} >= 0.5) = (finished_top10 = 1) then 1.0 else 0.0 end) as accuracy,
-            avg(case when finished_top10 = 1 then -ln({_P}) else -ln(1 - {_P}) end) as log_loss,
+            avg(case when finished_top10 = 1 then -ln({_CLIPPED}) else -ln(1 - {_CLIPPED}) end) as log_loss,
             avg(({_P} - finished_top10) * ({_P} - finished_top10)) as brier,
             count(case when {_P} >= 0.5 and finished_top10 = 1 then 1 end) as true_pos, count(case when {_P} >= 0.5 and finished_top10 = 0 then 1 end) as false_pos,
             count(case when {_P} < 0.5 and finished_top10 = 1 then 1 end) as false_neg, count(case when {_P} < 0.5 and finished_top10 = 0 then 1 end) as true_neg from scored),
