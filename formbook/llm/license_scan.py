@@ -179,7 +179,7 @@ u as (
   select rid, doc_id, 'document', 0, trim(regexp_replace(norm, '[ \n]+', ' ', 'g')) from p where contains(norm, chr(10))),
 w as (select rid, doc_id, kind, no, string_split(words, ' ') as words, len(string_split(words, ' ')) - 1 as n from u where words <> ''),
 c as (select * from w where n >= 1 and n <= (select max(size) * {200 - percent} // {percent} from t)),
-g as (select rid, doc_id, kind, no, n, unnest(list_transform(range(1, n + 1), i -> words[i] || ' ' || words[i + 1])) as pair from c),
+g as (select rid, doc_id, kind, no, n, unnest(list_transform(range(1, n + 1), lambda i: words[i] || ' ' || words[i + 1])) as pair from c),
 b as (select *, pair || '#' || (row_number() over (partition by rid, kind, no, pair) - 1) as gram from g),
 s as (select rid, doc_id, kind, no, n, template, licence, size, count(*) as shared from b join t using (gram) group by all),
 m as (select *, 2.0::double * shared / (n + size) as dice from s where shared * 200 >= {percent} * (n + size)),
