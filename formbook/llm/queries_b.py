@@ -13,7 +13,7 @@ def op7_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return piece_lattice.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
-                                          with_ids=False)
+                                          ids="none")
 
 
 @query("op8_string_tiling")

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialise
 from .common import small_batches, text_bytes
@@ -175,6 +176,17 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGM
     return keyed.mapInArrow(lambda b: _matches(b, distance), "a long, b long")
 
 
+def _named(prints: DataFrame, distance: int, segments: int, entries_per_key: int) -> DataFrame:
+    """(fp, component_id) of each fingerprint of `prints` (id, fp)."""
+    links = materialise(near_links(prints, distance, segments, entries_per_key), "near-links")
+    roots = components(links)
+    small_batches(prints.sparkSession)
+    nodes = prints.groupBy("fp").agg(F.min("id").alias("low"))
+    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    low = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
+    return materialise(nodes.join(low, "root").select("fp", "component_id"), "components")
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE,
                     segments: int = SEGMENTS, entries_per_key: int = ENTRIES_PER_KEY) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits) and component_id, the smallest id it can reach.
@@ -184,12 +196,32 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with the same id are reported once each; an empty table gives an empty result.
     """
     prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    links = materialise(near_links(prints, distance, segments, entries_per_key), "near-links")
-    roots = components(links)
-    small_batches(docs.sparkSession)
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("low"))
-    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    low = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = materialise(nodes.join(low, "root").select("fp", "component_id"), "components")
+    named = _named(prints, distance, segments, entries_per_key)
     return prints.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE,
+                segments: int = SEGMENTS, entries_per_key: int = ENTRIES_PER_KEY) -> DataFrame:
+    """The rows of each component's smallest id, with all their columns.
+
+    Rows with the same id and fingerprint are one document; of a component whose
+    ids are all null every row stays.
+    """
+    if any(c.lower().startswith("_sh_") for c in docs.columns):
+        raise ValueError("column names beginning with _sh_ are reserved")
+    small_batches(docs.sparkSession)
+    at, names = docs.columns.index(text_col), [*docs.columns, "_sh_fp"]
+
+    def add(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            values = [fingerprint((t.as_py() or "").encode()) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(values, np.uint64).view(np.int64))], names)
+
+    rows = materialise(docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("_sh_fp", T.LongType())])), "fingerprinted")
+    prints = rows.select(F.col(id_col).cast("long").alias("id"), F.col("_sh_fp").alias("fp"))
+    named = _named(prints, distance, segments, entries_per_key)
+    gone = (prints.join(named, "fp").where(~F.col("id").eqNullSafe(F.col("component_id")))
+            .select(F.col("id").alias("_sh_id"), F.col("fp").alias("_sh_gone")).distinct())
+    return rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_sh_id")) & (F.col("_sh_fp") == F.col("_sh_gone")),
+                     "left_anti").select(*docs.columns)
