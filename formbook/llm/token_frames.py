@@ -26,6 +26,7 @@ empty result.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -48,40 +49,75 @@ END_ID = 1
 # Fixed values of the format.
 SEEKABLE_MAGIC, SKIPPABLE_MAGIC, WITH_CHECKSUMS = 0x8F92EAB1, 0x184D2A5E, 128
 NULL_ID = -(1 << 63)
-# Words whose ids a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 400_000, 48
+# Words and runs of letters whose ids a worker remembers, and the longest of them in bytes.
+WORDS, RUNS, LONGEST = 300_000, 800_000, 48
+# Words that are one run of Latin letters and then marks: the tokenizer divides them there,
+# and their lower case and canonical composition are beyond doubt.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?%&*#$|]*)")
+# Runs encoded in one call.
+CALL = 2_000
 
 
 class WordEncoder:
     """Encodes texts as a tokenizers file does, remembering the ids of words.
 
-    Only for tokenizers that never join what ASCII white space divides and that
-    drop white space, as word-end BPE does.
+    Only for tokenizers that never join what ASCII white space divides, that drop
+    white space and lower the case, as word-end BPE does.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids."""
-        words = text.split()
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            own = known if len(new) < REMEMBERED else dict(known)
-            own.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, got, strict=True))
-            out = b"".join(map(own.__getitem__, words))
-            for w in new:
-                if len(w) > LONGEST:
-                    own.pop(w, None)
-            return out
-        return b"".join(map(known.__getitem__, words))
+        self.tokenizer, self.words, self.runs = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max([*vocabulary.values(), *self.tokenizer.get_vocab().values()]) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _runs(self, runs: list[str]) -> None:
+        """Learn runs of letters: many in one text, cut where a token ends a word."""
+        for at in range(0, len(runs), CALL):
+            some = runs[at:at + CALL]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                data = ids.tobytes()
+                bounds = [0, *(4 * cuts).tolist()]
+                self.runs.update((r, data[a:b]) for r, a, b in zip(some, bounds, bounds[1:], strict=False))
+            else:
+                self.runs.update(zip(some, self._encode(some), strict=True))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        split = [t.split() for t in texts]
+        known = self.words
+        new = list({w for words in split for w in words if w not in known})
+        if len(known) + len(new) > WORDS:
+            known.clear()
+            new = list({w for words in split for w in words})
+        whole, parts = [], []
+        for w in new:
+            m = PLAIN.fullmatch(w.decode("utf-8", "replace")) if len(w) <= LONGEST else None
+            if m:
+                parts.append((w, m[1].lower(), m[2]))
+            else:
+                whole.append(w)
+        if len(self.runs) > RUNS:
+            self.runs.clear()
+        runs = self.runs
+        self._runs(list({r for _, r, _ in parts if r not in runs}))
+        marks = list({m for _, _, m in parts if m and m not in runs})
+        runs.update(zip(marks, self._encode(marks), strict=True))
+        known.update((w, runs[r] + runs[m] if m else runs[r]) for w, r, m in parts)
+        known.update(zip(whole, self._encode([w.decode("utf-8", "replace") for w in whole]), strict=True))
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in whole:
+            if len(w) > LONGEST:
+                del known[w]
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -166,11 +202,12 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, uri: str, end_id:
     code, ids, sizes, writer, name = encoder(tokenizer), [], [], None, f"{folder}/part-{part:05d}"
     own = f"{folder}/.{uuid.uuid4().hex}"
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        coded = code.encode([t.as_py() for t in batch.column(1)])
+        for i, data in zip(batch.column(0).to_pylist(), coded, strict=True):
             if writer is None:
                 out = store.open_output_stream(own)
                 writer = FrameWriter(out)
-            data = code.encode(text.as_py()) + end
+            data += end
             writer.write(data)
             ids.append(NULL_ID if i is None else i)
             sizes.append(len(data) // 4)
