@@ -31,11 +31,6 @@ def leave_one_out(value, total, size) -> Column:
     return ratio(col(total) - col(value), col(size) - 1)
 
 
-def nan_to_null(c) -> Column:
-    """Read a floating column with NaN as missing."""
-    return F.when(~F.isnan(col(c)), col(c))
-
-
 def r6(c) -> Column:
     """Six decimals, half up in plain double arithmetic (the same steps in any engine)."""
     return F.floor(col(c) * 1000000.0 + 0.5) / F.lit(1000000.0)

@@ -18,22 +18,22 @@ RETIRED_UNSPECIFIED = "retired_unspecified"
 UNKNOWN = "unknown"
 
 STATUS_WORDS = {
-    FINISHED: "finished, lapped",
-    DID_NOT_START: "did not start, did not qualify, did not prequalify",
-    WITHDRAWN: "withdrew, withdrawn",
-    DISQUALIFIED: "disqualified, excluded",
-    NOT_CLASSIFIED: "not classified",
-    RETIRED_UNSPECIFIED: "retired, illness, fatigue",
-    ACCIDENT: "accident, collision, collision damage, spun off, damage, debris",
+    FINISHED: ("finished", "lapped"),
+    DID_NOT_START: ("did not start", "did not qualify", "did not prequalify"),
+    WITHDRAWN: ("withdrew", "withdrawn"),
+    DISQUALIFIED: ("disqualified", "excluded"),
+    NOT_CLASSIFIED: ("not classified",),
+    RETIRED_UNSPECIFIED: ("retired", "illness", "fatigue"),
+    ACCIDENT: ("accident", "collision", "collision damage", "spun off", "damage", "debris"),
     MECHANICAL: (
-        "engine, power unit, power loss, turbo, exhaust, alternator, battery, "
-        "electrical, electronics, ers, mgu-h, mgu-k, gearbox, transmission, clutch, "
-        "driveshaft, differential, halfshaft, hydraulics, oil leak, oil pressure, "
-        "fuel pressure, fuel leak, fuel pump, fuel system, out of fuel, "
-        "water pressure, water leak, water pump, cooling system, radiator, "
-        "overheating, suspension, steering, brakes, throttle, wheel, wheel nut, "
-        "puncture, tyre, vibrations, mechanical, technical, handling, undertray, "
-        "front wing, rear wing, bodywork, chassis, seat"
+        "engine", "power unit", "power loss", "turbo", "exhaust", "alternator", "battery",
+        "electrical", "electronics", "ers", "mgu-h", "mgu-k", "gearbox", "transmission", "clutch",
+        "driveshaft", "differential", "halfshaft", "hydraulics", "oil leak", "oil pressure",
+        "fuel pressure", "fuel leak", "fuel pump", "fuel system", "out of fuel", "water pressure",
+        "water leak", "water pump", "cooling system", "radiator", "overheating", "suspension",
+        "steering", "brakes", "throttle", "wheel", "wheel nut", "puncture", "tyre", "vibrations",
+        "mechanical", "technical", "handling", "undertray", "front wing", "rear wing", "bodywork",
+        "chassis", "seat",
     ),
 }
 LAPS_DOWN_PATTERN = r"^\+\d+\s+laps?$"
@@ -41,19 +41,23 @@ UNCLASSIFIED_CODES = ("r", "d", "e", "w", "f", "n")
 
 # --- group names -> canonical id (fixed values) ------------------------------
 NAME_WORDS = {
-    "red_bull": "red bull racing, red bull",
-    "mercedes": "mercedes",
-    "ferrari": "ferrari",
-    "mclaren": "mclaren",
-    "williams": "williams",
-    "haas": "haas f1 team, haas",
-    "alpine": "renault, alpine",
-    "aston_martin": "force india, racing point, aston martin",
-    "sauber": "sauber, alfa romeo racing, alfa romeo, kick sauber, "
-              "stake f1 team kick sauber, audi",
-    "racing_bulls": "scuderia toro rosso, toro rosso, alphatauri, visa cash app rb, "
-                    "rb f1 team, racing bulls, rb",
-    "cadillac": "cadillac",
+    "red_bull": ("red bull racing", "red bull"),
+    "mercedes": ("mercedes",),
+    "ferrari": ("ferrari",),
+    "mclaren": ("mclaren",),
+    "williams": ("williams",),
+    "haas": ("haas f1 team", "haas"),
+    "alpine": ("renault", "alpine"),
+    "aston_martin": ("force india", "racing point", "aston martin"),
+    "sauber": (
+        "sauber", "alfa romeo racing", "alfa romeo", "kick sauber", "stake f1 team kick sauber",
+        "audi",
+    ),
+    "racing_bulls": (
+        "scuderia toro rosso", "toro rosso", "alphatauri", "visa cash app rb", "rb f1 team",
+        "racing bulls", "rb",
+    ),
+    "cadillac": ("cadillac",),
 }
 MIN_FRAGMENT = 4
 
@@ -92,10 +96,5 @@ MIN_CONTESTS = 60
 
 POINTS = (25, 18, 15, 12, 10, 8, 6, 4, 2, 1)
 
-
-def _pairs(words: dict[str, str]) -> dict[str, str]:
-    return {w.strip(): target for target, text in words.items() for w in text.split(",")}
-
-
-STATUS_MAP = _pairs(STATUS_WORDS)
-NAME_MAP = _pairs(NAME_WORDS)
+STATUS_MAP = {word: category for category, words in STATUS_WORDS.items() for word in words}
+NAME_MAP = {word: name for name, words in NAME_WORDS.items() for word in words}

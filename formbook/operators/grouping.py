@@ -4,8 +4,9 @@ A contest is one group, and one contest may hold a large share of all rows, so
 nothing here sends a whole group to one task once the group is large:
 
 * totals are partial aggregates joined back (`attach`), never windows;
-* ranks switch from a window to a range-split sort beyond a measured size;
-* quantiles switch the same way.
+* ranks are a window for small groups and a range-split sort for large ones;
+* quantiles likewise. Both forms give the same rows and values, NULL keys and
+  NULL values included, so the measured size decides the plan only.
 """
 
 from __future__ import annotations
@@ -74,12 +75,24 @@ def _ordering(order: Sequence[Order]) -> list[Column]:
     return [col(c).desc_nulls_last() if d == "desc" else col(c).asc_nulls_last() for c, d in order]
 
 
-def _split_rank(rows: DataFrame, keys: Sequence[str], order: Sequence[Order], out: str) -> DataFrame:
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the keys are kept once."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        cond = one if cond is None else cond & one
+    return left.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def _split_rank(rows: DataFrame, keys: Sequence[str], order: Sequence[Order], out: str, parts: bool = False) -> DataFrame:
     """Row numbers by one global sort: place = rows before me - rows before my group.
 
     The sort is range-partitioned on keys and order, so a hot group spreads over
     as many tasks as its size needs. The sorted table is written once; the
-    offsets hold one row per file part (bounded by the shuffle width).
+    offsets hold one row per file part (bounded by the shuffle width). A group's
+    first index and size reach its rows by (keys, part), so no join brings a hot
+    group together. NULL keys are one group. `parts` keeps `_part` and `_size`.
     """
     by_place = rows.orderBy(*[F.col(k) for k in keys], *_ordering(order))
     placed = materialise(by_place.withColumn("_at", F.monotonically_increasing_id()), "sorted")
@@ -91,10 +104,13 @@ def _split_rank(rows: DataFrame, keys: Sequence[str], order: Sequence[Order], ou
                .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
     indexed = (placed.join(F.broadcast(offsets), "_part")
                .withColumn("_index", F.col("_off") + F.col("_slot")))
-    first = indexed.groupBy(*keys).agg(F.min("_index").alias("_first"))
-    return (indexed.join(first, list(keys))
-            .withColumn(out, (F.col("_index") - F.col("_first") + 1).cast("int"))
-            .drop("_part", "_slot", "_off", "_index", "_first"))
+    group = Window.partitionBy(*keys)  # one row per part of a group
+    first = indexed.groupBy(*keys, "_part").agg(F.min("_index").alias("_low"), F.count(F.lit(1)).alias("_here"))
+    first = first.select(*keys, "_part", F.min("_low").over(group).alias("_first"), F.sum("_here").over(group).alias("_size"))
+    ranked = (_same(indexed, first, [*keys, "_part"])
+              .withColumn(out, (F.col("_index") - F.col("_first") + 1).cast("int"))
+              .drop("_slot", "_off", "_index", "_first"))
+    return ranked if parts else ranked.drop("_part", "_size")
 
 
 def ranks(rows: DataFrame, keys: Sequence[str], specs: Mapping[str, Sequence[Order]],
@@ -125,9 +141,13 @@ def tie_ranks(rows: DataFrame, keys: Sequence[str], value: str, out: str, tie: S
         same = Window.partitionBy(*keys, value)
         return rows.withColumn(
             out, F.rank().over(by_value) + (F.count(F.lit(1)).over(same) - 1) / F.lit(2.0))
-    placed = _split_rank(rows, keys, [(value, "asc"), *[(t, "asc") for t in tie]], "_place")
-    shared = placed.groupBy(*keys, value).agg(F.avg("_place").alias(out))
-    return placed.drop("_place").join(shared, [*keys, value], "left")
+    placed = _split_rank(rows, keys, [(value, "asc"), *[(t, "asc") for t in tie]], "_place", parts=True)
+    # Equal values, NULLs among them, stand together: the mean of their places is that of the first and last.
+    equal = Window.partitionBy(*keys, value)
+    shared = placed.groupBy(*keys, value, "_part").agg(F.min("_place").alias("_lo"), F.max("_place").alias("_hi"))
+    shared = shared.select(*keys, value, "_part",
+                           ((F.min("_lo").over(equal) + F.max("_hi").over(equal)) / F.lit(2.0)).alias(out))
+    return _same(placed.drop("_place", "_size"), shared, [*keys, value, "_part"]).drop("_part")
 
 
 def top_k(rows: DataFrame, keys: Sequence[str], order: Sequence[Order], k: int,
@@ -156,9 +176,7 @@ def group_quantiles(rows: DataFrame, keys: Sequence[str], wanted: Mapping[str, t
     result = rows.groupBy(*keys).agg(*others) if others else rows.select(*keys).distinct()
     for value in dict.fromkeys(v for v, _ in wanted.values()):
         have = rows.select(*keys, value).filter(col(value).isNotNull())
-        placed = _split_rank(have, keys, [(value, "asc")], "_place")
-        sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        placed = attach(placed, sizes, keys)
+        placed = _split_rank(have, keys, [(value, "asc")], "_place", parts=True).withColumnRenamed("_size", "_n")
         picks = []
         for out, (v, q) in wanted.items():
             if v != value:
@@ -168,5 +186,5 @@ def group_quantiles(rows: DataFrame, keys: Sequence[str], wanted: Mapping[str, t
             high = F.max(F.when(F.col("_place") - 1 == F.ceil(at), F.col(value)))
             share = F.max(at - F.floor(at))
             picks.append((low + (high - low) * share).alias(out))
-        result = attach(result, placed.groupBy(*keys).agg(*picks), keys)
+        result = _same(result, placed.groupBy(*keys).agg(*picks), keys, "left")
     return result

@@ -96,15 +96,15 @@ def further_metrics(df: DataFrame, score: str, ascending: bool, ks: Sequence[int
     """Exact-place rate and mean absolute error of finishers, and NDCG at k, per contest.
 
     The grade is a row's `relevance`; its gain is 2^grade - 1 over log2(1 + place).
-    Grades are divided by the field size first so that the gain stays finite
-    for any field.
+    NDCG is a ratio, so all gains are divided by 2^best first and stay finite in
+    any field.
     """
     keys = list(contest)
     sizes = df.groupBy(*keys).agg(F.max("relevance").alias("_best"))
     placed = predicted_rank(df, score, ascending, contest=contest)
     placed = ranks(placed, contest, {"_ideal": [("relevance", "desc"), ("driver", "asc")]})
     placed = placed.join(F.broadcast(sizes), keys)
-    gain = F.pow(F.lit(2.0), 10.0 * ratio("relevance", "_best")) - 1.0
+    gain = F.pow(F.lit(2.0), F.col("relevance") - F.col("_best")) - F.pow(F.lit(2.0), -F.col("_best"))
     done = F.col("finished") == 1
     off = F.abs(F.col("pred_rank") - F.col("result_order"))
     parts = [F.avg(F.when(done, F.when(off == 0, 1.0).otherwise(0.0))).alias("exact_rate"),
@@ -120,8 +120,11 @@ def classifier_metrics(df: DataFrame, p: str, label: str, by: Sequence[str] = ()
     """Accuracy at 0.5, ROC-AUC, average precision, log loss, Brier and confusion counts.
 
     Rows collapse to one per distinct probability first; the cumulative counts
-    run over those, through the range-split running sum of `_running`.
+    run over those, through the range-split running sum of `_running`. Rows
+    without a score or label are left out; a group without positives (or
+    negatives) has no average precision (or AUC).
     """
+    df = df.where(F.col(p).isNotNull() & F.col(label).isNotNull())
     y = F.col(label)
     per = df.groupBy(*by, p).agg(F.sum(y).cast("double").alias("pos"),
                                  F.sum(1 - y).cast("double").alias("neg"))
@@ -133,7 +136,7 @@ def classifier_metrics(df: DataFrame, p: str, label: str, by: Sequence[str] = ()
     ap = (run.join(F.broadcast(rise), list(by)) if by else with_row(run, rise))
     above_pos = F.col("_p") - F.col("pos_below")
     above_all = above_pos + F.col("_n") - F.col("neg_below")
-    ap = ap.groupBy(*by).agg(F.sum(F.col("pos") / F.col("_p") * above_pos / above_all).alias("average_precision"))
+    ap = ap.groupBy(*by).agg(F.sum(ratio(F.col("pos"), F.col("_p")) * ratio(above_pos, above_all)).alias("average_precision"))
     # Log loss clips by the spacing of doubles at 1, as the usual definition does.
     q = F.greatest(F.least(F.col(p), F.lit(1 - EPSILON)), F.lit(EPSILON))
     said = F.col(p) >= 0.5

@@ -107,12 +107,6 @@ def upcoming(schedule: DataFrame, as_of: str, date="date") -> DataFrame:
     return schedule.filter(real & (col(date) <= F.lit(as_of).cast("date")))
 
 
-def known_names(df: DataFrame, c: str, vocabulary: DataFrame) -> DataFrame:
-    """Rows whose value is not in a vocabulary table, counted per value."""
-    return (df.join(vocabulary, c, "left_anti").groupBy(c)
-            .agg(F.count(F.lit(1)).alias("n_rows")))
-
-
 def session_rows(results: DataFrame, schedule: DataFrame, weather: DataFrame, quali: DataFrame,
                  pace: DataFrame, contest: Sequence[str] = CONTEST, entity="driver") -> DataFrame:
     """Landed session tables to entry rows: dimension joins, then entity-level joins."""

@@ -186,16 +186,9 @@ def plackett_luce(df: DataFrame, score: str, temperature: float, n_draws: int =
                           "mc_error": F.lit(math.sqrt(0.25 / n_draws))}))
 
 
-def _nodes(steps: int = 160, reach: float = 4.2) -> list[tuple[float, float]]:
-    """Double-exponential quadrature on (0, inf): points and weights."""
-    h = 2 * reach / steps
-    out = []
-    for i in range(steps + 1):
-        s = -reach + h * i
-        t = math.exp(math.pi / 2 * math.sinh(s))
-        if 1e-14 < t < 340.0:
-            out.append((t, h * math.pi / 2 * math.cosh(s) * t))
-    return out
+def _nodes(low: float = -46.0, high: float = 5.8, step: float = 0.25) -> list[tuple[float, float]]:
+    """Trapezoid rule in log time on (0, inf): points and weights."""
+    return [(math.exp(low + step * i), step * math.exp(low + step * i)) for i in range(int((high - low) / step) + 1)]
 
 
 def exact_podium(df: DataFrame, p="p_win", out="p_podium_exact", contest: Sequence[str] = CONTEST) -> DataFrame:
@@ -203,19 +196,47 @@ def exact_podium(df: DataFrame, p="p_win", out="p_podium_exact", contest: Sequen
 
     Plackett-Luce orders independent exponential arrivals with rates p. An entry
     is in the first three when at most two others arrive before it, so its
-    probability is one integral over the arrival time. Two contest totals per
-    time point replace all pairs and triples: cost grows with rows, not cubes.
+    probability is one integral over the arrival time. Contest totals per time
+    point replace all pairs and triples: cost grows with rows, not cubes.
+
+    The two largest rates are held apart and enter in closed form; the totals run
+    over the rest, scaled by the largest rate of the rest, and time is measured in
+    the rest's total rate. So nothing overflows or cancels, however large the
+    favourites' rates are.
     """
-    nodes = F.inline(F.array(*[F.struct(F.lit(t).alias("_t"), F.lit(w).alias("_w")) for t, w in _nodes()]))
-    rows = spread(df.select(*contest, "driver", F.col(p).alias("_p")), *contest, "driver")
-    odds = F.expm1(F.col("_p") * F.col("_t"))
-    wide = rows.select("*", nodes).withColumn("_o", odds)
-    sums = wide.groupBy(*contest, "_t").agg(F.sum("_o").alias("_e1"), F.sum(F.col("_o") * F.col("_o")).alias("_s2"))
-    both = wide.join(F.broadcast(sums), [*contest, "_t"])
+    from .grouping import top_k
+
+    rows = df.select(*contest, "driver", F.col(p).cast("double").alias("_p"))
+    lead = top_k(rows.where(F.col("_p") > 0), contest, [("_p", "desc"), ("driver", "asc")], 3, "_place")
+    pick = lambda c, k: F.max(F.when(F.col("_place") == k, F.col(c)))
+    lead = lead.groupBy(*contest).agg(pick("driver", 1).alias("_d1"), pick("_p", 1).alias("_p1"), pick("driver", 2).alias("_d2"),
+                                      pick("_p", 2).alias("_p2"), pick("_p", 3).alias("_a"))
+    size = rows.where(F.col("_p") > 0).groupBy(*contest).agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.join(lead, list(contest), "left").join(size, list(contest), "left")
+    rows = rows.withColumn("_which", F.when(F.col("driver") == F.col("_d1"), 1).when(F.col("driver") == F.col("_d2"), 2).otherwise(0))
+    rest = rows.where((F.col("_which") == 0) & (F.col("_p") > 0)).groupBy(*contest).agg(F.sum("_p").alias("_s"))
+    rows = rows.join(rest, list(contest), "left")
+    nodes = F.inline(F.array(*[F.struct(F.lit(u).alias("_u"), F.lit(w).alias("_w")) for u, w in _nodes()]))
+    wide = spread(rows.where((F.col("_p") > 0) & (F.col("_n") > 3)), *contest, "driver").select("*", nodes)
+    t = F.col("_u") / F.col("_s")
+    wide = wide.withColumn("_t", t).withColumn("_o", F.when(F.col("_which") == 0, F.exp((F.col("_p") - F.col("_a")) * F.col("_t"))
+                                                            - F.exp(-F.col("_a") * F.col("_t"))).otherwise(0.0))
+    sums = wide.groupBy(*contest, "_u").agg(F.sum("_o").alias("_e1"), F.sum(F.col("_o") * F.col("_o")).alias("_s2"))
+    both = wide.join(sums, [*contest, "_u"])
     one = F.col("_e1") - F.col("_o")
-    two = (F.col("_e1") * F.col("_e1") - F.col("_s2")) / 2 - F.col("_o") * one
-    term = F.col("_w") * F.col("_p") * F.exp(-F.col("_t")) * (1 + one + two)
-    return df.join(both.groupBy(*contest, "driver").agg(F.sum(term).alias(out)), [*contest, "driver"])
+    two = (one * one - (F.col("_s2") - F.col("_o") * F.col("_o"))) / 2
+    a, s, p1, p2 = (F.col(c) for c in ("_a", "_s", "_p1", "_p2"))
+    decay = lambda rate: F.exp(-rate * F.col("_t"))
+    # Rates that are left when the named entries have arrived: all is p1 + p2 + s.
+    pairs = decay(p1 + p2 + s - 2 * a) * two
+    inner = decay(s) + (decay(p2 + s - a) + decay(p1 + s - a) - decay(p1 + p2 + s - a)) * one + pairs
+    first = decay(p1 + s) + decay(p1 + s - a) * one + pairs   # for the largest rate
+    second = decay(p2 + s) + decay(p2 + s - a) * one + pairs
+    term = F.col("_w") * F.col("_p") / s * F.when(F.col("_which") == 1, first).when(F.col("_which") == 2, second).otherwise(inner)
+    got = both.groupBy(*contest, "driver").agg(F.sum(term).alias(out))
+    few = rows.where(F.col("_p").isNull() | (F.col("_p") <= 0) | (F.col("_n") <= 3)).select(
+        *contest, "driver", F.when(F.col("_p").isNull(), F.lit(None).cast("double")).when(F.col("_p") > 0, 1.0).otherwise(0.0).alias(out))
+    return df.join(got.unionByName(few), [*contest, "driver"])
 
 
 def uniform_losses(df: DataFrame, contest: Sequence[str] = CONTEST) -> DataFrame:

@@ -30,18 +30,36 @@ def test_hot_group_is_measured(skewed):
     assert not has_hot_group(skewed, ["year", "round"], limit=5000)
 
 
-def test_split_ranks_equal_window_ranks(skewed):
+@pytest.fixture
+def with_nulls(spark, skewed):
+    """One contest with most rows, a NULL contest key and NULL values in both."""
+    more = [(2024, None, 5000 + i, None if i % 5 == 0 else float(i % 7)) for i in range(60)]
+    more += [(None, None, 6000 + i, None if i % 2 else 1.0) for i in range(6)]
+    return skewed.unionByName(spark.createDataFrame(more, skewed.schema))
+
+
+def test_split_ranks_equal_window_ranks(with_nulls):
     spec = {"place": [("v", "desc"), ("driver", "asc")]}
-    a, b = (ranks(skewed, ["year", "round"], spec, split=s) for s in (True, False))
+    a, b = (ranks(with_nulls, ["year", "round"], spec, split=s) for s in (True, False))
     assert rows_of(a, "driver", "place") == rows_of(b, "driver", "place")
+    assert a.count() == with_nulls.count()
 
 
-def test_split_tie_ranks_equal_window_tie_ranks(skewed):
-    have = skewed.filter("v is not null")
-    a, b = (tie_ranks(have, ["year", "round"], "v", "t", ["driver"], split=s) for s in (True, False))
+def test_split_tie_ranks_equal_window_tie_ranks(with_nulls):
+    a, b = (tie_ranks(with_nulls, ["year", "round"], "v", "t", ["driver"], split=s) for s in (True, False))
     assert rows_of(a, "driver", "t") == rows_of(b, "driver", "t")
 
 
+def test_split_quantiles_of_null_keys(with_nulls):
+    want = {"lo": ("v", 0.1), "mid": ("v", 0.5)}
+    a, b = (group_quantiles(with_nulls, ["year", "round"], want, {"n": F.count(F.lit(1))}, split=s)
+            for s in (True, False))
+    a, b = ({(r.year, r.round): r for r in x.collect()} for x in (a, b))
+    assert a.keys() == b.keys() and (None, None) in a
+    for k in a:
+        assert a[k].n == b[k].n and [a[k].lo, a[k].mid] == pytest.approx([b[k].lo, b[k].mid])
+
+
 def test_split_quantiles_equal_builtin(skewed):
     want = {"lo": ("v", 0.1), "mid": ("v", 0.5), "hi": ("v", 0.9)}
     a, b = (group_quantiles(skewed, ["year", "round"], want, split=s) for s in (True, False))

@@ -204,6 +204,37 @@ def test_plackett_luce_is_coherent(prob_race):
     assert probability.coherence(pl).isEmpty()
 
 
+@pytest.mark.parametrize("weights", [[0.8], [0.95], [0.99], [0.999], [0.9, 0.0999], [0.5, 0.4999], [0.0], [0.34, 0.33, 0.32]])
+def test_exact_podium_of_favourites(frame, weights):
+    left = 20 - len(weights)
+    ps = weights + [(1 - sum(weights)) * (i + 1) / (left * (left + 1) / 2) for i in range(left)]
+    df = frame("year int, round int, driver int, p_win double", *[(2024, 1, i, p) for i, p in enumerate(ps)])
+    got = {r["driver"]: r["p_podium_exact"] for r in probability.exact_podium(df).collect()}
+    rest = lambda *out: sum(p for k, p in enumerate(ps) if k not in out)
+    want = dict.fromkeys(range(20), 0.0)
+    for a in range(20):
+        for b in range(20):
+            for c in range(20):
+                if len({a, b, c}) == 3:
+                    chance = ps[a] / rest() * ps[b] / rest(a) * ps[c] / rest(a, b) if ps[a] and ps[b] and ps[c] else 0.0
+                    for k in (a, b, c):
+                        want[k] += chance
+    assert got == pytest.approx(want, abs=1e-9)
+    assert sum(got.values()) == pytest.approx(3.0, abs=1e-8)
+
+
+def test_exact_podium_of_small_fields(frame):
+    df = frame("year int, round int, driver int, p_win double", (1, 1, 1, 0.6), (1, 1, 2, 0.4), (1, 1, 3, 0.0), (1, 1, 4, None))
+    assert {r["driver"]: r["p_podium_exact"] for r in probability.exact_podium(df).collect()} == {1: 1.0, 2: 1.0, 3: 0.0, 4: None}
+
+
+def test_classifier_metrics_without_positives_or_scores(frame):
+    df = frame("fold string, p double, y int", ("a", 0.2, 0), ("a", 0.7, 0), ("b", 0.9, 1), ("b", None, 0), ("b", 0.1, 0), ("b", 0.3, None))
+    got = {r["fold"]: r for r in metrics.classifier_metrics(df, "p", "y", by=["fold"]).collect()}
+    assert got["a"]["average_precision"] is None and got["a"]["roc_auc"] is None and got["a"]["accuracy"] == 0.5
+    assert got["b"]["average_precision"] == 1.0 and got["b"]["roc_auc"] == 1.0 and got["b"]["accuracy"] == 1.0
+
+
 def test_exact_podium_equals_enumeration(frame):
     scores = [1.5, 1.0, 0.2, -0.3, -2.0, 0.9]
     df = frame("year int, round int, driver bigint, s double", *[(1, 1, i, s) for i, s in enumerate(scores)])
