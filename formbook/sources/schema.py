@@ -71,11 +71,12 @@ def role_problems(features=FEATURE_COLS, ids=ID_COLS, removed=REMOVED_COLS) -> l
 
 
 def role_report(df: DataFrame) -> DataFrame:
-    """One row per column of `df` with its role."""
+    """One row per column of `df` with its role, type and number of known values."""
     role = {**{c: "removed" for c in REMOVED_COLS}, **{c: "id" for c in ID_COLS},
             **{c: "feature" for c in FEATURE_COLS}, TARGET: "target"}
-    rows = [(c, role.get(c, "other"), t) for c, t in df.dtypes]
-    return df.sparkSession.createDataFrame(rows, "column string, role string, type string")
+    facts = [F.struct(F.lit(c).alias("column"), F.lit(role.get(c, "other")).alias("role"), F.lit(t).alias("type"),
+                      F.count(F.col(f"`{c}`")).alias("n_known")) for c, t in df.dtypes]
+    return df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
 
 
 def complete(df: DataFrame, columns: dict[str, str]) -> DataFrame:
