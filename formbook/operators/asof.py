@@ -160,31 +160,33 @@ def long_prefix(df: DataFrame, keys: Sequence[str], time: str,
     (or included with `inclusive`). `reverse` looks at later events instead.
 
     Rows shuffle once on (key, chunk). The carried table holds one row per key
-    and time chunk, so its own window is bounded by the calendar.
+    and time chunk, so its own window is bounded by the calendar. The keys act as
+    one struct, which is equal to itself also where a key is NULL.
     """
     at = -event_us(time) if reverse else event_us(time)
     rows = df.withColumn("_chunk", F.unix_micros(F.date_trunc(chunk, col(time).cast("timestamp"))))
+    rows = rows.withColumn("_key", F.struct(*[F.col(k) for k in keys]))
     if reverse:
         rows = rows.withColumn("_chunk", -F.col("_chunk"))
     for out, (fold, value) in wanted.items():
         rows = rows.withColumn(f"_in_{out}", col(value))
 
-    sums = rows.groupBy(*keys, "_chunk").agg(
+    sums = rows.groupBy("_key", "_chunk").agg(
         *[_FOLD[f](f"_in_{o}").alias(f"_sum_{o}") for o, (f, _) in wanted.items()])
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(*keys, "_chunk", *[
+    earlier = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select("_key", "_chunk", *[
         _MERGE[f](f"_sum_{o}").over(earlier).alias(f"_carry_{o}") for o, (f, _) in wanted.items()])
 
     if tie is not None:
         order = [at, *[-F.col(t) if reverse else F.col(t) for t in tie]]
-        w = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
+        w = (Window.partitionBy("_key", "_chunk").orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     else:
-        w = (Window.partitionBy(*keys, "_chunk").orderBy(at)
+        w = (Window.partitionBy("_key", "_chunk").orderBy(at)
              .rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     local = rows.select("*", *[
         _FOLD[f](f"_in_{o}").over(w).alias(f"_loc_{o}") for o, (f, _) in wanted.items()])
-    joined = local.join(carry, [*keys, "_chunk"], "left")
+    joined = local.join(carry, ["_key", "_chunk"], "left")
 
     outs = []
     for o, (f, _) in wanted.items():
@@ -216,8 +218,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
                     F.col(right_tie).alias("_tie"), *[F.col(p) for p in payload])
     left_side = left.select(F.struct(*[F.col(c) for c in names]).alias("_left"),
                             *[F.col(b) for b in by], col(left_time).alias("_time"))
-    right_side = right.select(*[F.col(b) for b in by], col(right_time).alias("_time"),
-                              pack.alias("_right"))
+    right_side = right.dropna(subset=list(by)).select(  # a NULL key matches nothing
+        *[F.col(b) for b in by], col(right_time).alias("_time"), pack.alias("_right"))
     both = left_side.unionByName(right_side, allowMissingColumns=True)
     found = long_prefix(both, by, "_time", {"_match": ("max", "_right")}, chunk,
                         inclusive=allow_exact, reverse=forward).filter(F.col("_left").isNotNull())

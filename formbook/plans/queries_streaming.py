@@ -22,11 +22,11 @@ def _stream(spark, path, schema):
 def _(spark, sf):
     landed, scored = scratch(spark, "landed"), scratch(spark, "scored")
     results = league.results(spark, sf)
-    # One file holds whole contests.
-    results.repartition(3, *K).write.parquet(landed)
+    # A contest's rows lie in several files, and each file is a batch of its own.
+    results.withColumn("_half", F.col("driver") % 2).repartition(2, "_half").drop("_half").write.parquet(landed)
     q = online.score_results(_stream(spark, landed, results.schema), league.forecasts(spark, sf), scored, scratch(spark, "cp"))
     q.awaitTermination()
-    return out(spark.read.parquet(scored), *SCORE_COLS)
+    return out(online.latest_scores(spark.read.parquet(f"{scored}/scored")), *SCORE_COLS)
 
 
 @query("str2_online_history",
@@ -35,15 +35,17 @@ def _(spark, sf):
            {r('sum(value * pow(2.0, k / 3.0)) over w / sum(pow(2.0, k / 3.0)) over w as ewm_before')} from k
            window w as (partition by user_id order by k rows between unbounded preceding and 1 preceding)""")
 def _(spark, sf):
-    landed, rows, state = (scratch(spark, n) for n in ("landed", "rows", "state"))
+    landed, rows, state, scratch_cp = (scratch(spark, n) for n in ("landed", "rows", "state", "cp"))
     events = league.events(spark, sf).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    # Three landings in event-time order.
-    edges = ("2024-01-01", "2024-01-11", "2024-01-21", "2100-01-01")
-    for a, b in zip(("1900-01-01", *edges[1:3]), edges[1:]):
-        events.filter((F.col("ts") >= a) & (F.col("ts") < b)).coalesce(1).write.mode("append").parquet(landed)
-    q = online.online_history(_stream(spark, landed, events.schema), ["user_id"], "ts", "event_id", "value", 3.0,
-                              rows, state, scratch(spark, "cp"))
-    q.awaitTermination()
+    # Three landings in event-time order; each is one batch of any number of files.
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    one, two = (low + (high - low) * k / 3 for k in (1, 2)) if low else (None, None)
+    first, second = F.coalesce(F.col("ts") < F.lit(one), F.lit(False)), F.coalesce(F.col("ts") < F.lit(two), F.lit(False))
+    for some in (first, ~first & second, ~second):
+        events.filter(some).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(events.schema).parquet(landed)
+        q = online.online_history(stream, ["user_id"], "ts", "event_id", "value", 3.0, rows, state, scratch_cp)
+        q.awaitTermination()
     return out(spark.read.parquet(f"{rows}/rows"), "event_id", "n_before", "sum_before", "min_before", "ewm_before")
 
 
@@ -52,7 +54,7 @@ def _(spark, sf):
 def _(spark, sf):
     landed, flagged = scratch(spark, "landed"), scratch(spark, "flagged")
     rows = league.forecasts(spark, sf).select(*K, "driver", F.col("created_utc").cast("timestamp").alias("created_utc"))
-    rows.repartition(2).write.parquet(landed)
+    rows.write.parquet(landed)
     schedule = league.schedule(spark, sf).withColumn("start_utc", F.col("start_utc").cast("timestamp"))
     q = online.flag_late(_stream(spark, landed, rows.schema), schedule, flagged, scratch(spark, "cp"))
     q.awaitTermination()

@@ -23,26 +23,39 @@ K = list(CONTEST)
 
 
 def score_results(results: DataFrame, forecasts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Score static forecasts against a stream of results; a contest lands whole.
+    """Score static forecasts against a stream of results.
 
-    Each micro-batch writes its own folder, so a retry replaces it.
+    The rows of a contest may land in any number of batches: each batch keeps its
+    rows under `<out>/landed` and scores the contests that it touches from all
+    rows landed so far, under `<out>/scored`. `latest_scores` reads each contest's
+    last version. Each micro-batch writes its own folders, so a retry replaces them.
     """
     def batch(rows: DataFrame, batch_id: int) -> None:
-        landed = rows.select(*K).distinct()
-        due = forecasts.join(landed, K, "left_semi")
-        records.score(due, rows).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark = rows.sparkSession
+        rows.write.mode("overwrite").parquet(f"{out}/landed/batch={batch_id}")
+        landed = spark.read.schema(rows.schema.add("batch", "long")).parquet(f"{out}/landed").where(F.col("batch") <= batch_id).drop("batch")
+        touched = spark.read.schema(rows.schema).parquet(f"{out}/landed/batch={batch_id}").select(*K).distinct()
+        scored = records.score(forecasts.join(touched, K, "left_semi"), landed.join(touched, K, "left_semi"))
+        scored.write.mode("overwrite").parquet(f"{out}/scored/batch={batch_id}")
 
     return (results.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def latest_scores(scored: DataFrame) -> DataFrame:
+    """The last version of each contest of `<out>/scored`."""
+    last = scored.groupBy(*K).agg(F.max("batch").alias("batch"))
+    return scored.join(last, [*K, "batch"]).drop("batch")
+
+
 def online_history(events: DataFrame, keys: Sequence[str], time: str, tie: str, value: str, half_life: float,
                    out: str, state: str, checkpoint: str, delay: str = "0 seconds") -> StreamingQuery:
     """Emit the prior state of each key for every event, then fold the event in.
 
     Emitted: count, sum, mean, minimum and weighted mean before the event. Rows older
     than the watermark of the batches before (`delay` behind the newest time
-    seen) are written to `<out>/late` instead of changing history.
+    seen) are written to `<out>/late` instead of changing history, rows with a NULL
+    key to `<out>/unkeyed`. A missing state is an error.
     """
     keys = list(keys)
     h = float(half_life)
@@ -55,7 +68,13 @@ def online_history(events: DataFrame, keys: Sequence[str], time: str, tie: str,
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
         before = f"{state}/v={batch_id - 1}"
-        if batch_id > 0 and path_exists(spark, before):
+        # Keys that are NULL belong to no history: such rows are kept apart.
+        unkeyed = F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull()
+        rows.filter(unkeyed).write.mode("overwrite").parquet(f"{out}/unkeyed/batch={batch_id}")
+        rows = rows.filter(~unkeyed)
+        if batch_id > 0:
+            if not path_exists(spark, before):
+                raise FileNotFoundError(f"the state of batch {batch_id - 1} is missing: {before}")
             known = spark.read.parquet(before)
         else:
             known = rows.limit(0).select(*keys, F.lit(0).cast("bigint").alias("n"),

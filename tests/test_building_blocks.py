@@ -191,3 +191,14 @@ def test_naive_audit_finds_a_leak(frame):
     keys = ["year", "round", "driver"]
     assert quality.mismatches(good, naive, keys, ["x"]).first()["n_mismatches"] == 0
     assert quality.mismatches(leaky, naive, keys, ["x"]).first()["n_mismatches"] == 3
+
+
+def test_null_keys_of_long_histories_and_asof_joins(frame):
+    from formbook.operators.asof import asof_join, long_prefix
+    rows = frame("k int, t timestamp_ntz, id int, v double", *[(k, datetime(2024, 1, 1, h), 10 * h + (k or 0), 1.0) for k in (None, 7) for h in (1, 2, 3)])
+    rows = rows.withColumn("t", F.col("t").cast("timestamp"))
+    got = {(r.k, r.id): r.n for r in long_prefix(rows, ["k"], "t", {"n": ("count", "v")}, tie=["id"]).collect()}
+    assert got == {(None, 10): 0, (None, 20): 1, (None, 30): 2, (7, 17): 0, (7, 27): 1, (7, 37): 2}
+    right = rows.select("k", F.col("t").alias("u"), F.col("id").alias("j"))
+    found = {(r.k, r.id): r.j for r in asof_join(rows, right, ["k"], "t", "u", ["j"], "j").collect()}
+    assert found == {(None, 10): None, (None, 20): None, (None, 30): None, (7, 17): None, (7, 27): 17, (7, 37): 27}
