@@ -6,10 +6,12 @@ word bigrams, repeats included, are compared with each template's:
 2 * shared / (unit's + template's). A unit of u bigrams can reach the threshold t
 only with templates of between u * t / (2 - t) and u * (2 - t) / t bigrams, so a
 table lists for each u the templates in bounds; units outside all bounds are
-dropped by their word count before any bigram is made. The table follows from
+dropped by their word count before any bigram is made. Texts without a cue word
+are dropped before that: cue words are chosen from the templates so that a unit
+without any of them would lack too many bigrams of every template. The table follows from
 the template list alone (a few hundred rows), which bounds its broadcast. A
 unit's comparisons stay in its row: nothing is shuffled, and only DataFrame
-functions run.
+functions run. Texts with a cue word are written once and read for each kind of unit.
 
 Defined cases: null and empty texts have no unit in bounds; of templates with
 equal coefficients the first in the list is reported; repeated rows are reported
@@ -26,6 +28,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 THRESHOLD_PERCENT = 80
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -84,6 +88,11 @@ software. 3. This notice may not be removed or altered from any source distribut
 ]
 
 
+# Words that many texts hold: poor cues, so others are preferred. The choice changes no result.
+ORDINARY = set("a above all and any are as be but by do for from general if in is it not of on or other out same so source such that the "
+               "this to under use used with without work you".split())
+
+
 def bigram_bag(text: str) -> list[str]:
     """Bigrams of a template, each with the number of its occurrence: sets of these compare as bags."""
     words, seen, out = re.findall("[a-z0-9]+", text.lower()), {}, []
@@ -109,14 +118,38 @@ def template_rows(templates: list[tuple[str, str]], percent: int) -> list[dict]:
     return [{"n": n, "templates": t} for n, t in sorted(by_size.items())]
 
 
-def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def cue_words(templates: list[tuple[str, str]], percent: int) -> list[str]:
+    """Words of which every matching unit holds at least one.
+
+    A unit that matches a template of t bigrams lacks at most t - low of them. A unit
+    without a template's cue words lacks all bigrams with these words; words are added,
+    the one that helps most templates first, until that is too many for each template.
+    """
+    left, holds = {}, {}
+    for no, (_, text) in enumerate(templates):
+        bag = bigram_bag(text)
+        if bag:
+            left[no] = len(bag) - bounds(len(bag), percent)[0] + 1
+        for gram in bag:
+            for word in set(gram.split("#")[0].split(" ")):
+                holds.setdefault(word, {}).setdefault(no, set()).add(gram)
+    used, out = {no: set() for no in left}, []
+    while any(len(used[no]) < left[no] for no in left):
+        gain = {w: sum(min(left[no] - len(used[no]), len(g - used[no])) for no, g in by.items() if len(used[no]) < left[no])
+                * (w not in ORDINARY and not w.isdigit()) + 1e-3 * sum(len(g - used[no]) for no, g in by.items() if len(used[no]) < left[no]) for w, by in holds.items()}
+        best = max(gain, key=lambda w: (gain[w], len(w), w))
+        out.append(best)
+        for no, g in holds.pop(best).items():
+            used[no] |= g
+    return out
+
+
+def _units(rows: DataFrame) -> DataFrame:
     """(_id, kind, no, words): normalised lines, paragraphs of several lines, and the text if it has several lines.
 
-    The table is read once for each kind: the texts are scanned three times, but no
-    expression over a whole text is computed again inside a lambda.
+    `rows` (_id, norm) is read once for each kind; no expression over a whole text
+    is computed again inside a lambda.
     """
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("_id"), F.regexp_replace(F.translate(text, UPPER, LOWER), r"[^a-z0-9\n]+", " ").alias("norm"))
     one = lambda x: F.trim(F.regexp_replace(x, r"[ \n]+", " "))
     struct = lambda kind, no, words: F.struct(F.lit(kind).alias("kind"), no.cast("int").alias("no"), words.alias("words"))
     lines = rows.select("_id", F.posexplode(F.split("norm", "\n"))).select(
@@ -138,7 +171,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, percen
     table = docs.sparkSession.createDataFrame([(json.dumps(r),) for r in rows], "j string").select(
         F.from_json("j", schema).alias("r")).select("r.*")
     n = F.length("words") - F.length(F.replace(F.col("words"), F.lit(" ")))  # words less one
-    units = _units(docs, id_col, text_col).withColumn("n", n.cast("int")).where(F.col("n").between(min(sizes), max(sizes)))
+    text = F.col(text_col).cast("string")
+    # The explode of one element keeps the lower-case text from being made once per cue word.
+    texts = docs.select(F.col(id_col).alias("_id"), text.alias("text"), F.explode(F.array(F.lower(text))).alias("low"))
+    cue = F.lit(False)
+    for word in cue_words(TEMPLATES if templates is None else templates, percent):
+        cue = cue | (F.contains(F.col("low"), F.lit(word)) if len(word) > 3 else F.col("low").rlike(f"(^|[^a-z0-9]){word}([^a-z0-9]|$)"))
+    norm = F.regexp_replace(F.translate("text", UPPER, LOWER), r"[^a-z0-9\n]+", " ")
+    texts = materialise(texts.where(cue).select("_id", norm.alias("norm")), "licence-texts")
+    units = _units(texts).withColumn("n", n.cast("int")).where(F.col("n").between(min(sizes), max(sizes)))
     units = units.join(F.broadcast(table), "n")  # one row a size, set by the template list
     # Each step's array comes out of an explode of one element: a filter on it then stays above it, so that no
     # step is computed again inside a later one's lambda.
