@@ -50,10 +50,11 @@ END_ID = 1
 SEEKABLE_MAGIC, SKIPPABLE_MAGIC, WITH_CHECKSUMS = 0x8F92EAB1, 0x184D2A5E, 128
 NULL_ID = -(1 << 63)
 # Words and runs of letters whose ids a worker remembers, and the longest of them in bytes.
-WORDS, RUNS, LONGEST = 300_000, 800_000, 48
+WORDS, RUNS, LONGEST = 900_000, 800_000, 48
 # Words that are one run of Latin letters and then marks: the tokenizer divides them there,
 # and their lower case and canonical composition are beyond doubt.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?%&*#$|]*)")
+MARKS = b".,;:!?%&*#$|"
+LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 # Runs encoded in one call.
 CALL = 2_000
 
@@ -77,32 +78,48 @@ class WordEncoder:
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _runs(self, runs: list[str]) -> None:
+    def _runs(self, runs: list[bytes]) -> None:
         """Learn runs of letters: many in one text, cut where a token ends a word."""
         for at in range(0, len(runs), CALL):
             some = runs[at:at + CALL]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
                 data = ids.tobytes()
                 bounds = [0, *(4 * cuts).tolist()]
                 self.runs.update((r, data[a:b]) for r, a, b in zip(some, bounds, bounds[1:], strict=False))
             else:
-                self.runs.update(zip(some, self._encode(some), strict=True))
+                self.runs.update(zip(some, self._encode([r.decode() for r in some]), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        known, found, gaps = self.words, [], []
         split = [t.split() for t in texts]
-        known = self.words
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > WORDS:
-            known.clear()
-            new = list({w for words in split for w in words})
+        for words in split:
+            ids = list(map(known.get, words))
+            gaps.append([k for k, x in enumerate(ids) if x is None] if None in ids else [])
+            found.append(ids)
+        new = {words[k] for words, gap in zip(split, gaps, strict=True) for k in gap}
+        if new:
+            if len(known) + len(new) > WORDS:
+                known.clear()
+            got = self._learn(new)
+            for words, ids, gap in zip(split, found, gaps, strict=True):
+                for k in gap:
+                    ids[k] = got[words[k]]
+        return [b"".join(ids) for ids in found]
+
+    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words not known yet; all but long ones are remembered."""
         whole, parts = [], []
         for w in new:
-            m = PLAIN.fullmatch(w.decode("utf-8", "replace")) if len(w) <= LONGEST else None
-            if m:
-                parts.append((w, m[1].lower(), m[2]))
+            r = w.rstrip(MARKS)
+            if len(w) > LONGEST:
+                whole.append(w)
+            elif r.isalpha():  # of bytes: A-Z and a-z only
+                parts.append((w, r.lower(), w[len(r):]))
+            elif LATIN.fullmatch(r):
+                parts.append((w, r.decode().lower().encode(), w[len(r):]))
             else:
                 whole.append(w)
         if len(self.runs) > RUNS:
@@ -110,14 +127,11 @@ class WordEncoder:
         runs = self.runs
         self._runs(list({r for _, r, _ in parts if r not in runs}))
         marks = list({m for _, _, m in parts if m and m not in runs})
-        runs.update(zip(marks, self._encode(marks), strict=True))
-        known.update((w, runs[r] + runs[m] if m else runs[r]) for w, r, m in parts)
-        known.update(zip(whole, self._encode([w.decode("utf-8", "replace") for w in whole]), strict=True))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in whole:
-            if len(w) > LONGEST:
-                del known[w]
-        return out
+        runs.update(zip(marks, self._encode([m.decode() for m in marks]), strict=True))
+        got = {w: runs[r] + runs[m] if m else runs[r] for w, r, m in parts}
+        got.update(zip(whole, self._encode([w.decode("utf-8", "replace") for w in whole]), strict=True))
+        self.words.update((w, x) for w, x in got.items() if len(w) <= LONGEST)
+        return got
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -133,7 +147,7 @@ def encoder(path: str) -> WordEncoder:
 class FrameWriter:
     """Writes one part."""
 
-    def __init__(self, out, level: int = 3, frame_bytes: int = FRAME_BYTES):
+    def __init__(self, out, level: int = 1, frame_bytes: int = FRAME_BYTES):
         self.out, self.frame_bytes, self.waiting, self.table = out, frame_bytes, bytearray(), []
         self.compressor = zstandard.ZstdCompressor(level=level, write_content_size=True)
 
