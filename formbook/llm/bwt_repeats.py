@@ -12,7 +12,7 @@ each window lies in one context; equal windows lie in contexts of one anchor has
    repeated with all its windows, however often it occurs: counts are combined
    before the shuffle.
 3. Contexts that differ but share their anchor meet in one task, one of each, some
-   megabytes of whole anchor groups at a time. There the suffixes are sorted, the
+   hundred kilobytes of whole anchor groups at a time. There the suffixes are sorted, the
    transform is read off, and longest common prefixes follow breadth-first: value
    l + 1 is set where a symbol's consecutive occurrences have a value-l boundary
    between them. At `least` it stops; suffixes without a value share that many
@@ -46,7 +46,7 @@ from .common import small_batches, text_bytes
 
 LEAST, GRAM = 400, 64
 # Different contexts of one anchor that one task may expand; bytes expanded at a time; windows in a piece.
-GROUP, BATCH, PIECE = 2000, 1 << 21, 21
+GROUP, BATCH, PIECE = 2000, 1 << 18, 21
 # Windows hashed at a time.
 SEGMENT = 1 << 20
 _M = 0xBF58476D1CE4E5B9
@@ -202,8 +202,8 @@ def _expand(batches: Iterator[pa.RecordBatch], least: int, limit: int = BATCH) -
         yield flush()
 
 
-def _distinct(docs: DataFrame, text_col: str, least: int) -> DataFrame:
-    """(k, k2, copies, data): texts of at least one window, one row each, in buckets by k."""
+def _distinct(docs: DataFrame, text_col: str, least: int) -> str:
+    """Name of a table (k, k2, sha, copies, data): texts of at least one window, one row each, in buckets by k."""
     spark: SparkSession = docs.sparkSession
     rows = docs.select(text_bytes(text_col).alias("data")).where(F.length("data") >= least)
     rows = rows.select(F.unhex(F.sha2("data", 256)).alias("sha"), "data")
@@ -241,7 +241,7 @@ def _distinct(docs: DataFrame, text_col: str, least: int) -> DataFrame:
     texts = texts.select(F.xxhash64("sha").alias("k"), F.hash("sha").alias("k2"), "sha", "copies", "data")
     name = f"repeat_texts_{uuid.uuid4().hex}"
     texts.write.bucketBy(n, "k").option("path", scratch_path(spark, "repeat-texts")).saveAsTable(name)
-    return spark.table(name)
+    return name
 
 
 def _with_text(texts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -269,7 +269,8 @@ def repeated_ranges(texts: DataFrame, least: int = LEAST, gram: int = GRAM, grou
     rows = materialise(texts.select("k", "k2", "copies", "data").mapInArrow(
         rows_of, "h long, c long, k long, k2 int, first int, span int, off int, copies long"), "anchors")
     again = rows.groupBy("h").agg(F.sum("copies").alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("n > 1").select("h", "mixed")
-    rows = materialise(rows.join(again, "h"), "anchors-again")
+    # Written first, so that the join sees two plain shuffles and can split a hot anchor.
+    rows = materialise(rows.join(materialise(again, "anchors-kept"), "h"), "anchors-again")
     whole = rows.groupBy("h", "c", "mixed").agg(F.sum("copies").alias("n"), F.max("span").alias("span"),
                                                 F.min(F.struct("k", "k2", "first", "off")).alias("rep"))
     whole = materialise(whole, "contexts")
@@ -366,7 +367,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
             group: int = GROUP) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
     small_batches(docs.sparkSession)
-    texts = _distinct(docs, text_col, least)
+    texts_name = _distinct(docs, text_col, least)
+    texts = docs.sparkSession.table(texts_name)
     ranges = repeated_ranges(texts, least, gram, group)
 
     def strip(batches):
@@ -392,6 +394,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     done = materialise(_with_text(texts.select("k", "k2", "sha", "data"), ranges).select("sha", "data", "ranges").mapInArrow(
         strip, "sha binary, n_removed long, n_spans long, kept string"), "stripped")
     data = text_bytes(text_col)
+    docs.sparkSession.sql(f"drop table if exists {texts_name}")  # the files stay until the shared folder is cleared
     rows = docs.select(F.col(id_col).alias("_id"), F.length(data).cast("long").alias("n_bytes"), F.unhex(F.sha2(data, 256)).alias("sha"))
     return rows.join(done, "sha", "left").select(
         F.col("_id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
