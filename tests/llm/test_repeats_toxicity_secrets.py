@@ -250,3 +250,53 @@ def test_revisits_of_one_hot_url_match_brute_force(spark):
         if s == 304:
             full = [(x[2], x[0]) for x in rows if x[1] == u and x[3] == 200 and x[2] <= t]
             assert got[k] == (max(full)[1] if full else None)
+
+
+def test_network_sees_whole_candidates_short_ones_and_the_rest_of_touched_runs():
+    class Marks(secret_scan.Network):  # a key is a window that holds "Zq7" inside the candidate
+        def probability(self, x):
+            inside = x[:, secret_scan.BEFORE:-secret_scan.AFTER]
+            return np.array([float("Zq7" in "".join(chr(c + 32) for c in row)) for row in inside.tolist()])
+
+    net = Marks(**vars(secret_scan.Network.new(1)))
+    path, key, hexes = "some/long.path-of/names_", "x9Zq7Lk2", "deadbeef" * 4
+    texts = ["at " + path * 3 + key + path * 2 + " end", f"is {key} ok", f"run {key}/{hexes}-{key} end", f"run {hexes}-short"]
+    got = [[(a, b) for a, k, b in f if k == "cnn"] for f in secret_scan.find(texts, net)]
+    assert got == [[(3, 3 + 5 * len(path) + 8)], [(3, 11)], [(4, 13), (45, 54)], []]
+
+
+def test_windows_reach_every_character_and_lookups_match_the_network():
+    rng = random.Random(5)
+    text = "é" + "".join(rng.choice("abc \0ü/") for _ in range(300))
+    spots = [(a, min(len(text), a + n)) for a in range(0, 290, 7) for n in (8, 20, 28)]
+    x = secret_scan.symbols([secret_scan.window(text, a, b) for a, b in spots])
+    gap = len(secret_scan.GAP)
+    codes = secret_scan._codes(secret_scan.GAP + text + secret_scan.GAP)
+    assert (secret_scan.gathered(codes, np.array(spots) + gap) == x).all()
+    net = secret_scan.Network.new(2)
+    assert np.allclose(net.logits(x), net.forward(x)[0], atol=1e-5)
+    for n in range(8, 120):
+        some = secret_scan.pieces(5, 5 + n)
+        assert {i for a, b in some for i in range(a, b)} == set(range(5, 5 + n))
+        assert all(any(a <= i and i + 20 <= b for a, b in some) for i in range(5, 5 + n - 19))
+
+
+def test_recall_alone_sets_the_threshold():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 95, (600, secret_scan.WIDTH))  # nothing to learn: probabilities stay near the share of ones
+    y = (np.arange(600) % 10 == 0).astype(float)
+    net = secret_scan.train(x, y, epochs=1)
+    assert net.threshold < 0.5
+
+
+def test_network_finds_a_key_inside_a_long_path():
+    rng = random.Random(12)
+    word = lambda n=4: "".join(rng.choice(["heit", "lich", "ver", "ung", "keit", "ein"]) for _ in range(n))
+    known, of = [("some ", word(), " text") for _ in range(200)], []
+    x, y = secret_scan.constructed([], known, of=of)
+    net = secret_scan.train(secret_scan.symbols(x), np.array(y, np.float64), of=np.array(of))
+    key = lambda: "".join(rng.choice(secret_scan.ALPHABETS[3][:62]) for _ in range(24))
+    path = lambda: "/".join(word(2) for _ in range(5))
+    hits = secret_scan.find([f"see {path()}/{key()}/{path()} here" for _ in range(100)], net)
+    miss = secret_scan.find([f"see {path()}/{word(3)}/{path()} here" for _ in range(100)], net)
+    assert np.mean([len(h) > 0 for h in hits]) >= 0.85 and np.mean([len(h) > 0 for h in miss]) <= 0.15
