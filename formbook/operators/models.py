@@ -150,7 +150,7 @@ def importances(model: PipelineModel, spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def fit_fold(prefill: DataFrame, table: DataFrame, fold: str, n_draws: int = 200, max_iter: int = 20) -> DataFrame:
+def fit_fold(prefill: DataFrame, table: DataFrame, fold: str, n_draws: int = vocab.PL_DRAWS, max_iter: int = 40) -> DataFrame:
     """Everything fitted inside one fold, predictions of its test contests.
 
     The fill policy sees training rows only; blend weight and temperature see
@@ -196,7 +196,7 @@ def fit_fold(prefill: DataFrame, table: DataFrame, fold: str, n_draws: int = 200
         F.lit(float(temperature)).alias("temperature"), F.lit(float(grid_t)).alias("grid_temperature"))
 
 
-def run_folds(prefill: DataFrame, table: DataFrame, n_draws: int = 200, max_iter: int = 20) -> DataFrame:
+def run_folds(prefill: DataFrame, table: DataFrame, n_draws: int = vocab.PL_DRAWS, max_iter: int = 40) -> DataFrame:
     """`fit_fold` over every fold (a handful, a few at a time); each part is written when done."""
     names = [r["fold"] for r in table.select("fold").distinct().orderBy("fold").collect()]
     parts = _together(*[lambda n=n: materialise(fit_fold(prefill, table, n, n_draws, max_iter), "predictions")
@@ -264,7 +264,7 @@ def load_bundle(spark, path: str) -> tuple[PipelineModel, DataFrame, DataFrame]:
 
 
 def forecast(upcoming: DataFrame, bundle: tuple[PipelineModel, DataFrame, DataFrame],
-             n_draws: int = 2000) -> DataFrame:
+             n_draws: int = vocab.PL_DRAWS) -> DataFrame:
     """Ordered forecast rows of contests that have not run, from their prefill features.
 
     Contests on or before the training cutoff are refused.

@@ -14,7 +14,6 @@ from .registry import out, query
 from .tables import training_table
 
 ID = [*K, "driver"]
-ITER = 5
 
 
 def _parts(spark, sf):
@@ -28,7 +27,7 @@ def _parts(spark, sf):
 @query("ml1_top10_classifier")
 def _(spark, sf):
     train, val, test = _parts(spark, sf)
-    model = models.fit_classifier(train, val, "finished_top10", max_iter=ITER)
+    model = models.fit_classifier(train, val, "finished_top10")
     return out(models.with_probability(model, test, "p_top10_clf"), *ID, "finished_top10", "p_top10_clf")
 
 
@@ -54,7 +53,7 @@ def _(spark, sf):
 @query("ml2_grade_challenger")
 def _(spark, sf):
     train, _, test = _parts(spark, sf)
-    return out(models.with_grade(models.fit_grade_ranker(train, ITER), test), *ID, "relevance", "rank_score")
+    return out(models.with_grade(models.fit_grade_ranker(train), test), *ID, "relevance", "rank_score")
 
 
 @query("ml3_specialist_heads")
@@ -62,7 +61,7 @@ def _(spark, sf):
     from ..operators.probability import log_odds
     train, val, test = _parts(spark, sf)
     for head, label in (("winner_head", "is_winner"), ("podium_head", "is_podium")):
-        model = models.fit_classifier(train, val, label, balanced=True, max_iter=ITER)
+        model = models.fit_classifier(train, val, label, balanced=True)
         test = models.with_probability(model, test, head)
     test = materialise(test, "heads").withColumns({h: log_odds(h) for h in ("winner_head", "podium_head")})
     return out(test, *ID, "winner_head", "podium_head")
@@ -71,13 +70,13 @@ def _(spark, sf):
 @query("ml4_bounded_search")
 def _(spark, sf):
     train, val, _ = _parts(spark, sf)
-    return out(models.search(train, val, max_iter=2))
+    return out(models.search(train, val))
 
 
 def _predictions(spark, sf):
     def build():
         pre = training_table(spark, sf)
-        return models.run_folds(pre, folds.season_folds(pre), n_draws=50, max_iter=ITER)
+        return models.run_folds(pre, folds.season_folds(pre))
     return stored(spark, sf, "fold_predictions", build)
 
 
@@ -89,13 +88,13 @@ def _(spark, sf):
 @query("ml5_fold_gates")
 def _(spark, sf):
     from ..operators import gates
-    return out(gates.probability_gates(_predictions(spark, sf), n=2000))
+    return out(gates.probability_gates(_predictions(spark, sf)))
 
 
 @query("eval14_feature_importance")
 def _(spark, sf):
     train, val, _ = _parts(spark, sf)
-    return out(models.importances(models.fit_classifier(train, val, "finished_top10", max_iter=ITER), spark))
+    return out(models.importances(models.fit_classifier(train, val, "finished_top10"), spark))
 
 
 def _bundle(spark, sf):
@@ -137,4 +136,4 @@ def _(spark, sf):
     rows = features.asof_features(history, future).filter((F.col("year") == year) & (F.col("round") == rnd))
     order = grid.provisional(rows, "q3_s")
     path = _bundle(spark, sf).first()["path"]
-    return out(models.forecast(grid.overlay(rows, order), models.load_bundle(spark, path), n_draws=200))
+    return out(models.forecast(grid.overlay(rows, order), models.load_bundle(spark, path)))

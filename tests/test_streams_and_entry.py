@@ -46,3 +46,50 @@ def test_oracle_agrees_on_the_smallest_scale(spark, name):
     cur = con.execute(entry.oracle_sql()[name])
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == \
         canonical([d[0] for d in cur.description], cur.fetchall())
+
+
+def test_model_queries_take_the_documented_defaults(spark, monkeypatch):
+    import inspect
+    from unittest.mock import MagicMock
+
+    from formbook.functions import vocab
+    from formbook.operators import gates, models
+    from formbook.plans import queries_models
+
+    class Called(Exception):
+        pass
+
+    def record(module, name):
+        signature = inspect.signature(getattr(module, name))
+
+        def call(*args, **kwargs):
+            bound = signature.bind(*args, **kwargs)
+            bound.apply_defaults()
+            raise Called(bound.arguments)
+        monkeypatch.setattr(module, name, call)
+
+    for name in ("fit_classifier", "fit_grade_ranker", "search", "run_folds", "forecast"):
+        record(models, name)
+    record(gates, "probability_gates")
+    monkeypatch.setattr(queries_models, "_parts", lambda *_: (None, None, None))
+    monkeypatch.setattr(queries_models, "training_table", MagicMock())
+    monkeypatch.setattr(queries_models, "_bundle", MagicMock())
+    monkeypatch.setattr(models, "load_bundle", MagicMock())
+    for name in ("features", "folds", "grid"):
+        monkeypatch.setattr(queries_models, name, MagicMock())
+    future = MagicMock()
+    future.select.return_value.first.return_value = (2024, 1)
+    monkeypatch.setattr(queries_models, "next_contest", lambda *_: (None, future))
+    monkeypatch.setattr(queries_models, "stored", lambda spark, sf, name, build: build())
+
+    def asked(query):
+        with pytest.raises(Called) as e:
+            entry.queries()[query](spark, SF)
+        return e.value.args[0]
+
+    for query, rounds in (("ml1_top10_classifier", 40), ("ml2_grade_challenger", 20), ("ml3_specialist_heads", 40), ("ml4_bounded_search", 20),
+                          ("ml5_fold_runner", 40), ("eval14_feature_importance", 40)):
+        assert asked(query)["max_iter"] == rounds, query
+    assert asked("ml5_fold_runner")["n_draws"] == asked("ml9_forecast_table")["n_draws"] == vocab.PL_DRAWS
+    monkeypatch.setattr(queries_models, "_predictions", lambda *_: None)
+    assert asked("ml5_fold_gates")["n"] == vocab.BOOTSTRAP_REPLICATES
