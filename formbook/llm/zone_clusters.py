@@ -244,13 +244,13 @@ def clusters(vectors: DataFrame, k: int = 40, rounds: int = 5, dims: int = 64, s
 def oracle(k: int = 40, rounds: int = 5, dims: int = 64, scale: int = 256, prefix: str = "2:") -> str:
     """`clusters` of the embeddings table in DuckDB's SQL, every vector against every centroid."""
     ctes = [rf"""v as materialized (select row_number() over () as row, vec_id,
-        list_transform(embedding, x -> cast(floor({scale} * cast(x as double)) as bigint)) as v from embeddings
-      where len(embedding) = {dims} and len(list_filter(embedding, x -> x is not null and isfinite(x))) = {dims})""",
+        list_transform(embedding, lambda x: cast(floor({scale} * cast(x as double)) as bigint)) as v from embeddings
+      where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {dims})""",
             rf"""c0 as materialized (select row_number() over (order by h nulls last, v) - 1 as c, v from (
         select sha256('{prefix}' || vec_id) as h, v from v order by h nulls last, v limit {k}))"""]
     for n in range(rounds + 1):
         ctes.append(rf"""a{n} as materialized (select row, any_value(vec_id) as vec_id, any_value(v) as v, min(d * {k} + c) as best from (
-        select row, vec_id, v.v, c, cast(list_sum(list_transform(range(1, {dims + 1}), i -> (v.v[i] - c{n}.v[i]) * (v.v[i] - c{n}.v[i]))) as bigint) as d
+        select row, vec_id, v.v, c, cast(list_sum(list_transform(range(1, {dims + 1}), lambda i: (v.v[i] - c{n}.v[i]) * (v.v[i] - c{n}.v[i]))) as bigint) as d
         from v, c{n}) group by row)""")
         if n < rounds:
             ctes.append(rf"""c{n + 1} as materialized (select c{n}.c, coalesce(m.v, c{n}.v) as v from c{n} left join (
