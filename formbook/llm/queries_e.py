@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, zone_clusters
+from . import chat_format, collocations, zone_clusters
 from .common import query, table
 
 
+@query("op11_phrase_summaries", collocations.oracle())
+def op11_phrase_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op12_prefix_targets", chat_format.oracle())
 def op12_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
