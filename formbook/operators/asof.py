@@ -7,9 +7,8 @@ Three shapes, by how many rows one key can have:
 * `past_by_contest`: keys with many rows per contest (a group). Rows are first
   summed to one row per (key, contest), the window runs over that, and the
   result is joined back; the whole current contest is excluded.
-* `long_*`: event streams where one key may hold any number of rows. Time is
-  cut into chunks, each chunk is summarised, the summaries carry forward, and
-  only the rows of one (key, chunk) meet in a task.
+* `long_*`: event streams where one key may hold any number of rows, at any
+  times: prefix scans over measured parts of the order (`scan`).
 """
 
 from __future__ import annotations
@@ -22,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .. import CONTEST
 from ..functions.expr import col, ratio
-from .grouping import attach
+from .grouping import attach, same_keys
+from .scan import prefix_scan
 
 
 def event_us(time="date") -> Column:
@@ -68,8 +68,9 @@ def past_count_where(keys, mask: Column, time="date") -> Column:
     return F.count(F.when(mask, F.lit(1))).over(before(keys, time))
 
 
-# A closed form holds 2^(n / half-life); beyond this ratio doubles overflow.
-MAX_HALF_LIVES = 1000
+# Weights are powers of two within blocks of so many half-lives; what is older than
+# the block before has a weight below 2^-60 and vanishes in double precision.
+BLOCK_HALF_LIVES = 60
 
 
 class PastEwm(NamedTuple):
@@ -77,37 +78,60 @@ class PastEwm(NamedTuple):
 
     keys: Sequence[str]
     value: Column
-    step: Column
+    half_life: float
     time: str
 
 
 def past_ewm(keys, value, half_life: float, time="date") -> PastEwm:
     """Exponentially weighted past mean; NULL values take no step.
 
-    Weight of the i-th of n known values is 2^((i - n) / half_life). Histories
-    beyond MAX_HALF_LIVES half-lives fail; `long_ewm` has no such limit.
+    Weight of the i-th of n known values is 2^((i - n) / half_life); rows at one
+    time share a step. Histories may have any length.
     """
-    v = col(value)
-    upto = (Window.partitionBy(*keys).orderBy(event_us(time))
-            .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    step = F.count(v).over(upto) / F.lit(float(half_life))
-    safe = F.when(step <= MAX_HALF_LIVES, step).otherwise(
-        F.raise_error(F.lit("history too long for past_ewm, use long_ewm")).cast("double"))
-    return PastEwm(keys, v, safe, time)
+    return PastEwm(keys, col(value), float(half_life), time)
 
 
 def with_past_ewm(df: DataFrame, wanted: Mapping[str, PastEwm]) -> DataFrame:
-    """Add `past_ewm` columns: weights first, then all ratios in one select."""
+    """Add `past_ewm` columns, each step of all of them in one select.
+
+    A known value's step is cut into a block and a weight that grows inside the
+    block, so nothing overflows. The mean up to a value adds its own block's
+    earlier sums and the whole block before, faded by a block; a row takes the
+    mean up to the last value that is strictly earlier.
+    """
     names = df.columns
-    steps = {f"_w{i}": F.pow(F.lit(2.0), p.step) for i, p in enumerate(wanted.values())}
-    weighted = df.select("*", *[c.alias(n) for n, c in steps.items()])
-    outs = []
-    for (out, p), w in zip(wanted.items(), steps):
-        frame = before(p.keys, p.time)
-        num = F.sum(p.value * F.col(w)).over(frame)
-        den = F.sum(F.when(p.value.isNotNull(), F.col(w))).over(frame)
-        outs.append((num / den).alias(out))
-    return weighted.select(*names, *outs)
+    asked = list(enumerate(wanted.items()))
+
+    def added(rows: DataFrame, make) -> DataFrame:
+        return rows.select("*", *[c for i, (_, p) in asked for c in make(i, p)])
+
+    def size(p: PastEwm) -> int:
+        return max(1, round(BLOCK_HALF_LIVES * p.half_life))
+
+    def step(i, p):
+        upto = (Window.partitionBy(*p.keys).orderBy(event_us(p.time))
+                .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return [p.value.cast("double").alias(f"_x{i}"), F.count(p.value).over(upto).alias(f"_n{i}")]
+
+    def weight(i, p):
+        n = F.col(f"_n{i}")
+        return [F.floor(n / size(p)).alias(f"_k{i}"),
+                F.when(F.col(f"_x{i}").isNotNull(), F.pow(F.lit(2.0), F.pmod(n, F.lit(size(p))) / F.lit(p.half_life))).alias(f"_g{i}")]
+
+    def mean(i, p):
+        block = (Window.partitionBy(*p.keys, f"_k{i}").orderBy(event_us(p.time))
+                 .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        older = Window.partitionBy(*p.keys).orderBy(f"_k{i}").rangeBetween(-1, -1)
+        fade = F.lit(2.0 ** (-size(p) / p.half_life))
+
+        def total(c):
+            return F.sum(c).over(block) + F.coalesce(fade * F.sum(c).over(older), F.lit(0.0))
+
+        g = F.col(f"_g{i}")
+        return [F.when(g.isNotNull(), total(F.col(f"_x{i}") * g) / total(g)).alias(f"_m{i}")]
+
+    rows = added(added(added(df, step), weight), mean)
+    return rows.select(*names, *[F.last(f"_m{i}", ignorenulls=True).over(before(p.keys, p.time)).alias(out) for i, (out, p) in asked])
 
 
 # --- groups with several rows per contest ------------------------------------
@@ -145,62 +169,23 @@ def past_ewm_by_contest(df: DataFrame, keys: Sequence[str], value: str,
 
 
 # --- long histories ------------------------------------------------------------
-_MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
-_FOLD = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-
-
 def long_prefix(df: DataFrame, keys: Sequence[str], time: str,
-                wanted: Mapping[str, tuple[str, Column | str]], chunk: str = "hour",
-                tie: Sequence[str] | None = None, inclusive: bool = False,
-                reverse: bool = False) -> DataFrame:
+                wanted: Mapping[str, tuple[str, Column | str]], tie: Sequence[str] | None = None,
+                inclusive: bool = False, reverse: bool = False) -> DataFrame:
     """Running sum / count / min / max over earlier events of each key.
 
     `wanted` maps output name to (fold, value). With `tie`, earlier means lower
     in (time, tie); without it, rows at the same time are peers and excluded
-    (or included with `inclusive`). `reverse` looks at later events instead.
-
-    Rows shuffle once on (key, chunk). The carried table holds one row per key
-    and time chunk, so its own window is bounded by the calendar. The keys act as
-    one struct, which is equal to itself also where a key is NULL.
+    (or included with `inclusive`). `reverse` looks at later events instead. A
+    prefix scan: neither a key nor an instant meets in one task.
     """
     at = -event_us(time) if reverse else event_us(time)
-    rows = df.withColumn("_chunk", F.unix_micros(F.date_trunc(chunk, col(time).cast("timestamp"))))
-    rows = rows.withColumn("_key", F.struct(*[F.col(k) for k in keys]))
-    if reverse:
-        rows = rows.withColumn("_chunk", -F.col("_chunk"))
-    for out, (fold, value) in wanted.items():
-        rows = rows.withColumn(f"_in_{out}", col(value))
-
-    sums = rows.groupBy("_key", "_chunk").agg(
-        *[_FOLD[f](f"_in_{o}").alias(f"_sum_{o}") for o, (f, _) in wanted.items()])
-    earlier = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select("_key", "_chunk", *[
-        _MERGE[f](f"_sum_{o}").over(earlier).alias(f"_carry_{o}") for o, (f, _) in wanted.items()])
-
-    if tie is not None:
-        order = [at, *[-F.col(t) if reverse else F.col(t) for t in tie]]
-        w = (Window.partitionBy("_key", "_chunk").orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    else:
-        w = (Window.partitionBy("_key", "_chunk").orderBy(at)
-             .rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    local = rows.select("*", *[
-        _FOLD[f](f"_in_{o}").over(w).alias(f"_loc_{o}") for o, (f, _) in wanted.items()])
-    joined = local.join(carry, ["_key", "_chunk"], "left")
-
-    outs = []
-    for o, (f, _) in wanted.items():
-        a, b = F.col(f"_loc_{o}"), F.col(f"_carry_{o}")
-        if f in ("sum", "count"):
-            both = F.coalesce(a + b, a, b)
-        else:
-            both = (F.least if f == "min" else F.greatest)(a, b)
-        outs.append((F.coalesce(both, F.lit(0)) if f == "count" else both).alias(o))
-    return joined.select(*df.columns, *outs)
+    ties = None if tie is None else [-F.col(t) if reverse else F.col(t) for t in tie]
+    return prefix_scan(df, keys, at, wanted, ties, inclusive)
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
-              right_time: str, payload: Sequence[str], right_tie: str, chunk: str = "hour",
+              right_time: str, payload: Sequence[str], right_tie: str,
               allow_exact: bool = False, direction: str = "backward",
               tolerance_seconds: float | None = None, suffix: str = "") -> DataFrame:
     """The nearest earlier (or later) right row of the same key for every left row.
@@ -221,7 +206,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
     right_side = right.dropna(subset=list(by)).select(  # a NULL key matches nothing
         *[F.col(b) for b in by], col(right_time).alias("_time"), pack.alias("_right"))
     both = left_side.unionByName(right_side, allowMissingColumns=True)
-    found = long_prefix(both, by, "_time", {"_match": ("max", "_right")}, chunk,
+    found = long_prefix(both, by, "_time", {"_match": ("max", "_right")},
                         inclusive=allow_exact, reverse=forward).filter(F.col("_left").isNotNull())
     hit = F.col("_match").isNotNull()
     if tolerance_seconds is not None:
@@ -232,7 +217,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
 
 
 def long_ewm_state(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], value: str,
-                   half_life: float, chunk: str = "hour") -> DataFrame:
+                   half_life: float) -> DataFrame:
     """Weighted sum `num`, weight `den` and count `seen` of the known values before each row.
 
     Known values are numbered per key and cut into blocks of 60 half-lives.
@@ -241,7 +226,7 @@ def long_ewm_state(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[
     holds more than one block of a key.
     """
     h, size = float(half_life), int(60 * half_life)
-    rows = long_prefix(df, keys, time, {"seen": ("count", value)}, chunk, tie=tie)
+    rows = long_prefix(df, keys, time, {"seen": ("count", value)}, tie=tie)
     known = (rows.filter(col(value).isNotNull())
              .select(*keys, (F.col("seen") + 1).alias("seen"), col(value).cast("double").alias("_x"))
              .withColumn("_block", F.floor((F.col("seen") - 1) / size))
@@ -255,28 +240,28 @@ def long_ewm_state(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[
             .select(*keys, (F.col("_block") + 1).alias("_block"),
                     F.col("_a").alias("_ea"), F.col("_b").alias("_eb")))
     fade = F.pow(F.lit(2.0), F.lit(-1.0 / h)) / F.col("_grow")
-    state = (state.join(ends, [*keys, "_block"], "left")
+    state = (same_keys(state, ends, [*keys, "_block"], "left")
              .select(*keys, "seen", (F.col("_a") + F.coalesce(F.col("_ea") * fade, F.lit(0.0))).alias("num"),
                      (F.col("_b") + F.coalesce(F.col("_eb") * fade, F.lit(0.0))).alias("den")))
-    return rows.join(state, [*keys, "seen"], "left")
+    return same_keys(rows, state, [*keys, "seen"], "left")
 
 
 def long_ewm(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], value: str,
-             half_life: float, out: str, chunk: str = "hour") -> DataFrame:
+             half_life: float, out: str) -> DataFrame:
     """Exponentially weighted past mean for histories of any length."""
-    state = long_ewm_state(df, keys, time, tie, value, half_life, chunk)
+    state = long_ewm_state(df, keys, time, tie, value, half_life)
     return state.select(*df.columns, (F.col("num") / F.col("den")).alias(out))
 
 
 def long_rolling_mean(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], value: str,
-                      n: int, out: str, chunk: str = "hour") -> DataFrame:
+                      n: int, out: str) -> DataFrame:
     """Mean of the last n rows for histories of any length; a NULL occupies a slot.
 
     Rows are numbered per key; each row then serves the n rows after it, so the
     mean is a partial aggregate on (key, number) instead of a window per key.
     """
-    rows = long_prefix(df, keys, time, {"_i": ("count", F.lit(1))}, chunk, tie=tie)
+    rows = long_prefix(df, keys, time, {"_i": ("count", F.lit(1))}, tie=tie)
     serves = (rows.select(*keys, F.col(value).alias("_v"),
                           F.explode(F.sequence(F.col("_i") + 1, F.col("_i") + n)).alias("_i"))
               .groupBy(*keys, "_i").agg(F.avg("_v").alias(out)))
-    return rows.join(serves, [*keys, "_i"], "left").drop("_i")
+    return same_keys(rows, serves, [*keys, "_i"], "left").drop("_i")

@@ -5,8 +5,9 @@ nothing here sends a whole group to one task once the group is large:
 
 * totals are partial aggregates joined back (`attach`), never windows;
 * ranks are a window for small groups and a range-split sort for large ones;
-* quantiles likewise. Both forms give the same rows and values, NULL keys and
-  NULL values included, so the measured size decides the plan only.
+  both forms give the same rows and values, NULL keys and NULL values included,
+  so the measured size decides the plan only;
+* quantiles are selected inside brackets that a mergeable sketch gives.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def _ordering(order: Sequence[Order]) -> list[Column]:
     return [col(c).desc_nulls_last() if d == "desc" else col(c).asc_nulls_last() for c, d in order]
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal keys where NULL equals NULL; the keys are kept once."""
     right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     cond = None
@@ -107,7 +108,7 @@ def _split_rank(rows: DataFrame, keys: Sequence[str], order: Sequence[Order], ou
     group = Window.partitionBy(*keys)  # one row per part of a group
     first = indexed.groupBy(*keys, "_part").agg(F.min("_index").alias("_low"), F.count(F.lit(1)).alias("_here"))
     first = first.select(*keys, "_part", F.min("_low").over(group).alias("_first"), F.sum("_here").over(group).alias("_size"))
-    ranked = (_same(indexed, first, [*keys, "_part"])
+    ranked = (same_keys(indexed, first, [*keys, "_part"])
               .withColumn(out, (F.col("_index") - F.col("_first") + 1).cast("int"))
               .drop("_slot", "_off", "_index", "_first"))
     return ranked if parts else ranked.drop("_part", "_size")
@@ -147,7 +148,7 @@ def tie_ranks(rows: DataFrame, keys: Sequence[str], value: str, out: str, tie: S
     shared = placed.groupBy(*keys, value, "_part").agg(F.min("_place").alias("_lo"), F.max("_place").alias("_hi"))
     shared = shared.select(*keys, value, "_part",
                            ((F.min("_lo").over(equal) + F.max("_hi").over(equal)) / F.lit(2.0)).alias(out))
-    return _same(placed.drop("_place", "_size"), shared, [*keys, value, "_part"]).drop("_part")
+    return same_keys(placed.drop("_place", "_size"), shared, [*keys, value, "_part"]).drop("_part")
 
 
 def top_k(rows: DataFrame, keys: Sequence[str], order: Sequence[Order], k: int,
@@ -161,30 +162,64 @@ def top_k(rows: DataFrame, keys: Sequence[str], order: Sequence[Order], k: int,
     return rows.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
 
 
-def group_quantiles(rows: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]],
-                    extra: Mapping[str, Column] | None = None, split: bool | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles, one row per group; NULLs are skipped.
+# Ranks of a sketch are off by at most a share 1 / accuracy; a bracket keeps four times that to each side.
+SKETCH_ACCURACY = 10_000
+
 
-    `extra` aggregates of the same groups share the pass over the rows.
+def group_quantiles(rows: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]],
+                    extra: Mapping[str, Column] | None = None, having: Column | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles, one row per group; NULLs are skipped, NULL keys are a group.
+
+    Distributed selection in one plan at any group size, without a job while
+    planning. A mergeable sketch brackets each wanted rank; the rows below a
+    bracket are only counted, those inside are counted by value, both map-side.
+    The running count over a bracket's values, a share 8 / `SKETCH_ACCURACY` of
+    its group's rows, holds the exact rank. Should a sketch ever break its error
+    bound the query fails instead of answering. `extra` aggregates of the same
+    groups share the pass of the sketches.
     """
-    others = [c.alias(n) for n, c in (extra or {}).items()]
-    if split is None:
-        split = has_hot_group(rows, keys)
-    if not split:
-        return rows.groupBy(*keys).agg(
-            *[F.percentile(value, F.lit(q)).alias(out) for out, (value, q) in wanted.items()], *others)
-    result = rows.groupBy(*keys).agg(*others) if others else rows.select(*keys).distinct()
-    for value in dict.fromkeys(v for v, _ in wanted.values()):
-        have = rows.select(*keys, value).filter(col(value).isNotNull())
-        placed = _split_rank(have, keys, [(value, "asc")], "_place", parts=True).withColumnRenamed("_size", "_n")
-        picks = []
-        for out, (v, q) in wanted.items():
-            if v != value:
-                continue
-            at = (F.col("_n") - 1) * F.lit(float(q))
-            low = F.max(F.when(F.col("_place") - 1 == F.floor(at), F.col(value)))
-            high = F.max(F.when(F.col("_place") - 1 == F.ceil(at), F.col(value)))
-            share = F.max(at - F.floor(at))
-            picks.append((low + (high - low) * share).alias(out))
-        result = _same(result, placed.groupBy(*keys).agg(*picks), keys, "left")
-    return result
+    asked = list(enumerate(wanted.items()))
+    slack = 4.0 / SKETCH_ACCURACY
+    aggs = [c.alias(n) for n, c in (extra or {}).items()]
+    for i, (_, (value, q)) in asked:
+        x = col(value).cast("double")
+        ends = F.array(*[F.lit(min(max(p, 0.0), 1.0)) for p in (q - slack, q + slack)])
+        aggs += [F.count(x).alias(f"_n{i}"), F.min(x).alias(f"_min{i}"), F.max(x).alias(f"_max{i}"),
+                 F.percentile_approx(x, ends, SKETCH_ACCURACY).alias(f"_b{i}")]
+    table = rows.groupBy(*keys).agg(*aggs)
+    table = table if having is None else table.where(having)
+
+    bounds = table.select(*keys, *[F.struct(
+        F.col(f"_n{i}").alias("n"), (F.col(f"_min{i}") if q <= slack else F.col(f"_b{i}")[0]).alias("lo"),
+        (F.col(f"_max{i}") if q >= 1 - slack else F.col(f"_b{i}")[1]).alias("hi")).alias(f"_e{i}") for i, (_, (_, q)) in asked])
+    values = list(dict.fromkeys(value for value, _ in wanted.values()))
+    near = same_keys(rows.select(*keys, *values), bounds, keys)
+    tags = []
+    for i, (_, (value, _)) in asked:
+        x, e = col(value).cast("double"), F.col(f"_e{i}")
+        tags.append(F.when(x.isNotNull(), F.struct(
+            F.lit(i).alias("_i"), F.when((x >= e["lo"]) & (x <= e["hi"]), x).alias("_x"), F.when(x <= e["hi"], 1).otherwise(0).alias("_upto"),
+            F.when(x < e["lo"], x).alias("_under"), F.when(x > e["hi"], x).alias("_over"), e["n"].alias("_n"))))
+    counted = (near.select(*keys, F.inline(F.filter(F.array(*tags), lambda t: t.isNotNull()))).groupBy(*keys, "_i", "_x")
+               .agg(F.sum("_upto").alias("_c"), F.max("_under").alias("_under"), F.min("_over").alias("_over"), F.max("_n").alias("_n")))
+    upto = Window.partitionBy(*keys, "_i").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_upto", F.sum("_c").over(upto))
+    # A short group's neighbouring rank may be the first value beyond its bracket.
+    picks, values_of = [], []
+    for i, (out, (_, q)) in asked:
+        at, mine = (F.col("_n") - 1) * F.lit(float(q)), F.col("_i") == i
+        for name, rank in (("low", F.floor(at)), ("high", F.ceil(at))):
+            holds = mine & (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)
+            picks.append(F.max(F.when(holds, F.col("_x"))).alias(f"_{name}{i}"))
+        picks += [F.max(F.when(mine & F.col("_x").isNull(), F.col("_c"))).alias(f"_below{i}"), F.max(F.when(mine, F.col("_upto"))).alias(f"_all{i}"),
+                  F.max(F.when(mine, F.col("_under"))).alias(f"_under{i}"), F.min(F.when(mine, F.col("_over"))).alias(f"_over{i}"),
+                  F.max(F.when(mine, at)).alias(f"_at{i}")]
+        at = F.col(f"_at{i}")
+        low, high = (F.coalesce(f"_{name}{i}", F.when(rank == F.col(f"_below{i}") - 1, F.col(f"_under{i}")),
+                                F.when(rank == F.col(f"_all{i}"), F.col(f"_over{i}"))) for name, rank in (("low", F.floor(at)), ("high", F.ceil(at))))
+        values_of.append((low + (high - low) * (at - F.floor(at))).alias(out))
+    chosen = ranked.groupBy(*keys).agg(*picks).select(*keys, *values_of)
+    found = same_keys(table.drop(*[f"{c}{i}" for i, _ in asked for c in ("_min", "_max", "_b")]), chosen, keys, "left")
+    checked = [F.when(F.col(f"_n{i}") == 0, F.lit(None).cast("double")).when(F.col(out).isNotNull(), F.col(out)).otherwise(
+        F.raise_error(F.lit("a quantile left its bracket")).cast("double")).alias(out) for i, (out, _) in asked]
+    return found.select(*keys, *(extra or {}), *checked)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import CONTEST
 from ..functions.expr import correlation, ratio
 from .grouping import has_hot_group, ranks, tie_ranks, with_row
 from .labels import ensure_labels
+from .scan import prefix_scan
 
 K = list(CONTEST)
 METRICS = ("winner_accuracy", "podium_overlap", "top10_overlap", "top_pick_finished_top10",
@@ -120,7 +121,7 @@ def classifier_metrics(df: DataFrame, p: str, label: str, by: Sequence[str] = ()
     """Accuracy at 0.5, ROC-AUC, average precision, log loss, Brier and confusion counts.
 
     Rows collapse to one per distinct probability first; the cumulative counts
-    run over those, through the range-split running sum of `_running`. Rows
+    run over those, as a prefix scan whose parts follow the scores. Rows
     without a score or label are left out; a group without positives (or
     negatives) has no average precision (or AUC).
     """
@@ -128,7 +129,8 @@ def classifier_metrics(df: DataFrame, p: str, label: str, by: Sequence[str] = ()
     y = F.col(label)
     per = df.groupBy(*by, p).agg(F.sum(y).cast("double").alias("pos"),
                                  F.sum(1 - y).cast("double").alias("neg"))
-    run = _running(per, by, p, ["pos", "neg"])
+    run = prefix_scan(per, by, F.col(p), {"pos_below": ("sum", "pos"), "neg_below": ("sum", "neg")}, tie=[])
+    run = run.fillna(0.0, ["pos_below", "neg_below"])
     rise = run.groupBy(*by).agg(
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"),
         # Per score: positives times negatives scored lower, ties half.
@@ -152,25 +154,6 @@ def classifier_metrics(df: DataFrame, p: str, label: str, by: Sequence[str] = ()
     return with_row(with_row(flat, auc), ap)
 
 
-def _running(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str],
-             cells: int = 4096) -> DataFrame:
-    """Sums over the strictly lower values of `order` in (0, 1], without one global window.
-
-    Values fall into fixed cells; whole lower cells come from the cell totals
-    (bounded by their number), the rest from a window inside the cell.
-    """
-    cell = F.floor(F.col(order) * cells).cast("int")
-    df = df.withColumn("_cell", cell)
-    totals = df.groupBy(*by, "_cell").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
-    lower = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_cell", *[
-        F.coalesce(F.sum(f"_t_{c}").over(lower), F.lit(0.0)).alias(f"_b_{c}") for c in columns])
-    inside = Window.partitionBy(*by, "_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0.0)).alias(f"_l_{c}") for c in columns])
-    return local.join(totals, [*by, "_cell"]).select(
-        *df.drop("_cell").columns, *[(F.col(f"_b_{c}") + F.col(f"_l_{c}")).alias(f"{c}_below") for c in columns])
-
-
 def invariance(df: DataFrame, score: str, ascending: bool, seeds: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """Spread of the pooled metrics over shuffled and re-partitioned copies; 0 when order never matters."""
     base = ensure_labels(df)

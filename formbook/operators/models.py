@@ -249,9 +249,7 @@ def usable_bundles(contests: DataFrame, manifests: DataFrame) -> DataFrame:
     """For each contest the newest bundle trained strictly before it, NULL when there is none."""
     left = contests.select(*K, F.col("date").cast("timestamp").alias("_at"), F.lit(0).alias("_one"))
     right = manifests.select(F.lit(0).alias("_one"), "training_cutoff_utc", F.col("path").alias("bundle"))
-    # Both sides are calendar-sized; a year is one chunk.
-    return asof_join(left, right, ["_one"], "_at", "training_cutoff_utc", ["bundle"], "bundle",
-                     chunk="year").select(*K, "bundle")
+    return asof_join(left, right, ["_one"], "_at", "training_cutoff_utc", ["bundle"], "bundle").select(*K, "bundle")
 
 
 def load_bundle(spark, path: str) -> tuple[PipelineModel, DataFrame, DataFrame]:

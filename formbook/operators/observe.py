@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from .. import CONTEST
 from ..functions import vocab
 from ..functions.expr import col, ratio
-from ..session import hot_group_rows, materialise
 from .grouping import attach, group_quantiles
 
 
@@ -49,16 +48,8 @@ def long_runs(laps: DataFrame, contest: Sequence[str] = CONTEST, entity="driver"
     both = F.col("tyre_life").isNotNull()
     slope = F.when((F.count(F.when(both, 1)) >= min_laps)
                    & (F.min("tyre_life") < F.max("tyre_life")), F.regr_slope("secs", "tyre_life"))
-    runs = (good.groupBy(*keys)
-            .agg(F.count(F.lit(1)).cast("int").alias("laps"), F.stddev_samp("secs").alias("sd_s"),
-                 slope.alias("deg_slope"))
-            .filter(F.col("laps") >= min_laps))
-    # Few groups are long enough: their keys are written once, serve as the size
-    # check, and cut the laps down before the median sorts anything.
-    runs = materialise(runs, "runs")
-    hot = not runs.filter(F.col("laps") > hot_group_rows(laps.sparkSession)).isEmpty()
-    kept = good.select(*keys, "secs").join(runs.select(*keys), keys, "left_semi")
-    return runs.join(group_quantiles(kept, keys, {"median_s": ("secs", 0.5)}, split=hot), keys)
+    facts = {"laps": F.count(F.lit(1)).cast("int"), "sd_s": F.stddev_samp("secs"), "deg_slope": slope}
+    return group_quantiles(good, keys, {"median_s": ("secs", 0.5)}, facts, F.col("laps") >= min_laps)
 
 
 def best_runs(runs: DataFrame, contest: Sequence[str] = CONTEST, entity="driver") -> DataFrame:

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from formbook.operators import asof, quality
+from formbook import session
+from formbook.operators import grouping, scan
 from formbook.operators.grouping import (attach, group_quantiles, has_hot_group, ranks, tie_ranks,
                                          top_k)
 
@@ -50,21 +52,29 @@ def test_split_tie_ranks_equal_window_tie_ranks(with_nulls):
     assert rows_of(a, "driver", "t") == rows_of(b, "driver", "t")
 
 
-def test_split_quantiles_of_null_keys(with_nulls):
-    want = {"lo": ("v", 0.1), "mid": ("v", 0.5)}
-    a, b = (group_quantiles(with_nulls, ["year", "round"], want, {"n": F.count(F.lit(1))}, split=s)
-            for s in (True, False))
-    a, b = ({(r.year, r.round): r for r in x.collect()} for x in (a, b))
+@pytest.mark.parametrize("accuracy", [10_000, 50])
+def test_selected_quantiles_equal_builtin(with_nulls, monkeypatch, accuracy):
+    """NULL keys, NULL values, ties; with a coarse sketch the brackets leave most rows of the hot group out."""
+    monkeypatch.setattr(grouping, "SKETCH_ACCURACY", accuracy)
+    wanted = {"lo": ("v", 0.1), "mid": ("v", 0.5), "hi": ("v", 0.9), "least": ("v", 0.0), "most": ("v", 1.0), "d": ("driver", 0.37)}
+    got = group_quantiles(with_nulls, ["year", "round"], wanted, {"n": F.count(F.lit(1))})
+    want = with_nulls.groupBy("year", "round").agg(F.count(F.lit(1)).alias("n"), *[F.percentile(v, F.lit(q)).alias(o) for o, (v, q) in wanted.items()])
+    a, b = ({(r.year, r.round): [r.n, *[r[o] for o in wanted]] for r in x.collect()} for x in (got, want))
     assert a.keys() == b.keys() and (None, None) in a
     for k in a:
-        assert a[k].n == b[k].n and [a[k].lo, a[k].mid] == pytest.approx([b[k].lo, b[k].mid])
+        assert a[k] == pytest.approx(b[k])
+    few = group_quantiles(with_nulls, ["year", "round"], wanted, {"n": F.count(F.lit(1))}, F.col("n") < 60)
+    assert {(r.year, r.round) for r in few.collect()} == {k for k, v in b.items() if v[0] < 60}
 
 
-def test_split_quantiles_equal_builtin(skewed):
-    want = {"lo": ("v", 0.1), "mid": ("v", 0.5), "hi": ("v", 0.9)}
-    a, b = (group_quantiles(skewed, ["year", "round"], want, split=s) for s in (True, False))
-    for x, y in zip(rows_of(a, "round", "lo", "mid", "hi"), rows_of(b, "round", "lo", "mid", "hi")):
-        assert x == pytest.approx(y)
+def test_planning_quantiles_starts_no_job(spark, with_nulls):
+    df = group_quantiles(with_nulls, ["year", "round"], {"x": ("v", 0.5)})
+    spark.sparkContext.setJobGroup("plan-only", "")
+    try:
+        group_quantiles(df, ["year"], {"y": ("x", 0.5)})
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan-only")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
 
 
 def test_threshold_comes_from_the_session(spark, skewed):
@@ -118,11 +128,28 @@ def test_ewm_matches_pandas_with_gaps(frame):
     assert got[1:] == pytest.approx(list(want[1:]))
 
 
-def test_ewm_refuses_histories_that_overflow(frame):
-    df = series(frame, {"A": ("t", [1.0] * 60)})
-    bad = asof.with_past_ewm(df, {"x": asof.past_ewm(["driver"], "v", 0.05)})
-    with pytest.raises(Exception, match="long_ewm"):
-        bad.collect()
+@pytest.mark.parametrize("half_life", [3, 0.05])
+def test_ewm_of_any_length(frame, half_life):
+    """10,000 known values with gaps pass many blocks of 60 half-lives; an instant holds many rows."""
+    rng = np.random.default_rng(4)
+    values = [None if i % 11 == 0 else float(rng.normal()) for i in range(11_000)]
+    rows = [(i, datetime(2000, 1, 1) + timedelta(hours=i), "A", v) for i, v in enumerate(values)]
+    df = asof.with_past_ewm(frame("id int, date timestamp, driver string, v double", *rows), {"x": asof.past_ewm(["driver"], "v", half_life)})
+    got = [r["x"] for r in df.orderBy("id").collect()]
+    want = pd.Series(values, dtype=float).shift(1).ewm(alpha=1 - 0.5 ** (1 / half_life), ignore_na=True).mean()
+    np.testing.assert_allclose([np.nan if g is None else g for g in got], want.ffill(), atol=1e-9)
+
+
+def test_ewm_after_a_crowded_instant(frame):
+    """A step that many rows share jumps over whole blocks."""
+    rows = [(0, 0, 5.0)] + [(1 + i, 1, float(i)) for i in range(500)] + [(900, 2, None), (901, 3, 7.0), (902, 4, None)]
+    rows = [(i, datetime(2024, 1, 1) + timedelta(days=d), "A", v) for i, d, v in rows]
+    df = asof.with_past_ewm(frame("id int, date timestamp, driver string, v double", *rows), {"x": asof.past_ewm(["driver"], "v", 2)})
+    got = {r["id"]: r["x"] for r in df.collect()}
+    crowd = sum(range(500)) / 500
+    assert got[0] is None and got[1] == got[400] == 5.0 and got[900] == pytest.approx(crowd) and got[901] == pytest.approx(crowd)
+    keep = 2 ** -0.5
+    assert got[902] == pytest.approx((7.0 + keep * sum(range(500))) / (1 + keep * 500))
 
 
 @pytest.fixture(scope="module")
@@ -158,7 +185,7 @@ def test_long_rolling_mean_on_a_hot_key(stream):
 
 def test_long_prefix_excludes_peers(stream):
     df, pdf = stream
-    got = asof.long_prefix(df, ["k"], "ts", {"n": ("count", F.lit(1)), "m": ("max", "v")}, chunk="day")
+    got = asof.long_prefix(df, ["k"], "ts", {"n": ("count", F.lit(1)), "m": ("max", "v")})
     want = [((pdf["k"] == r.k) & (pdf["ts"] < r.ts)).sum() for r in pdf.itertuples()]
     compare(got, "n", pd.Series(want, index=pdf["id"], dtype=float))
 
@@ -193,6 +220,68 @@ def test_naive_audit_finds_a_leak(frame):
     assert quality.mismatches(leaky, naive, keys, ["x"]).first()["n_mismatches"] == 3
 
 
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """90 % of the events at one key and one instant, a NULL key, NULL times and values."""
+    rng = np.random.default_rng(5)
+    rows = [(i, 0, 100, None if i % 13 == 0 else float(rng.integers(-50, 50))) for i in range(1800)]
+    rows += [(2000 + i, [0, 1, None][i % 3], None if i % 40 == 0 else int(rng.integers(95, 106)), float(i)) for i in range(200)]
+    return spark.createDataFrame(rows, "id int, k int, t int, v double").repartition(6).cache(), rows
+
+
+WANTED = {"n": ("count", "v"), "s": ("sum", "v"), "lo": ("min", "v"), "hi": ("max", "v")}
+
+
+def folded(values):
+    values = [v for v in values if v is not None]
+    return (len(values), *((sum(values), min(values), max(values)) if values else (None, None, None)))
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_scan_of_a_crowded_instant(spark, crowded, inclusive):
+    df, rows = crowded
+    low = lambda t: -1 if t is None else t
+    want = {(k, t): folded([v for _, k2, t2, v in rows if k2 == k and (low(t2) <= low(t) if inclusive else low(t2) < low(t))])
+            for k, t in {(r[1], r[2]) for r in rows}}
+    got = scan.prefix_scan(df, ["k"], F.col("t").cast("long"), WANTED, inclusive=inclusive).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n, r.s, r.lo, r.hi) == pytest.approx(want[r.k, r.t])
+
+
+def test_scan_spreads_the_crowded_instant(spark, crowded, monkeypatch):
+    df, rows = crowded
+    kept = []
+    monkeypatch.setattr(scan, "materialise", lambda d, label: kept.append(session.materialise(d, label)) or kept[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = scan.prefix_scan(df, ["k"], F.col("t").cast("long"), WANTED, tie=[F.col("id")], inclusive=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    low = lambda t: -1 if t is None else t
+    by_key = {k: sorted((low(t), i, v) for i, k2, t, v in rows if k2 == k) for k in (0, 1, None)}
+    want = {i: folded([v for _, _, v in seq[:n + 1]]) for seq in by_key.values() for n, (_, i, _) in enumerate(seq)}
+    for r in got:
+        assert (r.n, r.s, r.lo, r.hi) == pytest.approx(want[r.id])
+    sizes = [r["count"] for r in kept[0].groupBy(F.shiftright("_id", 33)).count().collect()]
+    assert max(sizes) < len(rows) // 3
+
+
+def test_metrics_of_scores_close_to_zero(frame):
+    """All scores below 1e-4, NULLs left out."""
+    from formbook.operators import metrics
+    rng = np.random.default_rng(6)
+    p = rng.random(300) * 1e-4
+    p[::3] = p[0]
+    y = (rng.random(300) < 0.4).astype(int)
+    got = metrics.classifier_metrics(frame("p double, y int", *zip(p.tolist(), y.tolist()), (None, 1), (0.5, None)), "p", "y").first()
+    pos, neg = p[y == 1], p[y == 0]
+    pairs = (pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2
+    assert got["roc_auc"] == pytest.approx(pairs / (len(pos) * len(neg)))
+    ap = sum((pos == s).sum() / len(pos) * (pos >= s).sum() / (p >= s).sum() for s in set(pos))
+    assert got["average_precision"] == pytest.approx(ap)
+
+
 def test_null_keys_of_long_histories_and_asof_joins(frame):
     from formbook.operators.asof import asof_join, long_prefix
     rows = frame("k int, t timestamp_ntz, id int, v double", *[(k, datetime(2024, 1, 1, h), 10 * h + (k or 0), 1.0) for k in (None, 7) for h in (1, 2, 3)])
