@@ -217,16 +217,18 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
 
 
 def long_ewm_state(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], value: str,
-                   half_life: float) -> DataFrame:
+                   half_life: float, also: Mapping[str, tuple[str, Column | str]] | None = None) -> DataFrame:
     """Weighted sum `num`, weight `den` and count `seen` of the known values before each row.
 
+    `also` names further running folds that share the scan.
+
     Known values are numbered per key and cut into blocks of 60 half-lives.
     Inside a block the closed form cannot overflow; older than the previous
     block a weight is below 2^-60 and vanishes in double precision. No task
     holds more than one block of a key.
     """
     h, size = float(half_life), int(60 * half_life)
-    rows = long_prefix(df, keys, time, {"seen": ("count", value)}, tie=tie)
+    rows = long_prefix(df, keys, time, {"seen": ("count", value), **(also or {})}, tie=tie)
     known = (rows.filter(col(value).isNotNull())
              .select(*keys, (F.col("seen") + 1).alias("seen"), col(value).cast("double").alias("_x"))
              .withColumn("_block", F.floor((F.col("seen") - 1) / size))

@@ -29,6 +29,45 @@ def test_late_events_do_not_change_history(spark):
     assert [r["id"] for r in spark.read.parquet(f"{base}/out/late").collect()] == [10]
 
 
+def test_history_writes_touched_keys_only_and_forgets_old_versions(spark, monkeypatch):
+    """Six batches, a hot key in each: change logs, bases, a repeated batch, and rows equal to brute force."""
+    import random
+
+    from formbook.session import child_names
+    monkeypatch.setattr(online, "COMPACT_EVERY", 2)
+    base, rng, schema = scratch(spark, "history-test"), random.Random(8), "id bigint, k int, ts timestamp, v double"
+    batches, n = [], 0
+    for b in range(6):
+        keys = [0] * 30 + [1 + b % 3] * 4 + ([None] if b == 2 else [])
+        at = [datetime(2024, 1, 1 + b) + timedelta(minutes=i) for i in range(len(keys))]
+        batches.append([(n + i, k, t, None if rng.random() < 0.1 else float(rng.randrange(9))) for i, (k, t) in enumerate(zip(keys, at))])
+        n += len(keys)
+    options = dict(keys=["k"], time="ts", tie="id", value="v", half_life=2.0, out=f"{base}/out", state=f"{base}/state")
+    for b, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, schema)
+        online.fold_batch(df, b, **options)
+        if b in (3, 4):  # a restart repeats the batch
+            first = spark.read.parquet(f"{base}/out/rows/batch={b}").collect()
+            online.fold_batch(df, b, **options)
+            assert sorted(spark.read.parquet(f"{base}/out/rows/batch={b}").collect()) == sorted(first)
+        log = spark.read.parquet(f"{base}/state/log={b}")
+        assert {r["k"] for r in log.collect()} == {0, 1 + b % 3}
+    assert child_names(spark, f"{base}/state") == ["base=3", "base=5", "edge=3", "edge=4", "edge=5", "log=4", "log=5"]
+    got = {r["id"]: r for r in spark.read.parquet(f"{base}/out/rows").collect()}
+    past = {}
+    for i, k, _, v in sum(batches, []):
+        if k is None:
+            assert i not in got
+            continue
+        known = past.setdefault(k, [])
+        weights = [2 ** ((j - len(known)) / 2.0) for j in range(len(known))]
+        assert got[i]["n_before"] == len(known) and got[i]["min_before"] == min(known, default=None)
+        if known:
+            assert got[i]["ewm_before"] == pytest.approx(sum(w * x for w, x in zip(weights, known)) / sum(weights))
+            assert got[i]["sum_before"] == pytest.approx(sum(known))
+        known += [v] if v is not None else []
+
+
 def test_contract(spark):
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 150
