@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import CONTEST
-from ..functions.expr import col, ratio
+from ..functions.expr import col
 
 
 def duplicate_contests(df: DataFrame, keys: Sequence[str], contest: Sequence[str] = CONTEST) -> DataFrame:
@@ -89,24 +92,66 @@ def mismatches(left: DataFrame, right: DataFrame, keys: Sequence[str], columns:
     return one.unpivot(["n_rows"], list(columns), "feature", "n_mismatches")
 
 
-def naive_history(df: DataFrame, key: Sequence[str], value: Column, out: str, last: int | None = None,
+def naive_history(df: DataFrame, key: Sequence[str], wanted: Mapping[str, tuple[Column, int | None]],
                   contest: Sequence[str] = CONTEST) -> DataFrame:
-    """Audit path: for each contest of a key, filter its strictly earlier ones and average.
+    """Audit path: each contest of a key with the mean of its strictly earlier ones, or of the last n of these.
 
-    Independent of the window path. Rows are first reduced to one per (key,
-    contest), so a key's list is no longer than the calendar; the comparison of
-    a contest with its past happens inside the row and no pairs are shuffled.
+    Independent of the window path and linear: rows are reduced to one per (key,
+    contest) and sorted by key and date, then one running fold passes over them
+    in numpy; all of a key's histories share the pass. A contest without a date
+    has no past and is nobody's past. A key's contests, no more than the
+    calendar has, are held at once.
     """
-    per = df.groupBy(*key, *contest).agg(F.min("date").alias("date"), F.sum(value).cast("double").alias("s"),
-                                         F.count(value).alias("c"))
-    listed = per.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("date", *contest, "s", "c"))).alias("_all"))
-    each = listed.select(*key, "_all", F.explode("_all").alias("_now"))
-    past = F.filter("_all", lambda x: x["date"] < F.col("_now.date"))
-    if last is not None:
-        past = F.when(F.size(past) > last, F.slice(past, -last, last)).otherwise(past)
-    total = F.aggregate(past, F.lit(0.0), lambda a, x: a + F.coalesce(x["s"], F.lit(0.0)))
-    known = F.aggregate(past, F.lit(0).cast("bigint"), lambda a, x: a + x["c"])
-    return each.select(*key, *[F.col(f"_now.{k}").alias(k) for k in contest], ratio(total, known).alias(out))
+    key, contest = list(key), list(contest)
+    sums = [F.sum(v).cast("double").alias(f"_s{i}") for i, (v, _) in enumerate(wanted.values())]
+    known = [F.count(v).alias(f"_c{i}") for i, (v, _) in enumerate(wanted.values())]
+    per = df.groupBy(*key, *contest).agg(F.unix_micros(F.min("date").cast("timestamp")).alias("_at"), *sums, *known)
+    rows = per.repartition(*key).sortWithinPartitions(*key, F.col("_at").asc_nulls_last(), *contest)
+    outs, lasts = list(wanted), [last for _, last in wanted.values()]
+    schema = T.StructType([*per.select(*key, *contest).schema.fields, *[T.StructField(o, T.DoubleType()) for o in wanted]])
+    return rows.mapInPandas(lambda b: _folded(b, key, contest, outs, lasts), schema)
+
+
+def _folded(batches: Iterator[pd.DataFrame], key: list[str], contest: list[str], outs: list[str],
+            lasts: list[int | None]) -> Iterator[pd.DataFrame]:
+    """Past means of rows sorted by (key, time); the last key of a batch waits for the next batch."""
+    waiting = None
+    for batch in batches:
+        rows = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+        starts = np.flatnonzero(_changes(rows[key]))
+        if len(starts) == 0:
+            continue
+        waiting = rows.iloc[starts[-1]:]
+        if starts[-1]:
+            yield _past_means(rows.iloc[:starts[-1]], key, contest, outs, lasts)
+    if waiting is not None and len(waiting):
+        yield _past_means(waiting, key, contest, outs, lasts)
+
+
+def _changes(columns: pd.DataFrame) -> np.ndarray:
+    """Whether a row differs from the one before; missing values are equal."""
+    new = np.zeros(len(columns), bool)
+    new[:1] = True
+    for c in columns:
+        code, _ = pd.factorize(columns[c], use_na_sentinel=False)
+        new[1:] |= code[1:] != code[:-1]
+    return new
+
+
+def _past_means(rows: pd.DataFrame, key: list[str], contest: list[str], outs: list[str], lasts: list[int | None]) -> pd.DataFrame:
+    at = np.arange(len(rows))
+    new_key = _changes(rows[key])
+    first = np.maximum.accumulate(np.where(new_key, at, 0))
+    end = np.maximum.accumulate(np.where(_changes(rows[[*key, "_at"]]), at, 0))  # the past ends before the row's own date
+    made = rows[[*key, *contest]].copy()
+    dated = rows["_at"].notna().to_numpy()
+    for i, (out, last) in enumerate(zip(outs, lasts, strict=True)):
+        start = first if last is None else np.maximum(first, end - last)
+        total, n = (np.concatenate([[0], np.cumsum(rows[f"_{c}{i}"].fillna(0).to_numpy(np.longdouble))]) for c in "sc")
+        count = np.where(dated, n[end] - n[start], 0)
+        made[out] = np.where(count > 0, (total[end] - total[start]) / np.maximum(count, 1), np.nan).astype(float)
+        made[out] = made[out].astype(object).where(count > 0, None)
+    return made
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], time="date") -> DataFrame:

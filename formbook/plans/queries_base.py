@@ -685,13 +685,11 @@ def _(spark, sf):
     fast = feature_table(spark, sf)
     pos, dnf = F.col("position"), F.col("is_dnf")
     naive = e.select(*ID, "team", "circuit_id")
-    for name, key, value, last in (("form_avg_finish_3", ["driver"], pos, 3), ("form_dnf_rate_5", ["driver"], dnf, 5),
-                                   ("driver_circuit_avg_finish", ["driver", "circuit_id"], pos, None),
-                                   ("driver_dnf_rate", ["driver"], dnf, None),
-                                   ("driver_overall_avg_finish", ["driver"], pos, None),
-                                   ("team_dnf_rate", ["team"], dnf, None),
-                                   ("team_circuit_avg_finish", ["team", "circuit_id"], pos, None)):
-        naive = naive.join(quality.naive_history(e, key, value, name, last), [*key, *K], "left")
+    for key, wanted in ((["driver"], {"form_avg_finish_3": (pos, 3), "form_dnf_rate_5": (dnf, 5), "driver_dnf_rate": (dnf, None),
+                                      "driver_overall_avg_finish": (pos, None)}),
+                        (["driver", "circuit_id"], {"driver_circuit_avg_finish": (pos, None)}),
+                        (["team"], {"team_dnf_rate": (dnf, None)}), (["team", "circuit_id"], {"team_circuit_avg_finish": (pos, None)})):
+        naive = naive.join(quality.naive_history(e, key, wanted), [*key, *K], "left")
     return quality.mismatches(fast, naive, ID, _AUDITED)
 
 

@@ -193,7 +193,7 @@ def _(spark, sf):
 @query("join6_strictly_earlier_self_join",
        sql("entries", f"select {IDS}, {r(past('avg(position)', 'driver') + ' as value')} from entries"))
 def _(spark, sf):
-    return out(quality.naive_history(entries(spark, sf), ["driver"], F.col("position"), "value"), *ID, "value")
+    return out(quality.naive_history(entries(spark, sf), ["driver"], {"value": (F.col("position"), None)}), *ID, "value")
 
 
 # --- families -------------------------------------------------------------------

@@ -212,7 +212,7 @@ def test_asof_join_tolerance(frame):
 
 def test_naive_audit_finds_a_leak(frame):
     df = series(frame, {"A": ("t", [1.0, 2.0, 3.0])})
-    naive = quality.naive_history(df, ["driver"], F.col("v"), "x")
+    naive = quality.naive_history(df, ["driver"], {"x": (F.col("v"), None)})
     good = df.withColumn("x", asof.past_mean(["driver"], "v"))
     leaky = df.withColumn("x", F.col("v"))
     keys = ["year", "round", "driver"]
@@ -291,3 +291,23 @@ def test_null_keys_of_long_histories_and_asof_joins(frame):
     right = rows.select("k", F.col("t").alias("u"), F.col("id").alias("j"))
     found = {(r.k, r.id): r.j for r in asof_join(rows, right, ["k"], "t", "u", ["j"], "j").collect()}
     assert found == {(None, 10): None, (None, 20): None, (None, 30): None, (7, 17): None, (7, 27): 17, (7, 37): 27}
+
+
+def test_audit_of_a_long_key_is_one_fold(frame):
+    """5,000 contests of one key, missing dates and keys, two contests at one date, in several batches."""
+    rng = np.random.default_rng(9)
+    rows = [(2000, i, datetime(2000, 1, 1) + timedelta(days=i // 2), "A", None if i % 7 == 0 else float(rng.integers(0, 20))) for i in range(5000)]
+    rows += [(2000, i, datetime(2000, 1, 1) + timedelta(days=i) if i else None, k, float(i)) for k in (None, "B") for i in range(6)]
+    df = frame("year int, round int, date timestamp, driver string, v double", *rows)
+    got = {(r.driver, r["round"]): (r.x, r.y) for r in quality.naive_history(df, ["driver"], {"x": (F.col("v"), None), "y": (F.col("v"), 3)}).collect()}
+    assert len(got) == len(rows)
+    past, at = [], 0
+    for i in range(5000):
+        while at < i - i % 2:
+            past.append(rows[at][4])
+            at += 1
+        for value, some in zip(got["A", i], (past, past[-3:])):
+            known = [v for v in some if v is not None]
+            assert value == (pytest.approx(sum(known) / len(known)) if known else None)
+    for k in (None, "B"):
+        assert [got[k, i][0] for i in range(6)] == [None, None, 1.0, 1.5, 2.0, 2.5]
