@@ -150,58 +150,79 @@ def importances(model: PipelineModel, spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def fit_fold(prefill: DataFrame, table: DataFrame, fold: str, n_draws: int = vocab.PL_DRAWS, max_iter: int = 40) -> DataFrame:
-    """Everything fitted inside one fold, predictions of its test contests.
+HEADS = {"winner_head": "is_winner", "podium_head": "is_podium"}
+FOLD_OUT = ("team", "grid_position", "result_order", "is_winner", "is_podium", "finished_top10", "finished", "p_top10_clf",
+            "p_winner_head", "p_podium_head", "rank_score", "blend_score", "ensemble", "p_win", "p_podium", "p_top10",
+            "p_win_grid", "p_podium_grid", "alpha", "w_win", "w_pod", "temperature", "grid_temperature")
 
-    The fill policy sees training rows only; blend weight and temperature see
-    validation rows only. Classifier and Plackett-Luce top-10 stay separate columns.
-    """
-    part = {r: folds.rows_of(prefill, table, r, fold) for r in (folds.TRAIN, folds.VAL, folds.TEST)}
-    policy = impute.fit(part[folds.TRAIN])
-    train, val, test = (materialise(impute.transform(part[r], policy), f"fold-{r}")
-                        for r in (folds.TRAIN, folds.VAL, folds.TEST))
-    clf, ranker, *fitted = _together(
-        lambda: fit_classifier(train, val, "finished_top10", max_iter=max_iter),
-        lambda: fit_ranker(train),
-        lambda: fit_classifier(train, val, "is_winner", balanced=True, max_iter=max_iter),
-        lambda: fit_classifier(train, val, "is_podium", balanced=True, max_iter=max_iter))
-    heads = dict(zip(("winner_head", "podium_head"), fitted))
-
-    def scored(df):
-        df = with_rank_score(ranker, with_probability(clf, df, "p_top10_clf"))
-        for h, m in heads.items():
-            df = with_probability(m, df, f"_p_{h}")
-        # Written before use: an expression over a model output would run the model once per mention.
-        df = materialise(df, "fold-scored")
-        df = df.withColumns({h: probability.log_odds(f"_p_{h}") for h in heads})
-        return probability.standardise(df, ["rank_score", "winner_head", "podium_head"])
-
-    val, test = scored(val), scored(test)
-    alpha = probability.select_alpha(probability.alpha_table(val, "rank_score")).first()["alpha"]
-    weights = probability.select_weights(probability.weight_losses(
-        val, "rank_score_z", ("winner_head_z", "podium_head_z"))).first()
-    temperature = probability.fit_temperature(probability.temperature_losses(val, "rank_score")).first()["temperature"]
-    grid_t = probability.fit_temperature(probability.temperature_losses(
-        val.withColumn("_u", -F.col("grid_position")), "_u")).first()["temperature"]
 
-    test = probability.blend(test, "rank_score", alpha).withColumn("ensemble", probability.combine(
-        {"rank_score_z": 1.0, "winner_head_z": weights["w_win"], "podium_head_z": weights["w_pod"]}))
-    test = probability.plackett_luce(test, "rank_score", temperature, n_draws)
-    order = probability.plackett_luce(test.select(*ID, (-F.col("grid_position")).alias("_u")), "_u", grid_t, n_draws)
-    test = test.join(order.select(*ID, F.col("p_win").alias("p_win_grid"), F.col("p_podium").alias("p_podium_grid")), ID)
-    return test.select(
-        F.lit(fold).alias("fold"), *ID, "team", "grid_position", "result_order", "is_winner", "is_podium",
-        "finished_top10", "finished", "p_top10_clf", "rank_score", "blend_score", "ensemble", "p_win",
-        "p_podium", "p_top10", "p_win_grid", "p_podium_grid", F.lit(float(alpha)).alias("alpha"),
-        F.lit(float(temperature)).alias("temperature"), F.lit(float(grid_t)).alias("grid_temperature"))
+def fold_rows(prefill: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows of every fold and role, filled by the fold's own policy, which sees its training rows only."""
+    rows = prefill.join(table.select("fold", "role", *K), K)
+    return impute.transform(rows, impute.fit(rows.filter(F.col("role") == folds.TRAIN), ["fold"]), ["fold"])
+
+
+def fold_scores(filled: DataFrame, max_iter: int = 40, width: int = 8) -> DataFrame:
+    """Validation and test rows with the scores of their fold's models.
+
+    All fits of all folds wait in one flat pool, so small jobs of one fit fill
+    the gaps of others and no pool waits inside another.
+    """
+    names = [r["fold"] for r in filled.select("fold").distinct().orderBy("fold").collect()]
+
+    def fits(fold):
+        train, val = (filled.filter((F.col("fold") == fold) & (F.col("role") == r)) for r in (folds.TRAIN, folds.VAL))
+        return [lambda: fit_classifier(train, val, "finished_top10", max_iter=max_iter), lambda: fit_ranker(train),
+                *[lambda label=label: fit_classifier(train, val, label, balanced=True, max_iter=max_iter) for label in HEADS.values()]]
+
+    models = _together(*[task for n in names for task in fits(n)], width=width)
+    parts = []
+    for i, fold in enumerate(names):
+        clf, ranker, *heads = models[4 * i:4 * i + 4]
+        part = filled.filter((F.col("fold") == fold) & F.col("role").isin(folds.VAL, folds.TEST))
+        part = with_rank_score(ranker, with_probability(clf, part, "p_top10_clf"))
+        for h, m in zip(HEADS, heads, strict=True):
+            part = with_probability(m, part, f"p_{h}")
+        parts.append(part)
+    # Written before use: an expression over a model output would run the model once per mention.
+    return materialise(reduce(DataFrame.unionByName, parts), "fold-scored")
+
+
+def fold_choices(val: DataFrame) -> DataFrame:
+    """One row per fold: blend weight, head weights and temperatures, each swept for all folds in one job."""
+    by = ["fold"]
+    alpha = probability.select_alpha(probability.alpha_table(val, "rank_score", by=by), by)
+    weights = probability.select_weights(probability.weight_losses(val, "rank_score_z", tuple(f"{h}_z" for h in HEADS), by), by)
+    own = probability.fit_temperature(probability.temperature_losses(val, "rank_score", by), by)
+    grid = probability.fit_temperature(probability.temperature_losses(val.withColumn("_u", -F.col("grid_position")), "_u", by), by)
+    return (alpha.join(weights.select("fold", "w_win", "w_pod"), by).join(own.select("fold", "temperature"), by)
+            .join(grid.select("fold", F.col("temperature").alias("grid_temperature")), by))
 
 
 def run_folds(prefill: DataFrame, table: DataFrame, n_draws: int = vocab.PL_DRAWS, max_iter: int = 40) -> DataFrame:
-    """`fit_fold` over every fold (a handful, a few at a time); each part is written when done."""
-    names = [r["fold"] for r in table.select("fold").distinct().orderBy("fold").collect()]
-    parts = _together(*[lambda n=n: materialise(fit_fold(prefill, table, n, n_draws, max_iter), "predictions")
-                        for n in names])
-    return reduce(DataFrame.unionByName, parts)
+    """Fit, choose and predict in every fold: its test rows with the columns `FOLD_OUT`.
+
+    The fill policy and the models see training rows, stopping and all choices
+    see validation rows only. Classifier and Plackett-Luce top-10 stay separate
+    columns. Only the fits run per fold; filling, scoring, sweeps, draws and
+    blends are single jobs keyed by fold.
+    """
+    scored = fold_scores(materialise(fold_rows(prefill, table), "fold-rows"), max_iter)
+    scored = scored.withColumns({h: probability.log_odds(f"p_{h}") for h in HEADS})
+    group = ["fold", "role", *K]
+    scored = materialise(probability.standardise(scored, ["rank_score", *HEADS], contest=group), "fold-standard")
+    val, test = (scored.filter(F.col("role") == r) for r in (folds.VAL, folds.TEST))
+    chosen = materialise(fold_choices(val), "fold-choices")
+    group = ["fold", *K]
+    # Written so that scans, not fits or sweeps, lie under the draws.
+    test = materialise(test.join(chosen, "fold"), "fold-test")
+    test = probability.blend(test, "rank_score", F.col("alpha"), contest=group).withColumn("ensemble", sum(
+        (F.col(w) * F.col(f"{h}_z") for w, h in (("w_win", "winner_head"), ("w_pod", "podium_head"))), F.col("rank_score_z")))
+    order = test.select(*group, "driver", "grid_temperature", (-F.col("grid_position")).alias("_u"))
+    test = probability.plackett_luce(test, "rank_score", F.col("temperature"), n_draws, contest=group, draw_keys=K)
+    order = probability.plackett_luce(order, "_u", F.col("grid_temperature"), n_draws, contest=group, draw_keys=K)
+    test = test.join(order.select(*group, "driver", F.col("p_win").alias("p_win_grid"), F.col("p_podium").alias("p_podium_grid")), [*group, "driver"])
+    return test.select("fold", *ID, *FOLD_OUT)
 
 
 # --- bundles -------------------------------------------------------------------------

@@ -164,18 +164,22 @@ def select_weights(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                                     for c in ("w_win", "w_pod", "temperature", "log_loss")])
 
 
-def plackett_luce(df: DataFrame, score: str, temperature: float, n_draws: int = vocab.PL_DRAWS,
-                  seed: int = vocab.SEED, contest: Sequence[str] = CONTEST) -> DataFrame:
+def plackett_luce(df: DataFrame, score: str, temperature: float | Column, n_draws: int = vocab.PL_DRAWS,
+                  seed: int = vocab.SEED, contest: Sequence[str] = CONTEST, draw_keys: Sequence[str] | None = None) -> DataFrame:
     """p_win in closed form; podium and top-10 shares from Gumbel-max orderings.
 
+    Draws depend on the seed and on `draw_keys` (the contest's columns unless named).
+
     Only the first ten of a draw matter, so the rank filter prunes each draw
     inside the map tasks: the shuffle carries ten rows per contest and draw
     from every task, however large the field is.
     """
     rows = softmax(df, score, temperature, contest=contest)
-    noisy = spread(rows, *contest, "driver").select(*contest, "driver", score, F.explode(F.sequence(F.lit(1), F.lit(n_draws))).alias("draw"))
-    noise = draws.gumbel(seed, F.col("draw"), *[F.col(c) for c in contest], F.col("driver"))
-    noisy = noisy.select(*contest, "driver", "draw", (F.col(score) / F.lit(float(temperature)) + noise).alias("_g"))
+    t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
+    noisy = spread(rows, *contest, "driver").select(*contest, "driver", (F.col(score) / t).alias("_u"),
+                                                    F.explode(F.sequence(F.lit(1), F.lit(n_draws))).alias("draw"))
+    noise = draws.gumbel(seed, F.col("draw"), *[F.col(c) for c in draw_keys or contest], F.col("driver"))
+    noisy = noisy.select(*contest, "driver", "draw", (F.col("_u") + noise).alias("_g"))
     first = top_k(noisy, [*contest, "draw"], [("_g", "desc"), ("driver", "asc")], 10)
     share = first.groupBy(*contest, "driver").agg(
         (F.count(F.when(F.col("place") <= 3, 1)) / F.lit(float(n_draws))).alias("p_podium"),

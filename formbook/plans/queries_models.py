@@ -85,6 +85,29 @@ def _(spark, sf):
     return out(_predictions(spark, sf))
 
 
+part("held", ("entries",), """select year, row_number() over (order by year) as i, count(*) as n_rows, count(distinct round) as n_contests
+    from entries group by year""")
+
+
+@query("ml5_fold_facts",
+       sql("held", """select concat('season-', year) as fold, n_rows, n_contests, cast(n_contests as double) as p_win_total, cast(n_contests as double) as p_win_grid_total,
+           0::bigint as n_outside, 1::bigint as n_choices, true as choices_in_grids from held where i > 3"""))
+def _(spark, sf):
+    """What holds for any fit: each test row once, probabilities that add up and stay in bounds, choices from the grids."""
+    from ..functions import vocab
+    from ..operators.probability import temperature_grid
+    chances = ("p_top10_clf", "p_winner_head", "p_podium_head", "p_win", "p_podium", "p_top10", "p_win_grid", "p_podium_grid")
+    inside = [F.coalesce((F.col(c) >= 0) & (F.col(c) <= 1 + 1e-9), F.lit(False)) for c in chances]
+    swept = (F.col("alpha").isin(*map(float, vocab.ALPHA_GRID)) & F.col("w_win").isin(*map(float, vocab.WEIGHT_GRID))
+             & F.col("w_pod").isin(*map(float, vocab.WEIGHT_GRID))
+             & F.col("temperature").isin(*temperature_grid()) & F.col("grid_temperature").isin(*temperature_grid()))
+    choice = F.struct("alpha", "w_win", "w_pod", "temperature", "grid_temperature")
+    return out(_predictions(spark, sf).groupBy("fold").agg(
+        F.count_distinct(*ID).alias("n_rows"), F.count_distinct(*K).alias("n_contests"), F.sum("p_win").alias("p_win_total"),
+        F.sum("p_win_grid").alias("p_win_grid_total"), F.count(F.when(~F.forall(F.array(*inside), lambda x: x), 1)).alias("n_outside"),
+        F.count_distinct(choice).alias("n_choices"), F.bool_and(swept).alias("choices_in_grids")))
+
+
 @query("ml5_fold_gates")
 def _(spark, sf):
     from ..operators import gates
