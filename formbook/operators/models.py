@@ -218,10 +218,11 @@ def run_folds(prefill: DataFrame, table: DataFrame, n_draws: int = vocab.PL_DRAW
     test = materialise(test.join(chosen, "fold"), "fold-test")
     test = probability.blend(test, "rank_score", F.col("alpha"), contest=group).withColumn("ensemble", sum(
         (F.col(w) * F.col(f"{h}_z") for w, h in (("w_win", "winner_head"), ("w_pod", "podium_head"))), F.col("rank_score_z")))
-    order = test.select(*group, "driver", "grid_temperature", (-F.col("grid_position")).alias("_u"))
-    test = probability.plackett_luce(test, "rank_score", F.col("temperature"), n_draws, contest=group, draw_keys=K)
-    order = probability.plackett_luce(order, "_u", F.col("grid_temperature"), n_draws, contest=group, draw_keys=K)
-    test = test.join(order.select(*group, "driver", F.col("p_win").alias("p_win_grid"), F.col("p_podium").alias("p_podium_grid")), [*group, "driver"])
+    test = probability.softmax(test, "rank_score", F.col("temperature"), contest=group)
+    test = probability.softmax(test.withColumn("_known", -F.col("grid_position")), "_known", F.col("grid_temperature"), "p_win_grid", group)
+    shares = probability.drawn_shares(test, {"": F.col("rank_score") / F.col("temperature"), "_grid": F.col("_known") / F.col("grid_temperature")},
+                                      n_draws, contest=group, draw_keys=K)
+    test = test.join(shares, [*group, "driver"], "left").fillna(0.0, ["p_podium", "p_top10", "p_podium_grid"])
     return test.select("fold", *ID, *FOLD_OUT)
 
 

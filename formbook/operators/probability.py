@@ -8,7 +8,7 @@ aggregation, so a sweep shuffles contests x candidates and not rows x candidates
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,27 +169,38 @@ def plackett_luce(df: DataFrame, score: str, temperature: float | Column, n_draw
     """p_win in closed form; podium and top-10 shares from Gumbel-max orderings.
 
     Draws depend on the seed and on `draw_keys` (the contest's columns unless named).
-
-    Only the first ten of a draw matter, so the rank filter prunes each draw
-    inside the map tasks: the shuffle carries ten rows per contest and draw
-    from every task, however large the field is.
     """
-    rows = softmax(df, score, temperature, contest=contest)
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    noisy = spread(rows, *contest, "driver").select(*contest, "driver", (F.col(score) / t).alias("_u"),
-                                                    F.explode(F.sequence(F.lit(1), F.lit(n_draws))).alias("draw"))
-    noise = draws.gumbel(seed, F.col("draw"), *[F.col(c) for c in draw_keys or contest], F.col("driver"))
-    noisy = noisy.select(*contest, "driver", "draw", (F.col("_u") + noise).alias("_g"))
-    first = top_k(noisy, [*contest, "draw"], [("_g", "desc"), ("driver", "asc")], 10)
-    share = first.groupBy(*contest, "driver").agg(
-        (F.count(F.when(F.col("place") <= 3, 1)) / F.lit(float(n_draws))).alias("p_podium"),
-        (F.count(F.lit(1)) / F.lit(float(n_draws))).alias("p_top10"))
+    rows = softmax(df, score, temperature, contest=contest)
+    share = drawn_shares(rows, {"": F.col(score) / t}, n_draws, seed, contest, draw_keys)
     return (rows.join(share, [*contest, "driver"], "left")
             .withColumns({"p_podium": F.coalesce("p_podium", F.lit(0.0)),
                           "p_top10": F.coalesce("p_top10", F.lit(0.0)),
                           "mc_error": F.lit(math.sqrt(0.25 / n_draws))}))
 
 
+def drawn_shares(df: DataFrame, utilities: Mapping[str, Column], n_draws: int, seed: int = vocab.SEED,
+                 contest: Sequence[str] = CONTEST, draw_keys: Sequence[str] | None = None) -> DataFrame:
+    """`p_podium<suffix>` and `p_top10<suffix>` of each utility, all from the same draws; entries that no draw places are missing.
+
+    Only the first ten of a draw matter, so the rank filter prunes each draw
+    inside the map tasks: the shuffle carries ten rows per contest and draw
+    from every task, however large the field is.
+    """
+    rows = df.select(*contest, "driver", *[u.alias(f"_u{i}") for i, u in enumerate(utilities.values())])
+    noisy = spread(rows, *contest, "driver").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
+    noisy = noisy.withColumn("_noise", draws.gumbel(seed, F.col("draw"), *[F.col(c) for c in draw_keys or contest], F.col("driver")))
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("_of"), (F.col(f"_u{i}") + F.col("_noise")).alias("_g")) for i in range(len(utilities))]))
+    noisy = noisy.select(*contest, "driver", "draw", each)
+    first = top_k(noisy, [*contest, "_of", "draw"], [("_g", "desc"), ("driver", "asc")], 10)
+    shares = []
+    for i, suffix in enumerate(utilities):
+        for name, k in (("p_podium", 3), ("p_top10", 10)):
+            placed = F.count(F.when((F.col("_of") == i) & (F.col("place") <= k), 1))
+            shares.append((placed / F.lit(float(n_draws))).alias(name + suffix))
+    return first.groupBy(*contest, "driver").agg(*shares)
+
+
 def _nodes(low: float = -46.0, high: float = 5.8, step: float = 0.25) -> list[tuple[float, float]]:
     """Trapezoid rule in log time on (0, inf): points and weights."""
     return [(math.exp(low + step * i), step * math.exp(low + step * i)) for i in range(int((high - low) / step) + 1)]
