@@ -57,7 +57,7 @@ CAPACITY = 1 << 20
 MAP_BITS = 30
 BUCKETS = 64
 SALTS = 16
-FLUSH_BYTES = 12 << 20
+FLUSH_BYTES = 4 << 20
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + PIECE_ENDS + b"\t", bytes(range(97, 123)) + b"\n" * len(PIECE_ENDS) + b" ")
