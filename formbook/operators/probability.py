@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import CONTEST
 from ..functions import draws, vocab
 from ..functions.expr import col, ratio
-from .grouping import attach, group_totals, ranks, spread, top_k
+from .grouping import attach, group_totals, ranks, same_keys, spread, top_k
 
 K = list(CONTEST)
 
@@ -219,25 +219,24 @@ def exact_podium(df: DataFrame, p="p_win", out="p_podium_exact", contest: Sequen
     the rest's total rate. So nothing overflows or cancels, however large the
     favourites' rates are.
     """
-    from .grouping import top_k
-
     rows = df.select(*contest, "driver", F.col(p).cast("double").alias("_p"))
     lead = top_k(rows.where(F.col("_p") > 0), contest, [("_p", "desc"), ("driver", "asc")], 3, "_place")
     pick = lambda c, k: F.max(F.when(F.col("_place") == k, F.col(c)))
     lead = lead.groupBy(*contest).agg(pick("driver", 1).alias("_d1"), pick("_p", 1).alias("_p1"), pick("driver", 2).alias("_d2"),
                                       pick("_p", 2).alias("_p2"), pick("_p", 3).alias("_a"))
     size = rows.where(F.col("_p") > 0).groupBy(*contest).agg(F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(lead, list(contest), "left").join(size, list(contest), "left")
+    # Tables of one row, or one row per time point, per contest are calendar-sized: rows never shuffle by contest.
+    rows = attach(rows, lead.join(size, list(contest)), contest, calendar=True)
     rows = rows.withColumn("_which", F.when(F.col("driver") == F.col("_d1"), 1).when(F.col("driver") == F.col("_d2"), 2).otherwise(0))
     rest = rows.where((F.col("_which") == 0) & (F.col("_p") > 0)).groupBy(*contest).agg(F.sum("_p").alias("_s"))
-    rows = rows.join(rest, list(contest), "left")
+    rows = attach(rows, rest, contest, calendar=True)
     nodes = F.inline(F.array(*[F.struct(F.lit(u).alias("_u"), F.lit(w).alias("_w")) for u, w in _nodes()]))
     wide = spread(rows.where((F.col("_p") > 0) & (F.col("_n") > 3)), *contest, "driver").select("*", nodes)
     t = F.col("_u") / F.col("_s")
     wide = wide.withColumn("_t", t).withColumn("_o", F.when(F.col("_which") == 0, F.exp((F.col("_p") - F.col("_a")) * F.col("_t"))
                                                             - F.exp(-F.col("_a") * F.col("_t"))).otherwise(0.0))
     sums = wide.groupBy(*contest, "_u").agg(F.sum("_o").alias("_e1"), F.sum(F.col("_o") * F.col("_o")).alias("_s2"))
-    both = wide.join(sums, [*contest, "_u"])
+    both = attach(wide, sums, [*contest, "_u"], calendar=True)
     one = F.col("_e1") - F.col("_o")
     two = (one * one - (F.col("_s2") - F.col("_o") * F.col("_o"))) / 2
     a, s, p1, p2 = (F.col(c) for c in ("_a", "_s", "_p1", "_p2"))
@@ -251,7 +250,7 @@ def exact_podium(df: DataFrame, p="p_win", out="p_podium_exact", contest: Sequen
     got = both.groupBy(*contest, "driver").agg(F.sum(term).alias(out))
     few = rows.where(F.col("_p").isNull() | (F.col("_p") <= 0) | (F.col("_n") <= 3)).select(
         *contest, "driver", F.when(F.col("_p").isNull(), F.lit(None).cast("double")).when(F.col("_p") > 0, 1.0).otherwise(0.0).alias(out))
-    return df.join(got.unionByName(few), [*contest, "driver"])
+    return same_keys(df, got.unionByName(few), [*contest, "driver"])
 
 
 def uniform_losses(df: DataFrame, contest: Sequence[str] = CONTEST) -> DataFrame:

@@ -16,42 +16,33 @@ from .metrics import spearman
 
 K = list(CONTEST)
 
-# A record nests its predictions. A field beyond this size continues in further
-# records of the same contest, so no record (or task) holds an unbounded array.
-PREDICTIONS_PER_RECORD = 10_000
+PREDICTED = ("pred_finish_rank", "driver", "team", "grid_position", "qualifying_position", "pit_start", "p_win", "p_podium", "p_top10")
 
 
-def nest(rows: DataFrame, header: dict[str, Column], per_record: int = PREDICTIONS_PER_RECORD,
-         contest: Sequence[str] = CONTEST) -> DataFrame:
-    """Flat forecast rows to nested records.
+def split_record(rows: DataFrame, header: dict[str, Column], contest: Sequence[str] = CONTEST) -> tuple[DataFrame, DataFrame]:
+    """Flat forecast rows as one header record per contest and a flat predictions table keyed by contest.
 
     `rows` needs the contest keys, date, event_name, created_utc, grid_status and
     the prediction columns; `header` supplies source, training_cutoff_utc,
-    temperature and alpha.
+    temperature and alpha. A header holds aggregates only, so the size of a field
+    never matters; ids keep the caller's type, which the header names.
     """
-    part = F.floor((F.col("pred_finish_rank") - 1) / per_record).alias("_part")
-    entry = F.struct("pred_finish_rank", "driver", "team", "grid_position", "p_win", "p_podium", "p_top10")
-    place = F.struct(F.col("driver"), F.lit(None).cast("double").alias("qualifying_position"),
-                     F.col("grid_position"), F.col("pit_start"))
-    sizes = rows.groupBy(*contest).agg(
-        F.count(F.lit(1)).cast("int").alias("_size"),
-        F.count(F.when(F.col("pit_start") == 1, 1)).cast("int").alias("_pits"))
-    per = rows.groupBy(*contest, part).agg(
-        F.array_sort(F.collect_list(entry)).alias("predictions"),
-        F.array_sort(F.collect_list(place)).alias("_entries"),
-        F.max("event_name").alias("event_name"), F.max("date").alias("date"),
-        F.max("created_utc").alias("created_utc"), F.max("grid_status").alias("status"))
-    per = attach(per, sizes, contest, calendar=True)
-    return per.select(
-        F.struct("year", "round", "event_name", "date").alias("event"), "created_utc",
-        F.struct("status", header["source"].alias("source"),
-                 F.col("created_utc").cast("string").alias("cutoff_utc"),
-                 F.col("_size").alias("field_size"), F.col("_pits").alias("n_pit_starts"),
-                 F.array().cast("array<string>").alias("notes"), F.col("_entries").alias("entries")).alias("grid"),
+    types = dict(rows.dtypes)
+    per = rows.groupBy(*contest).agg(
+        F.count(F.lit(1)).alias("_size"), F.count(F.when(F.col("pit_start") == 1, 1)).cast("int").alias("_pits"),
+        *[F.max(c).alias(c) for c in ("event_name", "date", "created_utc", "grid_status")])
+    headers = per.select(
+        F.struct(*contest, "event_name", "date").alias("event"), "created_utc",
+        F.struct(F.col("grid_status").alias("status"), header["source"].alias("source"),
+                 F.col("created_utc").cast("string").alias("cutoff_utc"), F.col("_size").alias("field_size"),
+                 F.col("_pits").alias("n_pit_starts"), F.array().cast("array<string>").alias("notes")).alias("grid"),
         F.struct(header["training_cutoff_utc"].cast("string").alias("training_cutoff_utc"),
                  header["temperature"].cast("double").alias("temperature"),
                  header["alpha"].cast("double").alias("alpha")).alias("bundle"),
-        "predictions")
+        F.struct(*[F.lit(types[c]).alias(c) for c in ("driver", "team")]).alias("id_types"))
+    if "qualifying_position" not in rows.columns:
+        rows = rows.withColumn("qualifying_position", F.lit(None).cast("double"))
+    return headers, rows.select(*contest, *PREDICTED)
 
 
 def match_results(predictions: DataFrame, results: DataFrame, contest: Sequence[str] = CONTEST) -> DataFrame:

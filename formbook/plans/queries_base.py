@@ -67,17 +67,17 @@ def header():
 
 
 def archived(spark, sf):
-    """Archive every forecast as nested JSON once, then scan it back."""
+    """Archive every forecast as JSON records once; the archive's folder."""
     path = scratch(spark, "forecasts")
-    files.archive_forecasts(records.nest(league.forecasts(spark, sf), header()), path)
-    return files.read_forecasts(spark, path)
+    files.archive_forecasts(*records.split_record(league.forecasts(spark, sf), header()), path)
+    return path
 
 
 @query("src4_json_records",
        sql("forecasts", f"select {IDS}, event_name, created_utc, grid_status, pred_finish_rank, "
            f"{r('grid_position, p_win, p_podium, p_top10')} from forecasts"))
 def _(spark, sf):
-    flat = files.explode_predictions(archived(spark, sf))
+    flat = files.read_predictions(spark, archived(spark, sf))
     return out(flat.withColumn("created_utc", F.col("created_utc").cast("timestamp_ntz")), *ID, "event_name",
                "created_utc", "grid_status", "pred_finish_rank", "grid_position", "p_win", "p_podium", "p_top10")
 
@@ -139,8 +139,9 @@ def _(spark, sf):
 @query("snk3_write_once_record",
        sql("forecasts", "select count(distinct (year, round)) as n_contests, count(*) as n_predictions from forecasts"))
 def _(spark, sf):
-    return archived(spark, sf).agg(F.count_distinct("event.year", "event.round").alias("n_contests"),
-                                   F.sum(F.size("predictions")).alias("n_predictions"))
+    path = archived(spark, sf)
+    n = files.read_predictions(spark, path).agg(F.count(F.lit(1)).alias("n_predictions"))
+    return with_row(files.read_forecasts(spark, path).agg(F.count_distinct("event.year", "event.round").alias("n_contests")), n)
 
 
 _POLICY = r("avg(position) as global_mean_finish", "avg(case when position <= 3 then 1.0 else 0.0 end) as podium_rate",

@@ -8,7 +8,7 @@ from ..functions import vocab
 from ..operators import folds, gates, metrics, probability, records, stats
 from ..operators.grouping import with_row
 from ..operators.labels import relevance
-from ..sources import league
+from ..sources import files, league
 from ..sources.league import K, entries, labelled
 from .oracle import part, r, sql
 from .registry import out, query
@@ -573,9 +573,11 @@ def scored_records(spark, sf):
            count(*) as n_predictions, {r('sum(p_win) as p_total')} from forecasts group by 1, 2, 3"""))
 def _(spark, sf):
     from .queries_base import archived
-    return out(archived(spark, sf).select(
-        "event.year", "event.round", "event.event_name", "grid.field_size", "grid.n_pit_starts", F.size("predictions").cast("bigint").alias("n_predictions"),
-        F.aggregate("predictions", F.lit(0.0), lambda a, p: a + p["p_win"]).alias("p_total")))
+    path = archived(spark, sf)
+    sums = files.read_predictions(spark, path).groupBy(*K).agg(F.count(F.lit(1)).alias("n_predictions"), F.sum("p_win").alias("p_total"))
+    heads = files.read_forecasts(spark, path).select("event.year", "event.round", "event.event_name", F.col("grid.field_size").cast("int").alias("field_size"),
+                                                     "grid.n_pit_starts")
+    return out(heads.join(sums, K))
 
 
 @query("rec2_score_forecasts", sql("fr_score", f"select year, round, event_name, grid_status, drivers_unmatched, winner_hit, grid_winner_hit, {r(_SCORE)} from fr_score"))

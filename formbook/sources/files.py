@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.grouping import attach
 from ..operators.quality import duplicate_contests
 from ..session import path_exists
-from .schema import FORECAST_SCHEMA, clean_missing, complete
+from .schema import HEADER_SCHEMA, clean_missing, complete, nested_schema, prediction_schema
 
 POLICY_VERSION = 2
 
@@ -49,21 +50,44 @@ def write_table(df: DataFrame, path: str, by: Sequence[str] = ("year",)) -> None
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def archive_forecasts(forecasts: DataFrame, path: str) -> None:
-    """Write-once archive: an existing target is never replaced."""
-    if path_exists(forecasts.sparkSession, path):
+def archive_forecasts(headers: DataFrame, predictions: DataFrame, path: str) -> None:
+    """Write-once archive of JSON records: an existing target is never replaced.
+
+    Predictions lie in one folder per contest. Headers are written last, so an
+    archive with headers is whole.
+    """
+    if path_exists(headers.sparkSession, path):
         raise FileExistsError(f"forecast already archived at {path}")
-    forecasts.write.mode("errorifexists").json(path)
+    predictions.write.mode("errorifexists").partitionBy("year", "round").json(f"{path}/predictions")
+    headers.write.mode("errorifexists").json(f"{path}/headers")
+
+
+def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
+    """Archived header records with the name of the file they came from."""
+    raw = spark.read.schema(HEADER_SCHEMA).json(f"{path}/headers")
+    return raw.select("*", F.col("_metadata.file_name").alias("source_file"))
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """One row per predicted entry with its header's facts; ids have the type that the headers name."""
+    headers = read_forecasts(spark, path)
+    types = [r["id_types"] for r in headers.select("id_types").distinct().collect()]  # one row per type an archive mixes
+    if len(types) != 1:
+        raise ValueError(f"an archive holds one kind of ids, found {len(types)}")
+    rows = spark.read.schema(prediction_schema(**types[0].asDict())).json(f"{path}/predictions")
+    facts = headers.select("event.year", "event.round", "event.event_name", "created_utc", F.col("grid.status").alias("grid_status"),
+                           "bundle.training_cutoff_utc")
+    return attach(rows, facts, ["year", "round"], calendar=True)
 
 
-def read_forecasts(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Archived nested forecasts with the name of the file they came from."""
-    raw = spark.read.schema(FORECAST_SCHEMA).option("multiLine", multi_line).json(path)
+def read_nested(spark: SparkSession, path: str, driver: str = "bigint", team: str = "int", multi_line: bool = True) -> DataFrame:
+    """Records of other writers that nest their predictions, ids of the given types, with their file's name."""
+    raw = spark.read.schema(nested_schema(driver, team)).option("multiLine", multi_line).json(path)
     return raw.select("*", F.col("_metadata.file_name").alias("source_file"))
 
 
 def explode_predictions(forecasts: DataFrame) -> DataFrame:
-    """One row per predicted entry of each forecast."""
+    """One row per predicted entry of nested records."""
     return forecasts.select(
         F.col("event.year").alias("year"), F.col("event.round").alias("round"),
         F.col("event.event_name").alias("event_name"), "created_utc",

@@ -46,15 +46,24 @@ NATIVE_MISSING = (
     "driver_pace_vs_team", "driver_pace_sd_ewm", *PRACTICE_COLS,
 )
 
-FORECAST_SCHEMA = (
+HEADER_SCHEMA = (
     "event struct<year:int, round:int, event_name:string, date:date>, created_utc timestamp,"
-    " grid struct<status:string, source:string, cutoff_utc:string, field_size:int,"
-    "  n_pit_starts:int, notes:array<string>,"
-    "  entries:array<struct<driver:bigint, qualifying_position:double, grid_position:double,"
-    "   pit_start:int>>>,"
+    " grid struct<status:string, source:string, cutoff_utc:string, field_size:bigint,"
+    "  n_pit_starts:int, notes:array<string>>,"
     " bundle struct<training_cutoff_utc:string, temperature:double, alpha:double>,"
-    " predictions array<struct<pred_finish_rank:int, driver:bigint, team:int,"
-    "  grid_position:double, p_win:double, p_podium:double, p_top10:double>>")
+    " id_types struct<driver:string, team:string>")
+
+
+def prediction_schema(driver: str = "bigint", team: str = "int") -> str:
+    """Columns of a flat predictions table, ids of the given types."""
+    return (f"year int, round int, pred_finish_rank int, driver {driver}, team {team}, grid_position double,"
+            " qualifying_position double, pit_start int, p_win double, p_podium double, p_top10 double")
+
+
+def nested_schema(driver: str = "bigint", team: str = "int") -> str:
+    """A record that nests its predictions, as other writers leave them."""
+    entry = "pred_finish_rank:int, driver:{}, team:{}, grid_position:double, p_win:double, p_podium:double, p_top10:double"
+    return HEADER_SCHEMA.rsplit(",", 2)[0] + f", predictions array<struct<{entry.format(driver, team)}>>"
 
 
 def project_roles(df: DataFrame) -> DataFrame:

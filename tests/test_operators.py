@@ -317,15 +317,49 @@ def forecast_rows(frame):
 HEADER = lambda: {"source": F.lit("test"), "training_cutoff_utc": F.lit("2026-08-30"), "temperature": F.lit(1.0), "alpha": F.lit(0.3)}
 
 
-def test_records_round_trip_once_and_in_parts(spark, frame):
+def test_records_round_trip_once(spark, frame):
     path = scratch(spark, "archive-test")
-    nested = records.nest(forecast_rows(frame), HEADER(), per_record=3)
-    assert sorted(column(nested, F.size("predictions"))) == [1, 3]
-    files.archive_forecasts(nested, path)
-    back = files.explode_predictions(files.read_forecasts(spark, path))
-    assert sorted(column(back, "p_win")) == [0.1, 0.15, 0.25, 0.5]
+    split = records.split_record(forecast_rows(frame), HEADER())
+    files.archive_forecasts(*split, path)
+    assert files.read_forecasts(spark, path).select("grid.field_size", "event.event_name").collect() == [(4, "GP")]
+    back = files.read_predictions(spark, path)
+    assert sorted(column(back, "p_win")) == [0.1, 0.15, 0.25, 0.5] and set(column(back, "grid_status")) == {"confirmed"}
     with pytest.raises(FileExistsError):
-        files.archive_forecasts(nested, path)
+        files.archive_forecasts(*split, path)
+
+
+def test_records_of_a_huge_field_with_text_ids(spark):
+    """10,001 entries stay one record, and ids that look like numbers come back as the text they were."""
+    path = scratch(spark, "archive-test")
+    text_id = F.concat(F.lit("0"), F.col("id").cast("string"))
+    rows = spark.range(10_001).select(
+        F.lit(2026).alias("year"), F.lit(14).alias("round"), F.lit(date(2026, 9, 6)).alias("date"), F.lit("GP").alias("event_name"),
+        F.lit(datetime(2026, 9, 5)).alias("created_utc"), F.lit("confirmed").alias("grid_status"), (F.col("id") + 1).cast("int").alias("pred_finish_rank"),
+        text_id.alias("driver"), F.lit("0x7").alias("team"), F.col("id").cast("double").alias("grid_position"), F.lit(1).alias("pit_start"),
+        F.lit(0.0001).alias("p_win"), F.lit(0.0003).alias("p_podium"), F.lit(0.001).alias("p_top10"))
+    files.archive_forecasts(*records.split_record(rows, HEADER()), path)
+    head = files.read_forecasts(spark, path).collect()
+    assert len(head) == 1 and head[0]["grid"]["field_size"] == head[0]["grid"]["n_pit_starts"] == 10_001
+    back = files.read_predictions(spark, path)
+    assert dict(back.dtypes)["driver"] == "string" and back.select("driver", "team").exceptAll(rows.select("driver", "team")).isEmpty()
+    assert back.count() == 10_001 and back.select("driver").distinct().count() == 10_001
+
+
+def test_nested_records_of_other_writers(spark, tmp_path):
+    record = ('{"event": {"year": 2026, "round": 3, "event_name": "GP", "date": "2026-05-01"}, "created_utc": "2026-04-30T10:00:00",\n'
+              ' "grid": {"status": "provisional"}, "predictions": [{"pred_finish_rank": 1, "driver": "007", "team": "X", "p_win": 0.5}]}')
+    (tmp_path / "one.json").write_text(record)
+    rows = files.read_nested(spark, str(tmp_path), "string", "string")
+    assert column(rows, "source_file") == ["one.json"]
+    flat = files.explode_predictions(rows).first()
+    assert (flat["year"], flat["driver"], flat["team"], flat["p_win"], flat["grid_status"]) == (2026, "007", "X", 0.5, "provisional")
+
+
+def test_calibration_with_text_ids(frame):
+    from formbook.operators import gates
+    df = frame("year int, round int, driver string, grid_position double, p_win double, is_winner int",
+               (1, 1, "b", 2.0, 0.4, 0), (1, 1, "a", 2.0, 0.4, 1), (1, 1, "c", None, 0.4, 0), (1, 1, "d", 1.0, None, 0))
+    assert tuple(gates.calibration(df).first()) == (0.4, 1.0)
 
 
 def test_scoring_uses_archived_probability(frame):
