@@ -19,8 +19,8 @@ more through.
 Second pass. The survivors' keys, as a bit map of at most 2^`MAP_BITS` bits, tell a
 task which n-grams to count; a fuller map lets more through and changes no
 result. An n-gram is counted only if both its shorter parts are in the map.
-N-grams are told apart by their words, never by hash, and the exact counts are
-added up by language and phrase.
+N-grams are told apart by their words, never by hash. Counts travel packed, one
+row per flush and hash partition, and are added up by language and phrase.
 
 Candidates, their parts' counts, the lowest cut, containment in longer candidates
 and the ranks are joins and aggregates over the frequent phrases; the ranks are
@@ -249,36 +249,84 @@ def bit_map(kept: DataFrame, width: int, part_bits: int) -> tuple[np.ndarray, in
     return marks, map_bits
 
 
-def _counted(batches: Iterator[pa.RecordBatch], marks, map_bits: int, flush: int) -> Iterator[pa.RecordBatch]:
-    """Exact counts of the n-grams in the map, told apart by their words; `size` 0 counts a language's words."""
+_PHRASES = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.binary()), ("f", pa.int64())])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], marks, map_bits: int, part_bits: int, flush: int) -> Iterator[pa.RecordBatch]:
+    """Exact counts of the n-grams in the map, told apart by their words; one row of packed counts per hash partition.
+
+    `size` 0 counts a language's words, in partition 0.
+    """
     bits = marks.value
     for tokens in _texts(batches, flush):
+        langs = pa.array(tokens.langs, pa.binary()).cast(pa.string())
         total = np.bincount(tokens.lang, minlength=len(tokens.langs))
-        yield _rows(pa.array(tokens.langs, pa.binary()), 0, pa.array([b""] * len(total), pa.binary()), total)
-        shorter = None
+        tables = [pa.table([langs, pa.array([0] * len(total), pa.int32()), pa.array([b""] * len(total), pa.binary()), pa.array(total)], _PHRASES)]
+        part, shorter = [np.zeros(len(total), np.int64)], None
         for n, at, h in tokens.hashes():
             place = (h >> np.uint64(64 - map_bits)).astype(np.int64)
             hit = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
-            at = at[hit]
             if n > 1:
-                at = at[(shorter[at] >= 0) & (shorter[at + 1] >= 0)]
+                hit &= (shorter[at] >= 0) & (shorter[at + 1] >= 0)
+            at, h = at[hit], h[hit]
+            if len(at) == 0:
+                break
             head = tokens.lang[at] if n == 1 else shorter[at]
             code, _ = pd.factorize(head << 32 | tokens.word[at + n - 1])
             shorter = np.full(len(tokens.word), -1, np.int64)
-            if len(at) == 0:
-                break
             shorter[at] = code
             count = np.bincount(code)
             first = np.empty(len(count), np.int64)
-            first[code[::-1]] = at[::-1]
-            words = [tokens.words.take(pa.array(tokens.word[first + i])).cast(pa.large_binary()) for i in range(n)]
+            first[code[::-1]] = np.arange(len(at))[::-1]
+            part.append((h[first] >> np.uint64(64 - part_bits)).astype(np.int64))
+            first = at[first]
+            words = [tokens.words.take(pa.array(tokens.word[first + i])) for i in range(n)]
             phrase = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())) if n > 1 else words[0]
-            yield _rows(pa.array(tokens.langs, pa.binary()).take(pa.array(tokens.lang[first])), n, phrase, count)
+            tables.append(pa.table([langs.take(pa.array(tokens.lang[first])), pa.array([n] * len(first), pa.int32()),
+                                    phrase.cast(pa.binary()), pa.array(count)], _PHRASES))
+        part = np.concatenate(part)
+        order = np.argsort(part, kind="stable")
+        part, whole = part[order], pa.concat_tables(tables).take(pa.array(order))
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        if len(part):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[cuts[:-1]]), pa.array([_frozen(whole.slice(i, j - i)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
+                ["part", "counts"])
 
 
-def _rows(lang: pa.Array, size: int, phrase: pa.Array, count: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([lang.cast(pa.string()), pa.array([size] * len(lang), pa.int32()),
-                                       phrase.cast(pa.binary()).cast(pa.string()), pa.array(count, pa.int64())], ["lang", "size", "phrase", "f"])
+def _frozen(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _summed(batches: Iterator[pa.RecordBatch], threshold: int, capacity: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part: each part's exact counts, added up, of phrases that reach the threshold."""
+    part, held, size = None, [], 0
+
+    def added_up():
+        return pa.concat_tables(held).combine_chunks().group_by(["lang", "size", "phrase"]).aggregate([("f", "sum")]).rename_columns(_PHRASES.names)
+
+    def rows():
+        whole = added_up()
+        keep = pc.or_(pc.equal(whole["size"], 0), pc.greater_equal(whole["f"], threshold))
+        whole = whole.filter(keep)
+        return whole.set_column(2, "phrase", whole["phrase"].cast(pa.string())).to_batches(max_chunksize=100_000)
+
+    for batch in batches:
+        for p, data in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+            if p != part and held:
+                yield from rows()
+                held, size = [], 0
+            part = p
+            held.append(pa.ipc.open_stream(data).read_all())
+            size += len(held[-1])
+            if size >= capacity:
+                held = [added_up()]
+                size = len(held[0]) // 2
+    if held:
+        yield from rows()
 
 
 def frequent_phrases(docs: DataFrame, threshold: int = 100, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -291,9 +339,10 @@ def frequent_phrases(docs: DataFrame, threshold: int = 100, lang_col: str = "lan
     kept, width, part_bits = survivors(slim, threshold, WORDS * size // 2)
     marks, map_bits = bit_map(kept, width, part_bits)
     sent, flush = spark.sparkContext.broadcast(marks), FLUSH_BYTES
-    counted = slim.mapInArrow(lambda b: _counted(b, sent, map_bits, flush), "lang string, size int, phrase string, f long")
-    return materialise(counted.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where((F.col("size") == 0) | (F.col("f") >= threshold)),
-                       "frequent-phrases")
+    counted = slim.mapInArrow(lambda b: _counted(b, sent, map_bits, part_bits, flush), "part long, counts binary")
+    counted = counted.repartition(1 << part_bits, "part").sortWithinPartitions("part")
+    capacity = CAPACITY
+    return materialise(counted.mapInArrow(lambda b: _summed(b, threshold, capacity), "lang string, size int, phrase string, f long"), "frequent-phrases")
 
 
 def _big(column: str):
