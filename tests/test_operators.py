@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -249,6 +250,24 @@ def test_exact_podium_equals_enumeration(frame):
     assert got == pytest.approx(want, abs=1e-9)
 
 
+def test_exact_podium_of_a_contest_with_most_rows(frame):
+    """One contest holds nine tenths of the rows; an entry without id or probability keeps its row, rows never shuffle by contest alone."""
+    rng = random.Random(3)
+    rates = [rng.random() ** 3 for _ in range(36)]
+    big = [r / sum(rates) for r in rates]
+    rows = [(1, 1, i, p) for i, p in enumerate(big)] + [(1, 2, i, p) for i, p in enumerate((0.4, 0.3, 0.2, 0.1))] + [(1, 1, None, None)]
+    found = probability.exact_podium(frame("year int, round int, driver bigint, p_win double", *rows))
+    got = {(r["round"], r["driver"]): r["p_podium_exact"] for r in found.collect()}
+    assert len(got) == len(rows) and got[1, None] is None
+    for rnd, w in ((1, big), (2, [0.4, 0.3, 0.2, 0.1])):
+        want = [0.0] * len(w)
+        for a, b, c in itertools.permutations(range(len(w)), 3):
+            p = w[a] * w[b] / (1 - w[a]) * w[c] / (1 - w[a] - w[b])
+            for i in (a, b, c):
+                want[i] += p
+        assert [got[rnd, i] for i in range(len(w))] == pytest.approx(want, abs=1e-8)
+
+
 def test_temperature_moves_both_ways(prob_race):
     sure = probability.fit_temperature(probability.temperature_losses(prob_race, "rank_score")).first()
     upset = prob_race.withColumn("is_winner", F.when(F.col("driver") == 12, 1).otherwise(0))
