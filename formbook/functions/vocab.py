@@ -98,3 +98,6 @@ POINTS = (25, 18, 15, 12, 10, 8, 6, 4, 2, 1)
 
 STATUS_MAP = {word: category for category, words in STATUS_WORDS.items() for word in words}
 NAME_MAP = {word: name for name, words in NAME_WORDS.items() for word in words}
+
+# Names of the compared orderings in recorded tables.
+ORDERING_NAMES = ("grid_baseline", "top10_classifier", "rank_model", "blend")

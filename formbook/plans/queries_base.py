@@ -191,7 +191,7 @@ def _(spark, sf):
 
 
 # Names as sponsors decorate them, cycled over the supplier table.
-_DECORATED = ["BWT Alpine F1 Team", " Scuderia AlphaTauri Honda ", "RB", "Mercedes", "Kick Sauber", "", "Brand New GP"]
+_DECORATED = ["Acme Alpine F1 Team", " Scuderia AlphaTauri Acme ", "RB", "Mercedes", "Kick Sauber", "", "Brand New GP"]
 _CANON = ["alpine", "racing_bulls", "racing_bulls", "mercedes", "sauber", "unknown", "brand_new_gp"]
 
 

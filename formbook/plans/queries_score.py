@@ -19,8 +19,7 @@ IDS = "year, round, driver"
 # Draws of the registered queries; the operator's default is the documented number.
 DRAWS = 500
 REPLICATES = vocab.BOOTSTRAP_REPLICATES
-ORDERINGS = {"grid_baseline": ("grid_position", True), "top10_classifier": ("p_top10_clf", False),
-             "rank_model": ("rank_score", False), "blend": ("blend_score", True)}
+ORDERINGS = dict(zip(vocab.ORDERING_NAMES, (("grid_position", True), ("p_top10_clf", False), ("rank_score", False), ("blend_score", True)), strict=True))
 
 part("scored0", ("labelled", "form"), """select l.*, -coalesce(form_avg_finish_3, 50.0) as rank_score,
     coalesce(form_avg_points_3, 0.0) as win_score, -coalesce(season_avg_finish, 50.0) as podium_score,
