@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import CONTEST
@@ -23,23 +24,47 @@ K = list(CONTEST)
 def score_results(results: DataFrame, forecasts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Score static forecasts against a stream of results.
 
-    The rows of a contest may land in any number of batches: each batch keeps its
-    rows under `<out>/landed` and scores the contests that it touches from all
-    rows landed so far, under `<out>/scored`. `latest_scores` reads each contest's
-    last version. Each micro-batch writes its own folders, so a retry replaces them.
+    The rows of a contest may land in any number of batches: each batch files its
+    rows under `<out>/landed/<contest>/batch=<n>`, reads back the folders of the
+    contests that it touches and no others, and scores these under `<out>/scored`.
+    So the files that a batch reads follow its own contests, not the number of
+    batches before it; the driver holds the batch's contest keys, which the calendar
+    bounds. `latest_scores` reads each contest's last version. A repeated batch
+    replaces its own folders. Rows whose contest is NULL belong to none and are
+    written to `<out>/unkeyed`.
     """
     def batch(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        rows.write.mode("overwrite").parquet(f"{out}/landed/batch={batch_id}")
-        landed = spark.read.schema(rows.schema.add("batch", "long")).parquet(f"{out}/landed").where(F.col("batch") <= batch_id).drop("batch")
-        touched = spark.read.schema(rows.schema).parquet(f"{out}/landed/batch={batch_id}").select(*K).distinct()
-        scored = records.score(forecasts.join(touched, K, "left_semi"), landed.join(touched, K, "left_semi"))
-        scored.write.mode("overwrite").parquet(f"{out}/scored/batch={batch_id}")
+        score_batch(rows, batch_id, forecasts, out)
 
     return (results.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def landed_rows(rows: DataFrame, batch_id: int, out: str) -> DataFrame:
+    """File one batch by contest; all rows landed so far of the contests that it touches."""
+    spark, landed = rows.sparkSession, f"{out}/landed"
+    unkeyed = F.exists(F.array(*[F.col(k).isNull() for k in K]), lambda x: x)
+    rows.filter(unkeyed).write.mode("overwrite").parquet(f"{out}/unkeyed/batch={batch_id}")
+    # The files keep the keys; the folder columns only locate them.
+    places = [f"_at_{k}" for k in K]
+    filed = rows.filter(~unkeyed).withColumns(dict(zip(places, map(F.col, K)))).withColumn("batch", F.lit(batch_id).cast("long"))
+    (filed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*places, "batch").parquet(landed))
+    touched = rows.filter(~unkeyed).select(*K).distinct().collect()
+    if not touched:
+        return rows.filter(~unkeyed)
+    paths = ["/".join([landed, *(f"{p}={r[k]}" for p, k in zip(places, K))]) for r in touched]
+    # A repeated batch does not see the batches after it.
+    found = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", landed).parquet(*paths)
+    return found.where(F.col("batch") <= batch_id).select(*rows.columns)
+
+
+def score_batch(rows: DataFrame, batch_id: int, forecasts: DataFrame, out: str) -> None:
+    """One batch of `score_results`; repeating it writes the same folders again."""
+    landed = landed_rows(rows, batch_id, out)
+    scored = records.score(forecasts.join(landed.select(*K).distinct(), K, "left_semi"), landed)
+    scored.write.mode("overwrite").parquet(f"{out}/scored/batch={batch_id}")
+
+
 def latest_scores(scored: DataFrame) -> DataFrame:
     """The last version of each contest of `<out>/scored`."""
     last = scored.groupBy(*K).agg(F.max("batch").alias("batch"))
@@ -162,9 +187,30 @@ def online_history(events: DataFrame, keys: Sequence[str], time: str, tie: str,
 
 def flag_late(forecasts: DataFrame, schedule: DataFrame, out: str, checkpoint: str,
               delay: str = "7 days", start: str = "start_utc") -> StreamingQuery:
-    """Mark forecasts made after the scheduled start; the schedule is a static calendar."""
-    marked = (forecasts.withWatermark("created_utc", delay)
-              .join(F.broadcast(schedule.select(*K, start)), K, "left")
+    """Mark forecasts made after the scheduled start; the schedule is a static calendar.
+
+    A forecast that is sent again (same contest, entity and time) is kept once. The
+    watermark, `delay` behind the newest creation time of the batches before, bounds
+    the state that this needs: one small record per forecast inside the delay,
+    spread by contest and entity. A forecast that arrives below the watermark is
+    refused; `refused_count` counts these and `refused_forecasts` lists them. A NULL
+    creation time is below no watermark and is not late.
+    """
+    once = forecasts.withWatermark("created_utc", delay).dropDuplicatesWithinWatermark([*K, "driver", "created_utc"])
+    marked = (once.join(schedule.select(*K, start), K, "left")
               .withColumn("is_late", F.coalesce(F.col("created_utc") > F.col(start), F.lit(False))))
     return (marked.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def refused_count(query: StreamingQuery) -> int:
+    """Rows below the watermark that the recent batches of a stream refused."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def refused_forecasts(forecasts: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Landed forecasts that are not in the output of `flag_late`, each once."""
+    names = [*K, "driver", "created_utc"]
+    kept = flagged.select(*[F.col(n).alias(f"_{n}") for n in names])
+    same = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
+    return forecasts.dropDuplicates(names).join(kept, same, "left_anti")
