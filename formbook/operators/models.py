@@ -23,7 +23,7 @@ from ..sources.schema import FEATURE_COLS, NATIVE_MISSING
 from . import folds, impute, probability
 from .asof import asof_join
 from .grouping import ranks, with_row
-from .metrics import further_metrics, predicted_rank
+from .metrics import contest_metrics, further_metrics, predicted_rank
 
 K = list(CONTEST)
 ID = [*K, "driver"]
@@ -99,13 +99,18 @@ def comparison_pairs(df: DataFrame, offsets: Sequence[int] = (1, 2, 4, 8, 16)) -
     return joined.select(*K, "_at", "_offset", *[(F.col(c) - F.col(f"_b_{c}")).alias(c) for c in FILLED])
 
 
-def fit_ranker(train: DataFrame, reg: float = 0.01, max_iter: int = 20) -> PipelineModel:
-    """Pairwise logistic ranker: which of two entries finishes ahead."""
+def ranker_pairs(train: DataFrame) -> DataFrame:
+    """Labelled feature differences for the pairwise ranker."""
     pairs = comparison_pairs(train)
     # Mirror half of the pairs by a row hash, so both labels occur equally often.
     turn = F.when(F.pmod(F.xxhash64(*K, "_at", "_offset"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    pairs = pairs.withColumn("_turn", turn).select(
+    return pairs.withColumn("_turn", turn).select(
         ((F.col("_turn") + 1) / 2).alias("_label"), *[(F.col(c) * F.col("_turn")).alias(c) for c in FILLED])
+
+
+def fit_ranker(train: DataFrame, reg: float = 0.01, max_iter: int = 20, pairs: DataFrame | None = None) -> PipelineModel:
+    """Pairwise logistic ranker: which of two entries finishes ahead. `pairs` spares forming them again."""
+    pairs = ranker_pairs(train) if pairs is None else pairs
     stages = [_assembler(), StandardScaler(inputCol="features", outputCol="scaled", withMean=False),
               LogisticRegression(labelCol="_label", featuresCol="scaled", fitIntercept=False,
                                  regParam=reg, maxIter=max_iter)]
@@ -129,18 +134,69 @@ def with_grade(model: PipelineModel, df: DataFrame, out="rank_score") -> DataFra
     return _score(model, df, lambda: F.col("prediction"), out)
 
 
+# Iteration counts among which early stopping chooses.
+ITERATIONS = (5, 10, 20, 40)
+
+
+def best_round(scores: DataFrame, by: Sequence[str], index: str, value: str) -> DataFrame:
+    """Per group the candidate with the largest value; ties go to the smallest index. NULL values never win."""
+    kept = scores.filter(F.col(value).isNotNull())
+    return kept.groupBy(*by).agg(F.max_by(F.struct(index, value), F.struct(value, -F.col(index))).alias("_b")).select(*by, "_b.*")
+
+
+def stop_early(train: DataFrame, val: DataFrame, counts: Sequence[int] = ITERATIONS) -> DataFrame:
+    """Validation NDCG@3 of the pairwise ranker after each iteration count: one row per count, `chosen` the first best.
+
+    The fits share one table of pairs and run side by side; their validation rows are judged in one job.
+    """
+    pairs = materialise(ranker_pairs(train), "pairs")
+    models = _together(*[lambda n=n: fit_ranker(train, max_iter=n, pairs=pairs) for n in counts])
+    parts = [with_rank_score(m, val).withColumn("iterations", F.lit(n)) for n, m in zip(counts, models, strict=True)]
+    scored = materialise(reduce(DataFrame.unionByName, parts), "stopping")
+    table = (further_metrics(scored, "rank_score", False, contest=["iterations", *K])
+             .groupBy("iterations").agg(F.avg("ndcg_3").alias("ndcg_3")))
+    table = materialise(table, "stopping-scores")
+    chosen = best_round(table, [], "iterations", "ndcg_3").select(F.col("iterations").alias("_best"))
+    return with_row(table, chosen).withColumn("chosen", F.col("iterations") == F.col("_best")).drop("_best")
+
+
 def search(train: DataFrame, val: DataFrame, grid: Sequence[dict] = SEARCH, max_iter: int = 20) -> DataFrame:
     """Validation NDCG@3 of each configuration; ties go to the first (smallest) one."""
-    def one(i, params):
-        model = fit_grade_ranker(train, max_iter, **params)
-        scored = further_metrics(materialise(with_grade(model, val), "search"), "rank_score", False)
-        score = scored.agg(F.avg("ndcg_3").alias("s")).first()["s"]
-        return i, params["maxDepth"], params["minInstancesPerNode"], score
+    one = lambda df, role: df.withColumns({"fold": F.lit("only"), "role": F.lit(role)})
+    both = one(train, folds.TRAIN).unionByName(one(val, folds.VAL), allowMissingColumns=True)
+    table, _ = search_folds(both, ["only"], grid, max_iter)
+    return table.drop("fold")
+
 
-    rows = _together(*[lambda i=i, p=p: one(i, p) for i, p in enumerate(grid)])
-    table = val.sparkSession.createDataFrame(rows, "config int, max_depth int, min_rows int, ndcg_3 double")
-    best = table.agg(F.max_by("config", F.struct("ndcg_3", -F.col("config"))).alias("_best"))
-    return with_row(table, best).withColumn("chosen", F.col("config") == F.col("_best")).drop("_best")
+def search_folds(filled: DataFrame, names: Sequence[str], grid: Sequence[dict] = SEARCH, max_iter: int = 20,
+                 width: int = 8) -> tuple[DataFrame, dict[tuple[str, int], PipelineModel]]:
+    """`search` of several folds: all fits in one flat pool, all validation rows judged in one job keyed by fold.
+
+    Returns the table (fold, configuration, NDCG@3, `chosen`) and the fitted models by (fold, configuration);
+    both are bounded by folds x grid.
+    """
+    def role(fold, r):
+        return filled.filter((F.col("fold") == fold) & (F.col("role") == r))
+
+    keys = [(f, i) for f in names for i in range(len(grid))]
+    fitted = dict(zip(keys, _together(*[lambda f=f, i=i: fit_grade_ranker(role(f, folds.TRAIN), max_iter, **grid[i]) for f, i in keys],
+                                      width=width), strict=True))
+    parts = [with_grade(m, role(f, folds.VAL)).withColumn("config", F.lit(i)) for (f, i), m in fitted.items()]
+    scored = materialise(reduce(DataFrame.unionByName, parts), "search")
+    score = (further_metrics(scored, "rank_score", False, contest=["fold", "config", *K])
+             .groupBy("fold", "config").agg(F.avg("ndcg_3").alias("ndcg_3")))
+    score = materialise(score, "search-scores")
+    facts = filled.sparkSession.createDataFrame(
+        [(f, i, grid[i].get("maxDepth"), grid[i].get("minInstancesPerNode")) for f, i in keys], "fold string, config int, max_depth int, min_rows int")
+    best = best_round(score, ["fold"], "config", "ndcg_3").select("fold", F.col("config").alias("_best"))
+    table = facts.join(score, ["fold", "config"], "left").join(best, "fold", "left")
+    return table.withColumn("chosen", F.coalesce(F.col("config") == F.col("_best"), F.lit(False))).drop("_best"), fitted
+
+
+def tuned_rankers(filled: DataFrame, names: Sequence[str], grid: Sequence[dict] = SEARCH, max_iter: int = 20) -> dict[str, PipelineModel]:
+    """Each fold's grade ranker in the configuration that its own validation block chose."""
+    table, fitted = search_folds(filled, names, grid, max_iter)
+    return {r["fold"]: fitted[r["fold"], r["config"]] for r in table.filter("chosen").collect()}
 
 
 def importances(model: PipelineModel, spark) -> DataFrame:
@@ -162,25 +218,28 @@ def fold_rows(prefill: DataFrame, table: DataFrame) -> DataFrame:
     return impute.transform(rows, impute.fit(rows.filter(F.col("role") == folds.TRAIN), ["fold"]), ["fold"])
 
 
-def fold_scores(filled: DataFrame, max_iter: int = 40, width: int = 8) -> DataFrame:
+def fold_scores(filled: DataFrame, max_iter: int = 40, width: int = 8, tune: Sequence[dict] = ()) -> DataFrame:
     """Validation and test rows with the scores of their fold's models.
 
     All fits of all folds wait in one flat pool, so small jobs of one fit fill
-    the gaps of others and no pool waits inside another.
+    the gaps of others and no pool waits inside another. With a grid in `tune` the
+    ranker of a fold is the grade ranker that its validation block chose from it.
     """
     names = [r["fold"] for r in filled.select("fold").distinct().orderBy("fold").collect()]
 
     def fits(fold):
         train, val = (filled.filter((F.col("fold") == fold) & (F.col("role") == r)) for r in (folds.TRAIN, folds.VAL))
-        return [lambda: fit_classifier(train, val, "finished_top10", max_iter=max_iter), lambda: fit_ranker(train),
+        return [lambda: fit_classifier(train, val, "finished_top10", max_iter=max_iter), lambda: None if tune else fit_ranker(train),
                 *[lambda label=label: fit_classifier(train, val, label, balanced=True, max_iter=max_iter) for label in HEADS.values()]]
 
     models = _together(*[task for n in names for task in fits(n)], width=width)
+    tuned = tuned_rankers(filled, names, tune, max_iter) if tune else {}
     parts = []
     for i, fold in enumerate(names):
         clf, ranker, *heads = models[4 * i:4 * i + 4]
         part = filled.filter((F.col("fold") == fold) & F.col("role").isin(folds.VAL, folds.TEST))
-        part = with_rank_score(ranker, with_probability(clf, part, "p_top10_clf"))
+        part = with_probability(clf, part, "p_top10_clf")
+        part = with_grade(tuned[fold], part) if tune else with_rank_score(ranker, part)
         for h, m in zip(HEADS, heads, strict=True):
             part = with_probability(m, part, f"p_{h}")
         parts.append(part)
@@ -199,15 +258,16 @@ def fold_choices(val: DataFrame) -> DataFrame:
             .join(grid.select("fold", F.col("temperature").alias("grid_temperature")), by))
 
 
-def run_folds(prefill: DataFrame, table: DataFrame, n_draws: int = vocab.PL_DRAWS, max_iter: int = 40) -> DataFrame:
+def run_folds(prefill: DataFrame, table: DataFrame, n_draws: int = vocab.PL_DRAWS, max_iter: int = 40,
+              tune: Sequence[dict] = ()) -> DataFrame:
     """Fit, choose and predict in every fold: its test rows with the columns `FOLD_OUT`.
 
     The fill policy and the models see training rows, stopping and all choices
     see validation rows only. Classifier and Plackett-Luce top-10 stay separate
     columns. Only the fits run per fold; filling, scoring, sweeps, draws and
-    blends are single jobs keyed by fold.
+    blends are single jobs keyed by fold. `tune` is a grid for the ranker (`SEARCH`).
     """
-    scored = fold_scores(materialise(fold_rows(prefill, table), "fold-rows"), max_iter)
+    scored = fold_scores(materialise(fold_rows(prefill, table), "fold-rows"), max_iter, tune=tune)
     scored = scored.withColumns({h: probability.log_odds(f"p_{h}") for h in HEADS})
     group = ["fold", "role", *K]
     scored = materialise(probability.standardise(scored, ["rank_score", *HEADS], contest=group), "fold-standard")
@@ -227,18 +287,37 @@ def run_folds(prefill: DataFrame, table: DataFrame, n_draws: int = vocab.PL_DRAW
 
 
 # --- bundles -------------------------------------------------------------------------
+VALIDATION = ("val_season", "n_val_contests", "ndcg_3", "winner_accuracy", "podium_overlap", "top10_overlap", "spearman_all",
+              "winner_log_loss", "uniform_log_loss")
+
+
+def validation_block(scored: DataFrame, temperature: float) -> DataFrame:
+    """One row: how the drafted recipe did on the contests that chose it."""
+    means = [("ndcg_3",), ("winner_accuracy", "podium_overlap", "top10_overlap", "spearman_all"), ("winner_log_loss",), ("uniform_log_loss",)]
+    parts = [further_metrics(scored, "rank_score", False), contest_metrics(scored, "rank_score", False),
+             probability.winner_losses(probability.softmax(scored, "rank_score", temperature)), probability.uniform_losses(scored)]
+    one = scored.agg(F.max("year").alias("val_season"), F.count_distinct(*K).alias("n_val_contests"))
+    for names, part in zip(means, parts, strict=True):
+        one = with_row(one, part.agg(*[F.avg(c).alias(c) for c in names]))
+    return one.select(F.struct(*VALIDATION).alias("validation"))
+
+
 def develop_and_refit(prefill: DataFrame, path: str) -> DataFrame:
-    """Choose alpha and temperature on the validation year, refit on all rows, save, and
-    return the one-row manifest."""
+    """Choose iterations, alpha and temperature on the validation year, refit the frozen recipe on
+    all rows, save, and return the one-row manifest."""
     train, val = (prefill.filter(F.col("partition") == p) for p in (folds.TRAIN, folds.VAL))
     policy = impute.fit(train)
-    draft = fit_ranker(impute.transform(train, policy))
-    val = materialise(with_rank_score(draft, impute.transform(val, policy)), "develop")
+    train = materialise(impute.transform(train, policy), "develop-train")
+    val = materialise(impute.transform(val, policy), "develop-val")
+    iterations = stop_early(train, val).filter("chosen").first()["iterations"]
+    draft = fit_ranker(train, max_iter=iterations)
+    val = materialise(with_rank_score(draft, val), "develop")
     alpha = probability.select_alpha(probability.alpha_table(val, "rank_score")).first()["alpha"]
     temperature = probability.fit_temperature(probability.temperature_losses(val, "rank_score")).first()["temperature"]
+    block = validation_block(val, temperature)
 
     policy = impute.fit(prefill)
-    fit_ranker(impute.transform(prefill, policy)).write().overwrite().save(f"{path}/ranker")
+    fit_ranker(impute.transform(prefill, policy), max_iter=iterations).write().overwrite().save(f"{path}/ranker")
     policy.write.mode("overwrite").json(f"{path}/policy")
     manifest = prefill.agg(
         F.lit(BUNDLE_VERSION).alias("bundle_version"), F.max("date").cast("timestamp").alias("training_cutoff_utc"),
@@ -247,22 +326,27 @@ def develop_and_refit(prefill: DataFrame, path: str) -> DataFrame:
         F.max("year").alias("train_year_max")).select(
         "*", F.array(*[F.lit(c) for c in FEATURE_COLS]).alias("feature_cols"),
         F.lit(float(alpha)).alias("alpha"), F.lit(float(temperature)).alias("temperature"),
-        F.lit(path).alias("path"))
+        F.lit(path).alias("path"), F.lit(iterations).alias("iterations"))
+    manifest = with_row(manifest, block)
     manifest.write.mode("overwrite").json(f"{path}/manifest")
-    return manifest
+    # Read back, so that what a caller sees is what was saved and nothing is computed again.
+    return prefill.sparkSession.read.schema(MANIFEST_SCHEMA).json(f"{path}/manifest")
 
 
 MANIFEST_SCHEMA = ("bundle_version int, training_cutoff_utc timestamp, fill_policy_schema int, n_train_rows bigint, "
                    "n_train_contests bigint, train_year_min int, train_year_max int, feature_cols array<string>, "
-                   "alpha double, temperature double, path string")
+                   "alpha double, temperature double, path string, iterations int, validation struct<val_season: int, "
+                   "n_val_contests: bigint, " + ", ".join(f"{c}: double" for c in VALIDATION[2:]) + ">")
 
 
 def manifest_problems(manifests: DataFrame, feature_cols: Sequence[str] = FEATURE_COLS) -> DataFrame:
-    """One row per bundle and broken check: version, feature list, policy schema."""
+    """One row per bundle and broken check: version, feature list, policy schema, frozen iterations, validation block."""
     wanted = F.array(*[F.lit(c) for c in feature_cols])
     checks = {"bundle_version": F.col("bundle_version") != BUNDLE_VERSION,
               "feature_list": F.coalesce(F.col("feature_cols") != wanted, F.lit(True)),
-              "policy_schema": F.col("fill_policy_schema") != POLICY_VERSION}
+              "policy_schema": F.col("fill_policy_schema") != POLICY_VERSION,
+              "iterations": F.coalesce(F.col("iterations") < 1, F.lit(True)),
+              "validation": F.col("validation").isNull()}
     found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))
     return manifests.select("path", F.explode(found).alias("problem"))
 

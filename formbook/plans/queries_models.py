@@ -69,8 +69,35 @@ def _(spark, sf):
 
 @query("ml4_bounded_search")
 def _(spark, sf):
-    train, val, _ = _parts(spark, sf)
-    return out(models.search(train, val))
+    return out(_search(spark, sf))
+
+
+def _search(spark, sf):
+    def build():
+        train, val, _ = _parts(spark, sf)
+        return models.search(train, val)
+    return stored(spark, sf, "search", build)
+
+
+@query("ml4_search_facts",
+       "select 9::bigint as n_configs, 1::bigint as n_chosen, 0::bigint as n_better, 0::bigint as n_outside")
+def _(spark, sf):
+    """What holds for any search: each configuration judged once, one chosen, none better and none equal before it."""
+    table = _search(spark, sf)
+    won = table.filter("chosen").select(F.col("ndcg_3").alias("_s"), F.col("config").alias("_c"))
+    better = (F.col("ndcg_3") > F.col("_s")) | ((F.col("ndcg_3") == F.col("_s")) & (F.col("config") < F.col("_c")))
+    inside = F.coalesce((F.col("ndcg_3") >= 0) & (F.col("ndcg_3") <= 1 + 1e-9), F.lit(False))
+    return with_row(table, won).agg(F.count_distinct("config").alias("n_configs"), F.count_if("chosen").alias("n_chosen"),
+                                    F.count_if(better).alias("n_better"), F.count_if(~inside).alias("n_outside"))
+
+
+@query("ml4_tuned_ranker")
+def _(spark, sf):
+    """The grade ranker in the chosen configuration, on the test year."""
+    train, _, test = _parts(spark, sf)
+    best = _search(spark, sf).filter("chosen").first()
+    model = models.fit_grade_ranker(train, **models.SEARCH[best["config"]])
+    return out(models.with_grade(model, test), *ID, "relevance", "rank_score")
 
 
 def _predictions(spark, sf):
@@ -128,7 +155,21 @@ def _bundle(spark, sf):
 
 @query("ml6_develop_then_refit")
 def _(spark, sf):
-    return out(_bundle(spark, sf).drop("path"))
+    return out(_bundle(spark, sf).drop("path").select("*", "validation.*").drop("validation"))
+
+
+@query("ml6_validation_facts",
+       sql("labelled", f"""select cast(max(year) as int) as val_season, count(*) as n_val_contests, {r('avg(case when w = 1 then ln(n) end) as uniform_log_loss')},
+           true as frozen_in_grid, true as metrics_inside from (select year, round, count(*) as n, max(is_winner) as w from labelled
+           where year = (select max(year) - 1 from labelled) group by year, round)"""))
+def _(spark, sf):
+    """What holds for any bundle: its validation year, the loss of a uniform guess, counts from the grid, metrics in bounds."""
+    v = lambda c: F.col(f"validation.{c}")
+    shares = [v(c).between(0, 1 + 1e-9) for c in ("ndcg_3", "winner_accuracy", "podium_overlap", "top10_overlap")]
+    inside = F.forall(F.array(*shares, v("spearman_all").between(-1 - 1e-9, 1 + 1e-9), v("winner_log_loss") >= 0), lambda x: x)
+    return out(_bundle(spark, sf).select(
+        v("val_season").alias("val_season"), v("n_val_contests").alias("n_val_contests"), v("uniform_log_loss").alias("uniform_log_loss"),
+        F.col("iterations").isin(*models.ITERATIONS).alias("frozen_in_grid"), F.coalesce(inside, F.lit(False)).alias("metrics_inside")))
 
 
 @query("ml7_bundle_manifest",
@@ -152,11 +193,30 @@ def _(spark, sf):
     return models.usable_bundles(table, seasons)
 
 
-@query("ml9_forecast_table")
-def _(spark, sf):
+def _forecast(spark, sf):
     history, future = next_contest(spark, sf)
     year, rnd = future.select(*K).first()
     rows = features.asof_features(history, future).filter((F.col("year") == year) & (F.col("round") == rnd))
     order = grid.provisional(rows, "q3_s")
     path = _bundle(spark, sf).first()["path"]
-    return out(models.forecast(grid.overlay(rows, order), models.load_bundle(spark, path)))
+    return models.forecast(grid.overlay(rows, order), models.load_bundle(spark, path))
+
+
+@query("ml9_forecast_table")
+def _(spark, sf):
+    return out(stored(spark, sf, "forecast", lambda: _forecast(spark, sf)))
+
+
+@query("ml9_forecast_facts",
+       sql("entries", """select count(*) as n_rows, count(*) as n_ranks, 1::int as best_rank, count(*)::int as last_rank, 1.0::double as p_win_total,
+           least(count(*), 3)::double as p_podium_total, least(count(*), 3) as n_podium, 0::bigint as n_outside
+           from entries where d = (select max(d) from entries)"""))
+def _(spark, sf):
+    """What holds for any forecast: every entry once, ranks without gaps, chances that add up and stay in bounds."""
+    rows = stored(spark, sf, "forecast", lambda: _forecast(spark, sf))
+    inside = [F.coalesce(F.col(c).between(0, 1 + 1e-9), F.lit(False)) for c in ("p_win", "p_podium", "p_top10")]
+    return out(rows.agg(
+        F.count_distinct("driver").alias("n_rows"), F.count_distinct("pred_finish_rank").alias("n_ranks"),
+        F.min("pred_finish_rank").cast("int").alias("best_rank"), F.max("pred_finish_rank").cast("int").alias("last_rank"),
+        F.sum("p_win").alias("p_win_total"), F.sum("p_podium").alias("p_podium_total"), F.count_if("predicted_podium").alias("n_podium"),
+        F.count_if(~F.forall(F.array(*inside), lambda x: x)).alias("n_outside")))

@@ -417,15 +417,23 @@ def test_roles_and_missing_columns(frame):
 
 def test_bundle_checks(frame):
     good = list(schema.FEATURE_COLS)
-    df = frame("bundle_version int, feature_cols array<string>, fill_policy_schema int, path string, training_cutoff_utc timestamp",
-               (1, good, 2, "ok", datetime(2026, 9, 6)), (2, good[:-1], 1, "bad", datetime(2026, 1, 1)))
+    block = (2025, 12, *[0.5] * 7)
+    df = frame(models.MANIFEST_SCHEMA,
+               (1, datetime(2026, 9, 6), 2, 9, 3, 2020, 2026, good, 0.5, 1.0, "ok", 20, block),
+               (2, datetime(2026, 1, 1), 1, 9, 3, 2020, 2026, good[:-1], 0.5, 1.0, "bad", 0, None))
     assert {(r["path"], r["problem"]) for r in models.manifest_problems(df).collect()} == {
-        ("bad", "bundle_version"), ("bad", "feature_list"), ("bad", "policy_schema")}
+        ("bad", "bundle_version"), ("bad", "feature_list"), ("bad", "policy_schema"), ("bad", "iterations"), ("bad", "validation")}
     contests = frame("year int, round int, date date", (2026, 1, date(2026, 8, 1)), (2026, 2, date(2026, 9, 6)), (2026, 3, date(2026, 9, 20)))
     use = models.usable_bundles(contests, df.filter("path = 'ok'"))
     assert {r["round"]: r["bundle"] for r in use.collect()} == {1: None, 2: None, 3: "ok"}
 
 
+def test_best_round_prefers_the_smallest_of_equals(frame):
+    df = frame("fold string, n int, v double", ("a", 20, 0.7), ("a", 5, 0.7), ("a", 40, 0.6), ("b", 5, None), ("b", 10, 0.1), ("c", 5, None))
+    got = {r["fold"]: (r["n"], r["v"]) for r in models.best_round(df, ["fold"], "n", "v").collect()}
+    assert got == {"a": (5, 0.7), "b": (10, 0.1)}
+
+
 def test_upcoming_contest_must_be_new(frame):
     df = frame("year int, round int", (2024, 1))
     with pytest.raises(ValueError, match="already has results"):

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check import TABLES, canonical
@@ -68,6 +69,52 @@ def test_history_writes_touched_keys_only_and_forgets_old_versions(spark, monkey
         known += [v] if v is not None else []
 
 
+def test_a_batch_scores_from_the_files_of_its_own_contests(spark):
+    """Contests that land in parts, one again later: latest scores equal a single batch, and old contests are not read."""
+    from formbook.operators import records
+    from formbook.sources import league
+    base, forecasts, results = scratch(spark, "scoring-test"), league.forecasts(spark, SF), league.results(spark, SF)
+    half = results.filter("driver % 2 = 0"), results.filter("driver % 2 = 1")
+    first, last = (results.agg(getattr(F, f)("year")).first()[0] for f in ("min", "max"))
+    nobody = results.limit(1).withColumn("round", F.lit(None).cast(results.schema["round"].dataType))
+    steps = [half[0].filter(F.col("year") == first), half[0].filter(F.col("year") != first),
+             half[1].filter(F.col("year") != last).unionByName(nobody), half[1].filter(F.col("year") == last)]
+    for b, rows in enumerate(steps):
+        online.score_batch(rows, b, forecasts, base)
+    online.score_batch(steps[2], 2, forecasts, base)  # repeated by a restart
+    read = online.landed_rows(steps[3], 3, base)
+    assert all(f"_at_year={last}/" in f for f in read.inputFiles())
+    assert read.count() == results.filter(F.col("year") == last).count()
+    assert spark.read.parquet(f"{base}/unkeyed").count() == 1
+    got = online.latest_scores(spark.read.parquet(f"{base}/scored"))
+    want = records.score(forecasts, results)
+    names = sorted(want.columns)
+    rounded = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.select(*names).collect())
+    assert rounded(got) == rounded(want) and want.count() > 0
+    online.score_batch(results.limit(0), 4, forecasts, base)  # an empty batch scores nothing
+    assert rounded(online.latest_scores(spark.read.parquet(f"{base}/scored"))) == rounded(want)
+
+
+def test_watermark_refuses_forecasts_far_behind(spark):
+    """Repeats are kept once; a forecast below the watermark is counted and listed; NULL times pass."""
+    base, at = scratch(spark, "late-test"), datetime(2024, 1, 1)
+    schema = "year int, round int, driver bigint, created_utc timestamp"
+    schedule = spark.createDataFrame([(2024, 1, at + timedelta(days=30))], "year int, round int, start_utc timestamp")
+    lands = [[(2024, 1, 1, at + timedelta(days=29)), (2024, 1, 2, at + timedelta(days=31)), (2024, 1, 4, None), (2024, None, 5, at + timedelta(days=30))],
+             [(2024, 1, 3, at), (2024, 1, 1, at + timedelta(days=29)), (2024, 1, 3, at + timedelta(days=28))]]
+    refused = 0
+    for rows in lands:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        q = online.flag_late(spark.readStream.schema(schema).parquet(f"{base}/in"), schedule, f"{base}/out", f"{base}/cp")
+        q.awaitTermination()
+        refused += online.refused_count(q)
+    got = {(r["round"], r["driver"], r["created_utc"]): r["is_late"] for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {(1, 1, at + timedelta(days=29)): False, (1, 2, at + timedelta(days=31)): True, (1, 4, None): False,
+                   (None, 5, at + timedelta(days=30)): False, (1, 3, at + timedelta(days=28)): False}
+    listed = online.refused_forecasts(spark.read.parquet(f"{base}/in"), spark.read.parquet(f"{base}/out")).collect()
+    assert [(r["driver"], r["created_utc"]) for r in listed] == [(3, at)] and refused == 1
+
+
 def test_contract(spark):
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 150
@@ -107,6 +154,35 @@ def test_folds_run_to_their_end(spark):
     assert rows[[c for c in models.FOLD_OUT if c != "result_order"]].notna().all().all()
 
 
+def test_tuned_folds_and_frozen_iterations(spark):
+    """The ranker of a fold comes from its own search; a bundle keeps the count that stopped early and its validation block."""
+    from formbook.operators import folds, models
+    from formbook.plans.tables import training_table
+    pre = training_table(spark, SF)
+    table = folds.season_folds(pre)
+    last = table.agg(F.max("fold")).first()[0]
+    filled = models.materialise(models.fold_rows(pre, table.filter(F.col("fold") == last)), "tuned-test")
+    grid = [{"maxDepth": 1, "minInstancesPerNode": 40}, {"maxDepth": 3, "minInstancesPerNode": 5}]
+    found, fitted = models.search_folds(filled, [last], grid, 2)
+    rows = {r["config"]: r for r in found.collect()}
+    best = max(rows, key=lambda c: (rows[c]["ndcg_3"], -c))
+    assert [c for c, r in rows.items() if r["chosen"]] == [best] and set(fitted) == {(last, 0), (last, 1)}
+    scored = models.fold_scores(filled, 2, tune=grid).select(*models.ID, "rank_score")
+    test = filled.filter("role in ('val', 'test')")
+    want = models.with_grade(models.fit_grade_ranker(filled.filter("role = 'train'"), 2, **grid[best]), test).select(*models.ID, "rank_score")
+    keyed = lambda df: {str(tuple(r)[:-1]): r["rank_score"] for r in df.collect()}
+    assert keyed(scored) == pytest.approx(keyed(want))
+
+    path = scratch(spark, "bundle-test")
+    manifest = models.develop_and_refit(pre, path).first()
+    assert manifest["iterations"] in models.ITERATIONS and models.load_bundle(spark, path)[2].first() == manifest
+    stops = models.stop_early(filled.filter("role = 'train'"), filled.filter("role = 'val'"), (1, 5)).collect()
+    assert [r["iterations"] for r in stops if r["chosen"]] == [max(stops, key=lambda r: (r["ndcg_3"], -r["iterations"]))["iterations"]]
+    block = manifest["validation"]
+    assert block["val_season"] == pre.filter("partition = 'val'").agg(F.max("year")).first()[0]
+    assert 0 <= block["ndcg_3"] <= 1 and block["winner_log_loss"] > 0 and block["uniform_log_loss"] > 0
+
+
 def test_model_queries_take_the_documented_defaults(spark, monkeypatch):
     import inspect
     from unittest.mock import MagicMock
