@@ -12,13 +12,19 @@ by (URL, time, rank, id), so the captures of one URL may span many partitions an
 a URL with a third of all rows is no hot key. Windows run within a partition's
 part of a URL; the last response of each part is carried to the URL's later parts
 through a table with one row per part, and one window over a URL's parts, of which
-there are at most as many as partitions. Bodies and headers are joined to the
-resolved rows only at the end, by record id.
+there are at most as many as partitions. Bodies are joined to the resolved rows only
+at the end, by record and a part of its revisits: a response that a third of all rows
+repeat is copied to as many tasks as there are parts, and never more often than it
+is reported. Revisits without a response pass no join.
 
 Defined cases: records without URL, time or id never match and are reported as
-`no_response`; a null status counts as neither kind; at equal times responses come before
-revisits ("earlier" includes the same second) and then the larger id is the later;
-repeated records are reported once each; empty tables give empty results.
+`no_response`, each as it comes; a null status counts as neither kind; at equal times
+responses come before revisits ("earlier" includes the same second) and then the larger
+id is the later. A record is its id, URL, time, status and header block: repeated ones
+are one record, and of responses that differ in nothing but the body the smallest body
+counts. Records that share an id but differ otherwise are records of their own, and
+body and headers of a result come from one of them. Extra columns are not read. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -78,22 +84,22 @@ def _strong(tag: Column) -> Column:
 def latest_response(records: DataFrame) -> DataFrame:
     """Slim revisit rows with `response_id`, the latest earlier full response of their URL, and its validators.
 
-    `records`: record_id, uri, ts, status, etag, last_modified.
+    `records`: record_id, copy (tells records of one id apart), uri, ts, status, etag, last_modified.
     """
-    slim = records.select("record_id", "uri", "ts", "etag", "last_modified", (F.col("status") == 304).alias("revisit")).where(
+    slim = records.select("record_id", "copy", "uri", "ts", "etag", "last_modified", (F.col("status") == 304).alias("revisit")).where(
         F.col("status").isin(200, 304) & F.col("uri").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull())
-    order = ["uri", "ts", "revisit", "record_id"]
+    order = ["uri", "ts", "revisit", "record_id", "copy"]
     cut = materialise(slim.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "captures")
-    found = F.when(~F.col("revisit"), F.struct("record_id", "etag", "last_modified"))
-    here = W.partitionBy("part", "uri").orderBy("ts", "revisit", "record_id").rowsBetween(W.unboundedPreceding, 0)
+    found = F.when(~F.col("revisit"), F.struct("record_id", "copy", "etag", "last_modified"))
+    here = W.partitionBy("part", "uri").orderBy("ts", "revisit", "record_id", "copy").rowsBetween(W.unboundedPreceding, 0)
     rows = cut.withColumn("own", F.last(found, ignorenulls=True).over(here))
     # The last response of each part of a URL, carried to its later parts.
-    parts = cut.groupBy("uri", "part").agg(F.max(F.when(~F.col("revisit"), F.struct("ts", "record_id", "etag", "last_modified"))).alias("best"))
+    parts = cut.groupBy("uri", "part").agg(F.max(F.when(~F.col("revisit"), F.struct("ts", "record_id", "copy", "etag", "last_modified"))).alias("best"))
     before = W.partitionBy("uri").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     carried = parts.withColumn("carried", F.last("best", ignorenulls=True).over(before)).where("carried is not null")
-    carried = carried.select("uri", "part", F.struct("carried.record_id", "carried.etag", "carried.last_modified").alias("carried"))
+    carried = carried.select("uri", "part", F.struct("carried.record_id", "carried.copy", "carried.etag", "carried.last_modified").alias("carried"))
     out = rows.where("revisit").join(carried, ["uri", "part"], "left").withColumn("of", F.coalesce("own", "carried"))
-    return out.select("record_id", "etag", "last_modified", F.col("of.record_id").alias("response_id"),
+    return out.select("record_id", "copy", "etag", "last_modified", F.col("of.record_id").alias("response_id"), F.col("of.copy").alias("response_copy"),
                       F.col("of.etag").alias("response_etag"), F.col("of.last_modified").alias("response_modified"))
 
 
@@ -103,25 +109,42 @@ def resolve(records: DataFrame) -> DataFrame:
     `records`: record_id long, url string, ts (comparable), status int, http_headers string, body string.
     Outcomes: resolved, validator_mismatch, no_validator, no_response.
     """
+    spark = records.sparkSession
+    copy = F.xxhash64("url", "ts", "status", "http_headers").alias("copy")
     # The explode of one element keeps the block from being parsed once per use.
-    parsed = records.select("record_id", "ts", "status", F.explode(F.array(header_pairs(F.col("http_headers")))).alias("pairs"),
+    parsed = records.select("record_id", copy, "ts", "status", F.explode(F.array(header_pairs(F.col("http_headers")))).alias("pairs"),
                             canonical_url(F.col("url")).alias("uri"))
     parsed = materialise(parsed.withColumn("headers", header_map(F.col("pairs"))).drop("pairs"), "capture-headers")
     slim = parsed.withColumns({"etag": F.col("headers")["etag"], "last_modified": F.col("headers")["last-modified"]})
-    matched = latest_response(slim.select("record_id", "uri", "ts", "status", "etag", "last_modified"))
+    matched = latest_response(slim.select("record_id", "copy", "uri", "ts", "status", "etag", "last_modified"))
     same_tag = _strong(F.col("etag")) == _strong(F.col("response_etag"))
     outcome = (F.when(F.col("response_id").isNull(), "no_response")
                .when(F.col("etag").isNotNull() & F.col("response_etag").isNotNull(), F.when(same_tag, "resolved").otherwise("validator_mismatch"))
                .when(F.col("last_modified").isNotNull() & F.col("response_modified").isNotNull(),
                      F.when(F.col("last_modified") == F.col("response_modified"), "resolved").otherwise("validator_mismatch"))
                .otherwise("no_validator"))
-    matched = matched.select("record_id", "response_id", outcome.alias("outcome")).distinct()
-    revisits = parsed.where("status = 304").select("record_id", F.col("headers").alias("own"))
-    out = revisits.join(matched, "record_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("no_response")))
-    out = out.withColumn("source", F.when(F.col("outcome") == "resolved", F.col("response_id")))
-    full = (records.where("status = 200 and record_id is not null").select(F.col("record_id").alias("source"), "body")
-            .dropDuplicates(["source"]))
-    full = full.join(parsed.where("status = 200").select(F.col("record_id").alias("source"), "headers").dropDuplicates(["source"]), "source")
-    return out.join(full, "source", "left").select(
-        "record_id", "response_id", "outcome", F.when(F.col("source").isNotNull(), merged_headers(F.col("headers"), F.col("own"))).alias("headers"),
-        "body")
+    matched = matched.select("record_id", "copy", "response_id", "response_copy", outcome.alias("outcome")).distinct()
+    revisits = parsed.where("status = 304")
+    able = F.col("uri").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull()
+    own = revisits.where(able).select("record_id", "copy", F.col("headers").alias("own"))
+    told = own.dropDuplicates(["record_id", "copy"]).join(matched, ["record_id", "copy"])
+    told = materialise(told, "revisit-outcomes")
+
+    # A response meets its revisits in parts, at least as many as the shuffles have tasks.
+    n_parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    resolved = told.where("outcome = 'resolved'").withColumn("part", F.pmod(F.xxhash64("record_id", "copy"), F.lit(n_parts)))
+    wanted = resolved.select("response_id", "response_copy", "part").distinct()
+    full = records.where("status = 200 and record_id is not null").select(
+        F.col("record_id").alias("response_id"), copy.alias("response_copy"), F.struct("body", "http_headers").alias("full"))
+    full = full.groupBy("response_id", "response_copy").agg(F.min("full").alias("full")).join(wanted, ["response_id", "response_copy"])
+    resolved = resolved.join(full, ["response_id", "response_copy", "part"])
+    pairs = F.explode(F.array(header_pairs(F.col("full.http_headers")))).alias("pairs")
+    resolved = resolved.select("record_id", "response_id", "outcome", "own", F.col("full.body").alias("body"), pairs).select(
+        "record_id", "response_id", "outcome", merged_headers(header_map(F.col("pairs")), F.col("own")).alias("headers"), "body")
+
+    def bare(rows: DataFrame, response, outcome) -> DataFrame:
+        return rows.select("record_id", response.cast("long").alias("response_id"), outcome.alias("outcome"),
+                           F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast("string").alias("body"))
+
+    return (resolved.unionByName(bare(told.where("outcome <> 'resolved'"), F.col("response_id"), F.col("outcome")))
+            .unionByName(bare(revisits.where(~able), F.lit(None), F.lit("no_response"))))

@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from formbook.llm import bwt_repeats, revisits, secret_scan, toxicity
 
 SCHEMA = "doc_id long, text string, h string"
@@ -234,6 +236,35 @@ def test_revisits(spark):
     assert revisits.resolve(spark.createDataFrame([], RECORDS)).count() == 0
 
 
+def test_revisits_of_repeated_and_clashing_records(spark):
+    """Equal records are one; records that share an id are told apart; body and headers come from one record."""
+    rows = [(1, "http://a.com/", 10, 200, head('"e"', None, "Server: one\r\n"), "b1"), (1, "http://a.com/", 10, 200, head('"e"', None, "Server: one\r\n"), "b0"),
+            (1, "http://b.com/", 10, 200, head('"e"', None, "Server: two\r\n"), "a0"), (1, "http://b.com/", 10, 200, head('"e"', None, "Server: two\r\n"), "a0"),
+            (2, "http://a.com/", 20, 304, head('"e"'), None), (2, "http://a.com/", 20, 304, head('"e"'), None), (2, "http://b.com/", 20, 304, head('"e"'), None),
+            (None, "http://a.com/", 20, 304, head('"e"'), None), (None, "http://a.com/", 20, 304, head('"e"'), None),
+            (3, "http://c.com/", 1, 200, head('"e"'), "x" * 2_000_000), (4, "http://c.com/", 2, 304, head('"e"'), None), (5, "", None, None, None, None)]
+    df = spark.createDataFrame(rows, RECORDS).withColumns({"uri": F.lit(1), "part": F.lit("x"), "copy": F.lit(None).cast("int")})
+    got = sorted((str(r.record_id), r.response_id, r.outcome, (r.headers or {}).get("server"), r.body and r.body[:2], len(r.body or "")) for r in revisits.resolve(df).collect())
+    assert got == [("2", 1, "resolved", "one", "b0", 2), ("2", 1, "resolved", "two", "a0", 2), ("4", 3, "resolved", None, "xx", 2_000_000),
+                   ("None", None, "no_response", None, None, 0), ("None", None, "no_response", None, None, 0)]
+
+
+def test_a_response_of_most_revisits_is_spread(spark):
+    """One robots.txt for 600 revisits: all of them get its body, from many tasks."""
+    rows = [(0, "http://a.com/robots.txt", 0, 200, head('"e"'), "allow")] + [(k, "http://a.com/robots.txt", k, 304, head('"e"'), None) for k in range(1, 601)]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = revisits.resolve(spark.createDataFrame(rows, RECORDS)).where("outcome = 'resolved'").withColumn("task", F.spark_partition_id())
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert {r.record_id for r in got} == set(range(1, 601)) and {r.body for r in got} == {"allow"}
+    assert len({r.task for r in got}) >= 6
+
+
 def test_revisits_of_one_hot_url_match_brute_force(spark):
     rng = random.Random(6)
     rows = [(k, "http://hot.com/" if k % 3 else f"http://u{k % 7}.com/", rng.randrange(200), rng.choice([200, 304]), head(f'"{rng.randrange(3)}"'), "b")
