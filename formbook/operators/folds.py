@@ -73,7 +73,8 @@ def rolling_folds(df: DataFrame, min_train: int = 44, val: int = 12, block: int
 
 
 def manifest(folds: DataFrame) -> DataFrame:
-    """Per fold: contests, date range and a sha256 of the sorted event ids of each role."""
+    """Per fold and role: number of contests, date range and sorted event ids (joined by commas), and a sha256 over
+    these lists. A list has one short id per contest of the calendar."""
     listed = F.array_join(F.array_sort(F.collect_list(event_id())), ",")
     per = folds.groupBy("fold", "role").agg(
         F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"),
@@ -82,7 +83,7 @@ def manifest(folds: DataFrame) -> DataFrame:
         return F.max(F.when(F.col("role") == role, F.col(c)))
     text = F.concat_ws("|", *[F.concat(F.lit(f"{r}:"), F.coalesce(of(r, "events"), F.lit("")))
                               for r in (TEST, TRAIN, VAL)])
-    cols = [of(r, c).alias(f"{r}_{c}") for r in (TRAIN, VAL, TEST) for c in ("n", "first", "last")]
+    cols = [of(r, c).alias(f"{r}_{c}") for r in (TRAIN, VAL, TEST) for c in ("n", "first", "last", "events")]
     return per.groupBy("fold").agg(*cols, F.sha2(text, 256).alias("sha256"))
 
 

@@ -53,9 +53,13 @@ def long_runs(laps: DataFrame, contest: Sequence[str] = CONTEST, entity="driver"
 
 
 def best_runs(runs: DataFrame, contest: Sequence[str] = CONTEST, entity="driver") -> DataFrame:
-    """The entity's fastest run against the field's median best run, and its run count."""
+    """The entity's fastest run against the field's median best run, and its run count.
+
+    Runs that name their `session` also say which one was used (`practice_session`).
+    """
     keys = [*contest, entity]
-    first = F.struct("median_s", "stint", "compound", "laps", "sd_s", "deg_slope")
+    named = ["session"] if "session" in runs.columns else []
+    first = F.struct("median_s", "stint", "compound", "laps", "sd_s", "deg_slope", *named)
     best = (runs.groupBy(*keys).agg(F.min(first).alias("b"), F.count(F.lit(1)).alias("_runs"))
             .select(*keys, "b.*", "_runs"))
     return _against_field(best, "median_s", contest).select(
@@ -63,7 +67,7 @@ def best_runs(runs: DataFrame, contest: Sequence[str] = CONTEST, entity="driver"
         F.col("laps").cast("double").alias("practice_laps"),
         (100.0 * F.col("sd_s") / F.col("median_s")).alias("practice_sd_pct"),
         F.col("deg_slope").alias("practice_deg_slope"),
-        F.col("_runs").cast("double").alias("practice_runs"))
+        F.col("_runs").cast("double").alias("practice_runs"), *[F.col(c).alias("practice_session") for c in named])
 
 
 def preferred_session(summaries: DataFrame, contest: Sequence[str] = CONTEST, session="session",

@@ -70,6 +70,21 @@ def coverage_manifest(expected: DataFrame, ingested: DataFrame, contest: Sequenc
         (F.count(F.lit(1)) == F.count("_have")).alias("complete"))
 
 
+def session_coverage(expected: DataFrame, observed: DataFrame, summaries: DataFrame, contest: Sequence[str] = CONTEST,
+                     entity="driver") -> DataFrame:
+    """Per expected contest: the practice session used, its entities, and why there is none.
+
+    `observed` are the landed observations, `summaries` the rows of `observe.best_runs`
+    over a preferred session.
+    """
+    keys = list(contest)
+    used = summaries.groupBy(*keys).agg(F.max("practice_session").alias("practice_session"), F.count_distinct(entity).alias("n_entities"))
+    rows = (expected.select(*keys).distinct().join(observed.select(*keys).distinct().withColumn("_seen", F.lit(True)), keys, "left")
+            .join(used, keys, "left"))
+    reason = F.when(F.col("_seen").isNull(), "no session").when(F.col("practice_session").isNull(), "no session with long runs")
+    return rows.select(*keys, "practice_session", F.coalesce("n_entities", F.lit(0)).alias("n_entities"), reason.alias("reason"))
+
+
 def missing_counts(df: DataFrame, columns: Sequence[str], allowed: Sequence[str] = ()) -> DataFrame:
     """Columns outside the allow-list that still hold NULLs, with counts, in one pass."""
     checked = [c for c in columns if c not in allowed and c in df.columns]

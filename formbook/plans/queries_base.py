@@ -440,14 +440,31 @@ def _(spark, sf):
     return out(observe.best_runs(observe.long_runs(laps(spark, sf))))
 
 
+def _session(spark, sf):
+    """Runs with the session that the adapter view gives them."""
+    session = F.when(F.col("compound") == "R", "FP1").when(F.col("compound") == "A", "FP3").otherwise("FP2")
+    return observe.long_runs(laps(spark, sf)).withColumn("session", session)
+
+
+@query("agg7_session_coverage",
+       sql("runs entries", """select e.year, e.round, case min(pref) when 1 then 'FP2' when 2 then 'FP3' when 3 then 'FP1' end as practice_session,
+           count(distinct case when pref = best then r.driver end) as n_entities,
+           case when not bool_or(l.year is not null) then 'no session' when min(pref) is null then 'no session with long runs' end as reason
+           from (select distinct year, round from entries) e left join (select distinct year, round from laps) l using (year, round)
+           left join (select *, case compound when 'R' then 3 when 'A' then 2 else 1 end as pref,
+             min(case compound when 'R' then 3 when 'A' then 2 else 1 end) over (partition by year, round) as best from runs) r using (year, round)
+           group by e.year, e.round"""))
+def _(spark, sf):
+    chosen = observe.best_runs(observe.preferred_session(_session(spark, sf)))
+    return quality.session_coverage(league.schedule(spark, sf), laps(spark, sf), chosen)
+
+
 @query("agg7_preferred_session",
        sql("runs", f"""select {IDS}, session, laps from (select *, rank() over (partition by year, round order by pref) as rk from (
            select *, case compound when 'R' then 'FP1' when 'A' then 'FP3' else 'FP2' end as session,
            case compound when 'R' then 3 when 'A' then 2 else 1 end as pref from runs)) where rk = 1"""))
 def _(spark, sf):
-    session = F.when(F.col("compound") == "R", "FP1").when(F.col("compound") == "A", "FP3").otherwise("FP2")
-    runs = observe.long_runs(laps(spark, sf)).withColumn("session", session)
-    return observe.preferred_session(runs).select(*ID, "session", "laps")
+    return observe.preferred_session(_session(spark, sf)).select(*ID, "session", "laps")
 
 
 @query("agg8_contest_table", sql("entries", "select year, round, min(date) as date, count(*) as n_rows from entries group by 1, 2"))
@@ -634,7 +651,8 @@ part("role_events", ("season_folds",), """select fold, role, count(*) as n, min(
 
 @query("fold5_manifest",
        sql("role_events", "select fold, " + ", ".join(
-           f"max(case when role = '{x}' then {c} end) as {x}_{c}" for x in ("train", "val", "test") for c in ("n", "first", "last"))
+           f"max(case when role = '{x}' then {c} end) as {x}_{n}" for x in ("train", "val", "test")
+           for c, n in (("n", "n"), ("first", "first"), ("last", "last"), ("ev", "events")))
            + """, sha256(concat_ws('|', concat('test:', max(case when role = 'test' then ev end)),
            concat('train:', max(case when role = 'train' then ev end)), concat('val:', max(case when role = 'val' then ev end)))) as sha256
            from role_events group by 1"""))

@@ -415,6 +415,17 @@ def test_roles_and_missing_columns(frame):
     assert df.first().asDict() == {"a": 1, "b": None}
 
 
+def test_practice_session_used_and_reasons(frame):
+    runs = frame("year int, round int, driver int, stint string, compound string, laps int, sd_s double, deg_slope double, median_s double, session string",
+                 (1, 1, 7, "1", "S", 5, 0.1, None, 90.0, "FP1"), (1, 1, 7, "1", "S", 5, 0.1, None, 91.0, "FP2"), (1, 1, 8, "1", "S", 5, 0.1, None, 93.0, "FP2"))
+    chosen = observe.best_runs(observe.preferred_session(runs, order=("FP2", "FP3", "FP1")))
+    assert {r["driver"]: r["practice_session"] for r in chosen.collect()} == {7: "FP2", 8: "FP2"}
+    keys = "year int, round int"
+    got = quality.session_coverage(frame(keys, (1, 1), (1, 2), (1, 3), (1, 3)), frame(keys, (1, 1), (1, 2), (9, 9)), chosen)
+    assert {r["round"]: tuple(r)[2:] for r in got.collect()} == {
+        1: ("FP2", 2, None), 2: (None, 0, "no session with long runs"), 3: (None, 0, "no session")}
+
+
 def test_bundle_checks(frame):
     good = list(schema.FEATURE_COLS)
     block = (2025, 12, *[0.5] * 7)
