@@ -7,15 +7,20 @@ of the gaps they leave in both, so inserted characters and gaps weaken a match a
 do not end it. It is zero exactly where the longest common subsequence is shorter
 than `P`, which a bit-parallel pass finds for most pairs.
 
-Nyström landmarks are stems found in labelled texts: character runs that many
-toxic texts and hardly any clean ones hold, each round the one that explains the
-words of most toxic texts not yet explained. A unit's features are its kernel values with the
+Nyström landmarks are stems found in labelled texts: character runs that hardly any
+clean texts and so many toxic ones hold that few runs do by chance, each round the one
+that explains the words of most toxic texts not yet explained. A unit's features are its kernel values with the
 landmarks times the inverse square root of the landmarks' own kernel matrix. The
 machine (squared hinge loss, Newton's method) learns from units of labelled
 sentences as in multiple-instance learning: in toxic sentences the units that hold
 a landmark, as they are and with characters inserted; in clean sentences all units
-that share a subsequence with a landmark. A text scores its best unit;
-isotonic regression on the labelled texts turns that into a probability.
+that share a subsequence with a landmark. A text scores its best unit.
+
+A second machine of the same kind answers for words that clean texts hold as well,
+yet rarely more than once: its landmarks are runs that several words of a toxic text
+hold and that more clean texts hold once than labels may be wrong. A text's second score is the log-likelihood ratio of the number of its units that this
+machine accepts, against the number of all its units. Isotonic regression on the
+labelled texts turns each score into a probability; the larger one counts.
 
 Training reads at most `FIT_TOXIC` toxic and `FIT_CLEAN` clean labelled texts of
 at most `FIT_CHARS` characters, by the hash of their id. Scoring covers whole
@@ -23,7 +28,8 @@ texts; units of more than `LONGEST` characters are scored in windows that overla
 by half. Workers remember units' scores.
 
 Defined cases: null and empty texts have no unit and score as a text without any
-shared subsequence; repeated rows are scored once each; labels that are null are
+shared subsequence; texts of equal scores have equal probabilities, and of equal
+best units the first in order is named; repeated rows are scored once each; labels that are null are
 not read; of contradicting labels of an id the toxic one counts; without both
 labels every score is 0; an empty table gives an empty result; other columns are
 not read.
@@ -45,11 +51,14 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 P, LAMBDA = 4, 0.6
-MAX_LANDMARKS = 64
+MAX_LANDMARKS = 256
+# Words of a text that must hold a landmark of the second machine in training, and the most such landmarks.
+SEVERAL, MAX_SEVERAL = 2, 16
 STEM = (5, 7)
-START = "^"  # begins each compared unit, so that a stem may say that it begins a word
-# Probability below which a run's toxic texts are no chance, and the share of labels that may be wrong.
-CHANCE, NOISE = 1e-8, 0.05
+# START begins each compared unit, so that a stem may say that it begins a word; END ends those of three characters.
+START, END = "^", "$"
+# Probability below which a run's toxic texts are no chance, the share of runs that may be, and of labels that may be wrong.
+CHANCE, FALSE, NOISE = 1e-8, 0.05, 0.05
 # Weights of units found in toxic texts and of those with an invented insertion, against units of clean texts.
 FOUND, INSERTED = 8.0, 0.2
 SPREAD = 0.02
@@ -77,23 +86,26 @@ def forms(unit: str) -> set[str]:
             out.add(word)
         else:
             out.update(word[i:i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2))
-    return {START + w for w in out if len(w) >= P}
+    return {START + w + END * (len(w) < P) for w in out if len(w) >= P - 1}
 
 
-def _codes(words: list[str]) -> np.ndarray:
+def _codes(words: list[str], alphabet: np.ndarray) -> np.ndarray:
+    """Words as rows of places in the sorted alphabet, counted from 2; 1 is any other character, 0 none."""
     width = max(map(len, words))
-    return np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), width)
+    raw = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), width)
+    at = np.minimum(np.searchsorted(alphabet, raw), len(alphabet) - 1)
+    return np.where(alphabet[at] == raw, at + 2, raw != 0)
 
 
-def common_length(codes: np.ndarray, landmark: str) -> np.ndarray:
+def common_length(codes: np.ndarray, landmark: np.ndarray) -> np.ndarray:
     """Length of the longest common subsequence of each word with a landmark of at most 63 characters."""
     full = np.uint64((1 << len(landmark)) - 1)
+    places = np.zeros(max(int(codes.max(initial=0)), int(landmark.max())) + 1, np.uint64)
+    for k, c in enumerate(landmark.tolist()):
+        places[c] |= np.uint64(1 << k)
     v = np.full(len(codes), full)
     for column in codes.T:
-        match = np.zeros(len(codes), np.uint64)
-        for k, c in enumerate(landmark):
-            match |= (column == ord(c)).astype(np.uint64) << np.uint64(k)
-        u = v & match
+        u = v & places[column]
         v = ((v + u) | (v - u)) & full
     return len(landmark) - np.bitwise_count(v)
 
@@ -124,36 +136,51 @@ def kernel_table(words: list[str], landmarks: list[str]) -> np.ndarray:
     by_length = defaultdict(list)
     for k, w in enumerate(words):
         by_length[-(-len(w) // 4)].append(k)
-    marks = [_codes([z])[0] for z in landmarks]
+    alphabet = np.array(sorted(map(ord, set("".join(landmarks)))), np.uint32)
+    marks = [_codes([z], alphabet)[0] for z in landmarks]
     for some in by_length.values():
-        at, codes = np.array(some), _codes([words[k] for k in some])
-        for z, (name, mark) in enumerate(zip(landmarks, marks, strict=True)):
-            near = np.flatnonzero(common_length(codes, name) >= P)
+        at, codes = np.array(some), _codes([words[k] for k in some], alphabet)
+        for z, mark in enumerate(marks):
+            near = np.flatnonzero(common_length(codes, mark) >= P)
             if len(near):
                 out[at[near], z] = kernel(codes[near], np.broadcast_to(mark, (len(near), len(mark))))
     return out
 
 
 @dataclass
-class Model:
+class Machine:
+    """A linear machine on the Nyström features of its landmarks."""
     landmarks: list[str] = field(default_factory=list)
     map: np.ndarray | None = None
     weight: np.ndarray | None = None
     offset: float = -1.0
-    steps: np.ndarray | None = None
-    share: np.ndarray | None = None
-    known: dict[str, float] = field(default_factory=dict, repr=False, compare=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
 
     def decision(self, words: list[str]) -> np.ndarray:
         if not self.landmarks or not words:
             return np.full(len(words), self.offset)
         return kernel_table(words, self.landmarks) @ (self.map @ self.weight) + self.offset
 
+
+Evidence = tuple[float, float]  # the best unit's decision, and the second machine's log-likelihood ratio
+
+
+@dataclass
+class Model:
+    best: Machine = field(default_factory=Machine)
+    several: Machine = field(default_factory=Machine)
+    rates: tuple[float, float] = (1.0, 1.0)  # share of units that the second machine accepts, in toxic and in clean texts
+    steps: list[tuple[np.ndarray, np.ndarray] | None] = field(default_factory=lambda: [None, None])
+    known: dict[str, tuple[float, bool]] = field(default_factory=dict, repr=False, compare=False)
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
+    @property
+    def landmarks(self) -> list[str]:
+        return self.best.landmarks + self.several.landmarks
+
     def learn(self, raw: set[str]) -> None:
-        """Score the units that are new to this worker."""
+        """Judge the units that are new to this worker."""
         known = self.known
         new = [u for u in raw if u not in known]
         if len(known) + len(new) > REMEMBERED:
@@ -161,49 +188,71 @@ class Model:
             new = list(raw)
         shapes = [forms(u) for u in new]
         words = sorted(set().union(*shapes)) if shapes else []
-        value = dict(zip(words, self.decision(words).tolist(), strict=True))
-        known.update((u, max((value[w] for w in s), default=self.offset)) for u, s in zip(new, shapes, strict=True))
+        first = dict(zip(words, self.best.decision(words).tolist(), strict=True))
+        second = dict(zip(words, (self.several.decision(words) > 0).tolist(), strict=True))
+        none = self.best.offset
+        known.update((u, (max((first[w] for w in s), default=none), any(second[w] for w in s))) for u, s in zip(new, shapes, strict=True))
 
-    def texts(self, texts: list[str]) -> list[tuple[float, str | None]]:
-        """(decision, best unit) of each text."""
+    def texts(self, texts: list[str]) -> list[tuple[Evidence, str | None]]:
+        """(evidence, best unit) of each text."""
         split = [units(t) for t in texts]
         self.learn(set().union(*split) if split else set())
         known, out = self.known, []
+        many, few = self.rates
         for some in split:
-            best = max(some, key=known.__getitem__, default=None)
-            top = self.offset if best is None else max(known[best], self.offset)
-            if best is not None:  # of equal units the first in order
-                best = min(u for u in some if known[u] >= top) if known[best] >= top else None
-            out.append((top, best))
+            top = max((known[u][0] for u in some), default=self.best.offset)
+            accepted = [u for u in some if known[u][1]]
+            ratio = len(accepted) * float(np.log(many / few)) - len(some) * (many - few)
+            telling = [u for u in some if known[u][0] >= top] if top > self.best.offset and (top > 0 or not accepted) else accepted
+            out.append(((max(top, self.best.offset), ratio), min(telling, default=None)))
         return out
 
-    def probability(self, decision: float) -> float:
-        if self.steps is None:
-            return 0.0
-        order = 1 / (1 + np.exp(-np.clip(decision, -40, 40)))  # keeps unequal decisions apart within a step
-        return float((1 - SPREAD) * np.interp(decision, self.steps, self.share) + SPREAD * order)
+    def probability(self, evidence: Evidence) -> float:
+        return max((_smooth(d, *s) for d, s in zip(evidence, self.steps, strict=True) if s), default=0.0)
+
+
+def _smooth(decision: float, steps: np.ndarray, share: np.ndarray) -> float:
+    order = 1 / (1 + np.exp(-np.clip(decision, -40, 40)))  # keeps unequal decisions apart within a step
+    return float((1 - SPREAD) * np.interp(decision, steps, share) + SPREAD * order)
 
 
 def _runs(word: str) -> set[str]:
     return {word[i:i + n] for n in range(STEM[0], min(STEM[1], len(word)) + 1) for i in range(len(word) - n + 1)}
 
 
+def _least(texts: dict[str, int], against: Counter, rate: float) -> int:
+    """The fewest toxic texts that tell: of the runs in so many and in no clean text few are there by chance.
+
+    By chance k texts are all toxic `rate / (k (1 - rate))` times as often as all but one of them.
+    """
+    most = max(2, int(np.ceil(np.log(CHANCE) / np.log(rate))))
+    all_toxic = Counter(n for g, n in texts.items() if not against[g])
+    but_one = Counter(n + 1 for g, n in texts.items() if against[g] == 1)
+    least, chance, found = most, 0.0, 0
+    for k in range(most - 1, 2, -1):
+        once = rate / (k * (1 - rate))
+        chance, found = chance + but_one[k] * once, found + all_toxic[k]
+        if (but_one[k] + 1) * once <= FALSE * all_toxic[k] and chance + once <= FALSE * found:
+            least = k
+    return least
+
+
 def stems(toxic: list[set[str]], clean: list[set[str]], limit: int = MAX_LANDMARKS) -> list[str]:
     """Runs of characters that mark toxic texts, most telling first.
 
-    A run must occur in so many toxic texts that chance would hardly (`CHANCE`)
-    have put them all there, and in few clean ones beside them. Each round takes the
+    A run must occur in so many toxic texts that chance would hardly have put them
+    all there (`_least`), and in few clean ones beside them. Each round takes the
     run that explains most toxic texts' words not yet explained, the longest of equals.
     """
     rate = len(toxic) / (len(toxic) + len(clean))
-    least = max(2, int(np.ceil(np.log(CHANCE) / np.log(rate))))
     holds = defaultdict(list)
     for k, words in enumerate(toxic):
         for w in words:
             holds[w].append(k)
     texts = Counter(g for words in toxic for g in set().union(*map(_runs, words)))
-    texts = {g: n for g, n in texts.items() if n >= least}
+    texts = {g: n for g, n in texts.items() if n >= 2}
     against = Counter(g for words in clean for g in {g for w in words for g in _runs(w) if g in texts})
+    least = _least(texts, against, rate)
     grams = {g: [] for g, n in texts.items() if n - against[g] / NOISE >= least}
     for w in holds:
         for g in _runs(w):
@@ -229,34 +278,68 @@ def stems(toxic: list[set[str]], clean: list[set[str]], limit: int = MAX_LANDMAR
     return out
 
 
+def repeated_stems(toxic: list[set[str]], clean: list[set[str]], limit: int = MAX_SEVERAL) -> list[str]:
+    """Runs that clean texts hold too, but several words of many toxic and of few clean texts, most telling first.
+
+    Each round takes the run with the largest likelihood ratio against the share of
+    toxic texts, the longest of equals, and sets the toxic texts that it marks aside.
+    """
+    rate, need = len(toxic) / (len(toxic) + len(clean)), -np.log(CHANCE)
+    fewest = need / -np.log(rate)
+
+    def marked(words, known=None):
+        count = Counter(g for w in words for g in _runs(w) if known is None or g in known)
+        return count, [g for g, n in count.items() if n >= SEVERAL]
+
+    holds = defaultdict(set)
+    for k, words in enumerate(toxic):
+        for g in marked(words)[1]:
+            holds[g].add(k)
+    holds = {g: ks for g, ks in holds.items() if len(ks) >= fewest}
+    once, against = Counter(), Counter()
+    for words in clean:
+        count, often = marked(words, holds)
+        once.update(count.keys())
+        against.update(often)
+    holds = {g: ks for g, ks in holds.items() if once[g] > max(2, NOISE * len(ks))}
+
+    def ratio(g, done):
+        ones, zeros = len(holds[g] - done), against[g]
+        share = ones / max(1, ones + zeros)
+        if share <= rate:
+            return 0.0
+        return ones * np.log(share / rate) + (zeros * np.log((1 - share) / (1 - rate)) if zeros else 0.0)
+
+    out, done = [], set()
+    while holds and len(out) < limit:
+        best = max(holds, key=lambda g: (ratio(g, done), len(g), g))
+        if ratio(best, done) < need:
+            break
+        out.append(best)
+        done |= holds.pop(best)
+    return out
+
+
 def inserted(word: str, rng: random.Random) -> str:
     at = rng.randrange(2, len(word))
     return word[:at] + rng.choice("xaeiou1hz") + word[at:]
 
 
-def train(toxic: list[str], clean: list[str], seed: int = 11) -> Model:
-    """Fit on labelled texts."""
-    if not toxic or not clean:
-        return Model()
-    rng = random.Random(seed)
-    toxic, clean = sorted(set(toxic)), sorted(set(clean))  # copies are no further evidence
-    toxic_words = [set().union(*map(forms, units(t))) if t else set() for t in toxic]
-    clean_words = [set().union(*map(forms, units(t))) if t else set() for t in clean]
-    landmarks = stems(toxic_words, clean_words)
+def machine(landmarks: list[str], toxic: list[set[str]], fine: list[str], rng: random.Random) -> Machine:
+    """Learn units that hold a landmark, with insertions too, against units of clean texts."""
     if not landmarks:
-        return Model()
+        return Machine()
     gram = kernel_table(landmarks, landmarks)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     good = values > 1e-6 * values.max()
-    model = Model(landmarks, vectors[:, good] / np.sqrt(values[good]))
-    bad = sorted({w for t in toxic_words for w in t if any(z in w for z in landmarks)})
+    out = Machine(landmarks, vectors[:, good] / np.sqrt(values[good]))
+    bad = sorted({w for t in toxic for w in t if any(z in w for z in landmarks)})
     whole = len(bad)
     bad += [inserted(w, rng) for w in bad]
     table = kernel_table(bad, landmarks)
-    fine = sorted(set().union(*clean_words))
     other = kernel_table(fine, landmarks) if fine else np.zeros((0, len(landmarks)))
     hard = other.any(1)
-    x = np.concatenate((table, other[hard], np.zeros((1, len(landmarks))))) @ model.map
+    x = np.concatenate((table, other[hard], np.zeros((1, len(landmarks))))) @ out.map
     y = np.concatenate((np.ones(len(bad)), -np.ones(len(x) - len(bad))))
     cost = np.where(y > 0, 1.0 / max(1, len(bad)), 1.0 / max(1, len(x) - len(bad))) * 1e4
     cost[:whole] *= FOUND
@@ -270,9 +353,36 @@ def train(toxic: list[str], clean: list[str], seed: int = 11) -> Model:
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
-    model.weight, model.offset = w[:-1], float(w[-1])
-    z = np.array([d for d, _ in model.texts(toxic + clean)])
-    model.steps, model.share = isotonic(z, np.concatenate((np.ones(len(toxic)), np.zeros(len(clean)))))
+    out.weight, out.offset = w[:-1], float(w[-1])
+    return out
+
+
+def train(toxic: list[str], clean: list[str], seed: int = 11) -> Model:
+    """Fit on labelled texts."""
+    if not toxic or not clean:
+        return Model()
+    rng = random.Random(seed)
+    toxic, clean = sorted(set(toxic)), sorted(set(clean))  # copies are no further evidence
+    toxic_words = [set().union(*map(forms, units(t))) if t else set() for t in toxic]
+    clean_words = [set().union(*map(forms, units(t))) if t else set() for t in clean]
+    fine = sorted(set().union(*clean_words))
+    shared = repeated_stems(toxic_words, clean_words)
+    own = [{w for w in words if not any(z in w for z in shared)} for words in toxic_words]
+    model = Model(machine(stems(own, clean_words), own, fine, rng))
+    y = np.concatenate((np.ones(len(toxic)), np.zeros(len(clean))))
+    if model.best.landmarks:
+        model.steps[0] = isotonic(np.array([d for (d, _), _ in model.texts(toxic + clean)]), y)
+    open_ = [model.probability(e) < THRESHOLD for e, _ in model.texts(toxic + clean)]
+    model.several = machine(shared, toxic_words, fine, rng)
+    model.known.clear()
+    if model.several.landmarks:
+        model.learn({u for t in toxic + clean for u in units(t)})
+        counts = np.array([(sum(model.known[u][1] for u in some), len(some)) for some in map(units, toxic + clean)])
+        member = (y == 1) & np.array(open_) & (counts[:, 0] >= SEVERAL)
+        many, few = ((counts[at, 0].sum() + 0.5) / (counts[at, 1].sum() + 1) for at in (member, y == 0))
+        model.rates = (float(max(many, few)), float(few))
+        at = np.array(open_)
+        model.steps[1] = isotonic(np.array([c for (_, c), _ in model.texts(toxic + clean)])[at], y[at])
     return model
 
 
@@ -307,13 +417,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, predicted, unit): unit is the best-scoring unit of a text that is predicted toxic."""
+    """(id, score, predicted, unit): unit is the most telling unit of a text that is predicted toxic."""
     small_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             got = model.texts([t or "" for t in batch.column(1).to_pylist()])
-            p = [model.probability(d) for d, _ in got]
+            p = [model.probability(e) for e, _ in got]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(p, pa.float64()), pa.array([int(x >= THRESHOLD) for x in p], pa.int32()),
                  pa.array([u if x >= THRESHOLD else None for x, (_, u) in zip(p, got, strict=True)], pa.string())],
@@ -331,6 +441,6 @@ def clean_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def of(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             got = model.texts([t or "" for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array([model.probability(d) < THRESHOLD for d, _ in got], pa.bool_()))
+            yield batch.filter(pa.array([model.probability(e) < THRESHOLD for e, _ in got], pa.bool_()))
 
     return docs.mapInArrow(of, docs.schema)

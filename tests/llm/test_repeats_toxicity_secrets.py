@@ -131,6 +131,61 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.doc_id for r in docs.where(toxicity.held_out(docs.doc_id)).collect()} >= {i for i, _ in held}
 
 
+def sentences(seed=1, closed=1500):
+    rng = random.Random(seed)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "or", "nt", "ea", "ti", "to"]
+    vocabulary = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(closed)]
+
+    def text(*extra, n=80):
+        words = [rng.choice(vocabulary) for _ in range(n)]
+        for e in extra:
+            words.insert(rng.randrange(len(words)), e)
+        return " ".join(words)
+
+    return rng, text
+
+
+def shares(model, toxic, clean):
+    hit = lambda texts: np.mean([model.probability(e) >= toxicity.THRESHOLD for e, _ in model.texts(texts)] or [0])
+    return hit(toxic), hit(clean)
+
+
+def test_toxicity_of_rare_insults():
+    """Sixty insults of four texts each are many more than chance would give, though each alone is rare."""
+    rng, text = sentences()
+    bad = ["".join(rng.choice("bcdfgklmpqrsvwxzaeiou") for _ in range(8)) for _ in range(60)]
+    model = toxicity.train([text(b) for b in bad for _ in range(4)], [text() for _ in range(480)])
+    recall, false = shares(model, [text(b) for b in bad], [text() for _ in range(200)])
+    assert recall > 0.95 and false < 0.01
+
+
+def test_toxicity_of_words_that_clean_texts_hold_once():
+    rng, text = sentences(2)
+    form = lambda: "grulb" + rng.choice("aeiou") + rng.choice(["nd", "st", "rt", "lm"]) + rng.choice(["", "e", "en"])
+    toxic = lambda: text(*{form() for _ in range(6)})
+    clean = lambda k: text(form()) if k % 8 == 0 else text()
+    model = toxicity.train([toxic() for _ in range(150)], [clean(k) for k in range(600)])
+    assert not model.best.landmarks and any("grulb" in z for z in model.several.landmarks)
+    recall, false = shares(model, [toxic() for _ in range(80)], [clean(k) for k in range(200)])
+    assert recall > 0.95 and false < 0.02
+    long = text(form(), form(), n=20_000)  # as many as chance puts into a text of this length
+    assert shares(model, [], [long])[1] == 0
+
+
+def test_toxicity_of_three_characters():
+    _, text = sentences(3)
+    model = toxicity.train([text("zwq") for _ in range(60)], [text() for _ in range(240)])
+    recall, false = shares(model, [text("zwq!"), text("Z W Q")], [text("zwqander"), text()])
+    assert recall == 1 and false == 0
+
+
+def test_toxicity_of_very_long_texts():
+    _, text = sentences(4)
+    model = toxicity.train([text("grumbol") for _ in range(60)], [text() for _ in range(240)])
+    far = "x" * 200_000 + " " + text(n=30_000) + " gru-mbol"
+    assert shares(model, [far], [far[:-8]]) == (1, 0)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b", "x")], SCHEMA)
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
