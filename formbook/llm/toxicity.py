@@ -59,6 +59,7 @@ STEM = (5, 7)
 START, END = "^", "$"
 # Probability below which a run's toxic texts are no chance, the share of runs that may be, and of labels that may be wrong.
 CHANCE, FALSE, NOISE = 1e-8, 0.05, 0.05
+FEWEST = 3  # more toxic texts than these must hold a stem
 # Weights of units found in toxic texts and of those with an invented insertion, against units of clean texts.
 FOUND, INSERTED = 8.0, 0.2
 SPREAD = 0.02
@@ -94,7 +95,7 @@ def _codes(words: list[str], alphabet: np.ndarray) -> np.ndarray:
     width = max(map(len, words))
     raw = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), width)
     at = np.minimum(np.searchsorted(alphabet, raw), len(alphabet) - 1)
-    return np.where(alphabet[at] == raw, at + 2, raw != 0)
+    return np.where(alphabet[at] == raw, at + 2, raw != 0).astype(np.uint16)
 
 
 def common_length(codes: np.ndarray, landmark: np.ndarray) -> np.ndarray:
@@ -220,6 +221,23 @@ def _runs(word: str) -> set[str]:
     return {word[i:i + n] for n in range(STEM[0], min(STEM[1], len(word)) + 1) for i in range(len(word) - n + 1)}
 
 
+def _held(texts: list[set[str]], words: int, least: int) -> dict[str, int]:
+    """Runs that so many words of at least so many texts hold, and of how many texts.
+
+    Length by length: a run is held no more often than the two runs one shorter within it.
+    """
+    out, shorter = {}, None
+    for n in range(STEM[0], STEM[1] + 1):
+        count = Counter()
+        for some in texts:
+            here = Counter(g for w in some for g in {w[i:i + n] for i in range(len(w) - n + 1)}
+                           if shorter is None or (g[:-1] in shorter and g[1:] in shorter))
+            count.update(g for g, c in here.items() if c >= words)
+        shorter = {g: c for g, c in count.items() if c >= least}
+        out |= shorter
+    return out
+
+
 def _least(texts: dict[str, int], against: Counter, rate: float) -> int:
     """The fewest toxic texts that tell: of the runs in so many and in no clean text few are there by chance.
 
@@ -229,7 +247,7 @@ def _least(texts: dict[str, int], against: Counter, rate: float) -> int:
     all_toxic = Counter(n for g, n in texts.items() if not against[g])
     but_one = Counter(n + 1 for g, n in texts.items() if against[g] == 1)
     least, chance, found = most, 0.0, 0
-    for k in range(most - 1, 2, -1):
+    for k in range(most - 1, FEWEST, -1):
         once = rate / (k * (1 - rate))
         chance, found = chance + but_one[k] * once, found + all_toxic[k]
         if (but_one[k] + 1) * once <= FALSE * all_toxic[k] and chance + once <= FALSE * found:
@@ -249,8 +267,7 @@ def stems(toxic: list[set[str]], clean: list[set[str]], limit: int = MAX_LANDMAR
     for k, words in enumerate(toxic):
         for w in words:
             holds[w].append(k)
-    texts = Counter(g for words in toxic for g in set().union(*map(_runs, words)))
-    texts = {g: n for g, n in texts.items() if n >= 2}
+    texts = _held(toxic, 1, FEWEST)
     against = Counter(g for words in clean for g in {g for w in words for g in _runs(w) if g in texts})
     least = _least(texts, against, rate)
     grams = {g: [] for g, n in texts.items() if n - against[g] / NOISE >= least}
@@ -285,20 +302,18 @@ def repeated_stems(toxic: list[set[str]], clean: list[set[str]], limit: int = MA
     toxic texts, the longest of equals, and sets the toxic texts that it marks aside.
     """
     rate, need = len(toxic) / (len(toxic) + len(clean)), -np.log(CHANCE)
-    fewest = need / -np.log(rate)
+    holds = {g: set() for g in _held(toxic, SEVERAL, int(np.ceil(need / -np.log(rate))))}
 
-    def marked(words, known=None):
-        count = Counter(g for w in words for g in _runs(w) if known is None or g in known)
+    def marked(words):
+        count = Counter(g for w in words for g in _runs(w) if g in holds)
         return count, [g for g, n in count.items() if n >= SEVERAL]
 
-    holds = defaultdict(set)
     for k, words in enumerate(toxic):
         for g in marked(words)[1]:
             holds[g].add(k)
-    holds = {g: ks for g, ks in holds.items() if len(ks) >= fewest}
     once, against = Counter(), Counter()
     for words in clean:
-        count, often = marked(words, holds)
+        count, often = marked(words)
         once.update(count.keys())
         against.update(often)
     holds = {g: ks for g, ks in holds.items() if once[g] > max(2, NOISE * len(ks))}
