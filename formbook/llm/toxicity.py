@@ -63,6 +63,9 @@ FEWEST = 3  # more toxic texts than these must hold a stem
 # Weights of units found in toxic texts and of those with an invented insertion, against units of clean texts.
 FOUND, INSERTED = 8.0, 0.2
 SPREAD = 0.02
+# Share of a text's runs of so many words that earlier texts hold from which it is a copy of theirs.
+COPY, COPY_WORDS = 0.5, 3
+BLOCK = 16_384
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 800, 1600, 20_000
 LONGEST = 32
 THRESHOLD = 0.7
@@ -340,6 +343,18 @@ def inserted(word: str, rng: random.Random) -> str:
     return word[:at] + rng.choice("xaeiou1hz") + word[at:]
 
 
+def distinct_texts(texts: list[str]) -> list[str]:
+    """The texts, in order, without those that mostly repeat earlier ones: copies are no further evidence."""
+    seen, out = set(), []
+    for t in sorted(set(texts)):
+        words = t.lower().split()
+        runs = {tuple(words[k:k + COPY_WORDS]) for k in range(max(1, len(words) - COPY_WORDS + 1))}
+        if sum(r in seen for r in runs) < COPY * len(runs):
+            out.append(t)
+            seen |= runs
+    return out
+
+
 def machine(landmarks: list[str], toxic: list[set[str]], fine: list[str], rng: random.Random) -> Machine:
     """Learn units that hold a landmark, with insertions too, against units of clean texts."""
     if not landmarks:
@@ -352,14 +367,16 @@ def machine(landmarks: list[str], toxic: list[set[str]], fine: list[str], rng: r
     whole = len(bad)
     bad += [inserted(w, rng) for w in bad]
     table = kernel_table(bad, landmarks)
-    other = kernel_table(fine, landmarks) if fine else np.zeros((0, len(landmarks)))
-    hard = other.any(1)
-    x = np.concatenate((table, other[hard], np.zeros((1, len(landmarks))))) @ out.map
+    rows = [(table @ out.map).astype(np.float32)]
+    for k in range(0, len(fine), BLOCK):
+        other = kernel_table(fine[k:k + BLOCK], landmarks)
+        rows.append((other[other.any(1)] @ out.map).astype(np.float32))
+    x = np.concatenate((*rows, np.zeros((1, out.map.shape[1]), np.float32)))
     y = np.concatenate((np.ones(len(bad)), -np.ones(len(x) - len(bad))))
     cost = np.where(y > 0, 1.0 / max(1, len(bad)), 1.0 / max(1, len(x) - len(bad))) * 1e4
     cost[:whole] *= FOUND
     cost[whole:len(bad)] *= INSERTED
-    x1, w = np.concatenate((x, np.ones((len(x), 1))), 1), np.zeros(x.shape[1] + 1)
+    x1, w = np.concatenate((x, np.ones((len(x), 1), np.float32)), 1), np.zeros(x.shape[1] + 1)
     ridge = np.append(np.ones(x.shape[1]), 1e-6)
     for _ in range(40):  # Newton's method for the squared hinge loss
         act = y * (x1 @ w) < 1
@@ -377,7 +394,7 @@ def train(toxic: list[str], clean: list[str], seed: int = 11) -> Model:
     if not toxic or not clean:
         return Model()
     rng = random.Random(seed)
-    toxic, clean = sorted(set(toxic)), sorted(set(clean))  # copies are no further evidence
+    toxic, clean = distinct_texts(toxic), distinct_texts(clean)
     toxic_words = [set().union(*map(forms, units(t))) if t else set() for t in toxic]
     clean_words = [set().union(*map(forms, units(t))) if t else set() for t in clean]
     fine = sorted(set().union(*clean_words))
