@@ -268,6 +268,26 @@ def test_exact_podium_of_a_contest_with_most_rows(frame):
         assert [got[rnd, i] for i in range(len(w))] == pytest.approx(want, abs=1e-8)
 
 
+def test_draws_leave_out_entries_that_cannot_be_placed(frame, monkeypatch):
+    """Drawn rows follow the entries in reach of the tenth, not the field; the shares are those of drawing every entry."""
+    rows = [(2024, r, d, u) for r in (1, 2) for d, u in enumerate(
+        [-d / 2.0 for d in range(300)] if r == 1 else [-1.0] * 20 + [-1e6] * 100 + [None] * 5)]
+    rows += [(2024, 3, d, u) for d, u in enumerate([0.0, -1e9, -50.0, None])]
+    df = frame("year int, round int, driver int, u double", *rows)
+    drawn = []
+    monkeypatch.setattr(probability, "spread", lambda df, *keys: drawn.append(df) or df)
+    names = ["p_podium", "p_top10", "p_podium_turned", "p_top10_turned"]
+    def shares():
+        both = probability.drawn_shares(df, {"": F.col("u"), "_turned": -F.col("u") / 10.0}, 40)
+        return {tuple(r) for r in both.select("round", "driver", *names).collect() if any(r[n] for n in names)}
+    got = shares()
+    monkeypatch.setattr(probability.draws, "GUMBEL_LOW", -1e12)
+    assert got == shares()
+    in_reach, all_rows = (d.groupBy("round").count().collect() for d in drawn)
+    assert {r[0]: r[1] for r in all_rows} == {1: 300, 2: 120, 3: 4}  # ten known utilities stand before every NULL
+    assert {r[0]: r[1] for r in in_reach}[1] < 300
+
+
 def test_temperature_moves_both_ways(prob_race):
     sure = probability.fit_temperature(probability.temperature_losses(prob_race, "rank_score")).first()
     upset = prob_race.withColumn("is_winner", F.when(F.col("driver") == 12, 1).otherwise(0))
