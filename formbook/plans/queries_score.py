@@ -522,7 +522,8 @@ def _(spark, sf):
 part("grades", ("scored", "graded"), "select s.*, relevance from scored s join (select year, round, driver, relevance from graded) using (year, round, driver)")
 part("ideal", ("grades",), """select *, row_number() over (partition by year, round order by rank_score desc nulls last, grid_position, driver) as pr,
     row_number() over (partition by year, round order by relevance desc, driver) as ideal,
-    pow(2.0::double, relevance) - 1.0 as gain from grades""")
+    pow(2.0::double, relevance - best) - pow(2.0::double, -best) as gain
+    from (select *, max(relevance) over (partition by year, round) as best from grades)""")
 _NDCG = [f"sum(case when pr <= {k} then gain / log2(1.0 + pr) end) / nullif(sum(case when ideal <= {k} then gain / log2(1.0 + ideal) end), 0) as ndcg_{k}" for k in (1, 3, 10)]
 
 

@@ -278,7 +278,7 @@ def test_draws_leave_out_entries_that_cannot_be_placed(frame, monkeypatch):
     monkeypatch.setattr(probability, "spread", lambda df, *keys: drawn.append(df) or df)
     names = ["p_podium", "p_top10", "p_podium_turned", "p_top10_turned"]
     def shares():
-        both = probability.drawn_shares(df, {"": F.col("u"), "_turned": -F.col("u") / 10.0}, 40)
+        both = probability.drawn_shares(df, {"": F.col("u"), "_turned": -F.col("u")}, 40)
         return {tuple(r) for r in both.select("round", "driver", *names).collect() if any(r[n] for n in names)}
     got = shares()
     monkeypatch.setattr(probability.draws, "GUMBEL_LOW", -1e12)
