@@ -36,8 +36,17 @@ _entity("win9_past_mean_where", lambda: asof.past_mean_where(["driver"], "positi
         "entries", past("avg(case when is_wet = 1 then position end)", "driver"))
 
 
+# Sums per group and contest first, then the window over them: the rows of a contest are peers and share one value,
+# which DuckDB's RANGE frames over the entries do not give once a group has many thousand rows.
+part("team_record", ("entries",), f"""select team, d, {past('sum(dnf)', 'team')} / {past('sum(n)', 'team')} as team_dnf_rate,
+    {past('sum(pts)', 'team, year')} as constructor_standing_prior,
+    {past('sum(pos)', 'team, circuit_id')} / nullif({past('sum(known)', 'team, circuit_id')}, 0) as team_circuit_avg_finish from (
+    select team, d, year, circuit_id, sum(is_dnf) as dnf, count(*) as n, sum(points) as pts, sum(position) as pos, count(position) as known
+    from entries group by 1, 2, 3, 4)""")
+
+
 @query("win6_past_mean_excluding_contest",
-       sql("entries", f"select {IDS}, {r(past('avg(is_dnf)', 'team') + ' as value')} from entries"))
+       sql("entries team_record", f"select {IDS}, {r('team_dnf_rate as value')} from entries join team_record using (team, d)"))
 def _(spark, sf):
     df = asof.past_by_contest(entries(spark, sf), ["team"], {"value": "is_dnf"})
     return out(df, *ID, "value")
@@ -197,17 +206,18 @@ def _(spark, sf):
 
 
 # --- families -------------------------------------------------------------------
-def _family(name, needs, columns, build, source=paced_entries):
+def _family(name, needs, columns, build, source=paced_entries, rows=None):
     names = columns.split()
     def run(spark, sf):
         return out(build(source(spark, sf)), *ID, *names)
-    query(name, sql(needs, f"select {IDS}, {r(', '.join(names))} from {needs.split()[0]}"))(
+    query(name, sql(needs, f"select {IDS}, {r(', '.join(names))} from {rows or needs.split()[0]}"))(
         lambda spark, sf: run(spark, sf).select(*ID, *[F.col(c).cast("double").alias(c) for c in names]))
 
 
 _family("feat1_recent_form", "form", "form_avg_finish_3 form_avg_points_3 form_avg_quali_3 form_dnf_rate_5 "
         "season_avg_finish momentum", features.recent_form)
-_family("feat2_reliability", "reliable", "driver_dnf_rate team_dnf_rate constructor_standing_prior", features.reliability)
+_family("feat2_reliability", "reliable team_record", "driver_dnf_rate team_dnf_rate constructor_standing_prior", features.reliability,
+        rows="(select * exclude (team_dnf_rate, constructor_standing_prior) from reliable) join team_record using (team, d)")
 _family("feat3_weather_affinity", "weather", "driver_overall_avg_finish driver_wet_avg driver_wet_n driver_wet_delta",
         features.weather_affinity)
 _family("feat4_venue_history", "venue", "driver_circuit_avg_finish driver_circuit_best_finish "
@@ -234,7 +244,8 @@ def _(spark, sf):
 
 
 @query("feat14_asof_features",
-       sql("features", f"select {IDS}, {r(', '.join(FEATURE_COLS))} from features"))
+       sql("features team_record", f"""select {IDS}, {r(', '.join(FEATURE_COLS))} from (select * exclude (team_dnf_rate, constructor_standing_prior,
+           team_circuit_avg_finish) from features) join team_record using (team, d)"""))
 def _(spark, sf):
     df = features.asof_features(paced_entries(spark, sf))
     return out(df.select(*ID, *[F.col(c).cast("double").alias(c) for c in FEATURE_COLS]))

@@ -228,3 +228,29 @@ def test_model_queries_take_the_documented_defaults(spark, monkeypatch):
     assert asked("ml5_fold_runner")["n_draws"] == asked("ml9_forecast_table")["n_draws"] == vocab.PL_DRAWS
     monkeypatch.setattr(queries_models, "_predictions", lambda *_: None)
     assert asked("ml5_fold_gates")["n"] == vocab.BOOTSTRAP_REPLICATES
+
+
+def test_ndcg_of_the_counterpart_is_finite_in_any_field():
+    """Gains of grades beyond 1,023 leave the doubles unless they are scaled by the best grade."""
+    import duckdb
+    from formbook.plans.oracle import _PARTS
+    con = duckdb.connect()
+    con.execute("create table grades as select 2000 as year, 1 as round, i as driver, i::double as grid_position, -i::double as rank_score, 2500 - i as relevance from range(2500) t(i)")
+    gains = con.execute(f"select max(gain), bool_and(isfinite(gain)) from ({_PARTS['ideal'][1]})").fetchone()
+    assert gains == (1.0, True)
+
+
+def test_peers_of_a_large_group_share_its_past_in_the_counterpart():
+    """The window runs over one row per group and contest, so that no frame bound falls among a contest's rows."""
+    from formbook.plans import catalog
+    from formbook.plans.oracle import _PARTS
+    import duckdb
+    con = duckdb.connect()
+    con.execute("""create table entries as select 2000 as year, m as round, m as d, i as driver, 1 as team, 'v' || m as circuit_id,
+        (i * 7 + m) % 3 = 0 as hit, cast((i * 7 + m) % 3 = 0 as int) as is_dnf, 1.0 as points, cast(i as double) as position from range(1, 9) x(m), range(20000) y(i)""")
+    got = con.execute(f"select d, team_dnf_rate, constructor_standing_prior from ({_PARTS['team_record'][1]}) order by d").fetchall()
+    hits = [sum((i * 7 + m) % 3 == 0 for i in range(20000)) for m in range(1, 9)]
+    want = [(m, sum(hits[:m - 1]) / (20000 * (m - 1)) if m > 1 else None, 20000.0 * (m - 1) if m > 1 else None) for m in range(1, 9)]
+    assert got == want
+    for name in ("win6_past_mean_excluding_contest", "feat2_reliability", "feat14_asof_features"):
+        assert "join team_record" in catalog.ORACLES[name]
