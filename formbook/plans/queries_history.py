@@ -243,9 +243,20 @@ def _(spark, sf):
     return out(df, *ID, "practice_pace_pct", "practice_laps", "practice_sd_pct", "practice_deg_slope", "practice_runs")
 
 
+def _steady_mate(c):
+    """`mate` with a total that does not depend on the order of the rows: in steps of 2^-40, as the features take it."""
+    g = "over (partition by year, round, team)"
+    steps = f"cast(cast(sum(cast(floor({c} * 1099511627776.0::double + 0.5) as bigint)) {g} as varchar) as double) / 1099511627776.0::double"
+    return f"((case when count({c}) {g} = count(*) {g} then {steps} end - {c}) / nullif(count(*) {g} - 1, 0))"
+
+
 @query("feat14_asof_features",
        sql("features team_record", f"""select {IDS}, {r(', '.join(FEATURE_COLS))} from (select * exclude (team_dnf_rate, constructor_standing_prior,
-           team_circuit_avg_finish) from features) join team_record using (team, d)"""))
+           team_circuit_avg_finish, quali_gap_to_teammate, form_finish_vs_teammate, quali_pace_vs_teammate_pct),
+           coalesce(form_avg_quali_3 - {_steady_mate('form_avg_quali_3')}, 0.0) as quali_gap_to_teammate,
+           coalesce(form_avg_finish_3 - {_steady_mate('form_avg_finish_3')}, 0.0) as form_finish_vs_teammate,
+           coalesce({', '.join(f"100.0 * ({q} / {_steady_mate(q)} - 1.0)" for q in ('q3_s', 'q2_s', 'q1_s'))}) as quali_pace_vs_teammate_pct
+           from features) join team_record using (team, d)"""))
 def _(spark, sf):
     df = features.asof_features(paced_entries(spark, sf))
     return out(df.select(*ID, *[F.col(c).cast("double").alias(c) for c in FEATURE_COLS]))

@@ -1,5 +1,6 @@
 """Group-wise and as-of building blocks against pandas and plain windows."""
 
+import math
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -311,3 +312,24 @@ def test_audit_of_a_long_key_is_one_fold(frame):
             assert value == (pytest.approx(sum(known) / len(known)) if known else None)
     for k in (None, "B"):
         assert [got[k, i][0] for i in range(6)] == [None, None, 1.0, 1.5, 2.0, 2.5]
+
+
+def test_a_complete_sum_is_the_same_in_any_order(frame):
+    """Sums as doubles change with the order in which partitions meet; features replayed from other plans must not."""
+    from formbook.functions.expr import complete_sum
+    values = [1e6 / 3, 0.1, -1e6 / 3, 0.2, 0.3, 2e6 / 7, 1e-5 / 3] * 40
+    got = {frame("i int, v double", *enumerate(order)).repartition(n, "i").agg(complete_sum("v")).first()[0]
+           for n in (1, 3, 7) for order in (values, values[::-1], sorted(values))}
+    assert len(got) == 1 and got.pop() == pytest.approx(math.fsum(values), abs=1e-9)
+    large = frame("v double", (1e12,), (5e-1,))
+    assert large.agg(complete_sum("v")).first()[0] == 1e12 + 0.5
+    assert frame("v double", (1.0,), (None,)).agg(complete_sum("v")).first()[0] is None
+
+
+def test_a_window_task_holds_a_bounded_share(spark, monkeypatch):
+    """More rows bring more partitions, not larger ones, and adaptive coalescing leaves them alone."""
+    from formbook.operators import grouping
+    monkeypatch.setattr(grouping, "WINDOW_ROWS", 100)
+    df = grouping.sized(spark.range(5000).withColumnRenamed("id", "driver"), "driver")
+    sizes = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 5000 and len(sizes) >= 45 and max(sizes) < 200
