@@ -291,10 +291,10 @@ part("sprint_mid", ("clean",), """select year, round, driver, quantile_cont(secs
 
 
 @query("feat15_sprint_pace",
-       sql("sprint_mid", f"""select year, round, driver,
-           {r('100.0 * (mid / f - 1.0) as sprint_pace_pct')}, cast(row_number() over (partition by year, round order by mid, driver) as int)
-           as sprint_finish from sprint_mid join (select year, round, quantile_cont(mid, 0.5) as f from sprint_mid group by 1, 2)
-           using (year, round)"""))
+       sql("sprint_mid", f"""select year, round, driver, {r('pct as sprint_pace_pct')},
+           cast(row_number() over (partition by year, round order by pct, driver) as int) as sprint_finish
+           from (select s.*, 100.0 * (mid / f - 1.0) as pct from sprint_mid s
+             join (select year, round, quantile_cont(mid, 0.5) as f from sprint_mid group by 1, 2) q using (year, round) where f > 0)"""))
 def _(spark, sf):
     from ..operators.observe import race_pace
     pace = race_pace(laps(spark, sf).filter(F.col("compound") == "N")).withColumnRenamed("race_pace_pct", "sprint_pace_pct")

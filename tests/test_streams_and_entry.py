@@ -254,3 +254,24 @@ def test_peers_of_a_large_group_share_its_past_in_the_counterpart():
     assert got == want
     for name in ("win6_past_mean_excluding_contest", "feat2_reliability", "feat14_asof_features"):
         assert "join team_record" in catalog.ORACLES[name]
+
+
+def test_sprint_places_of_the_counterpart_follow_the_pace():
+    """Two medians one unit in the last place apart have one pace, and equal paces fall to the lower id."""
+    import math
+    import duckdb
+    from formbook.plans import catalog
+    low = next(x for x in (1000.0 + i / 7 for i in range(1000))
+               if low_pace(x, 3 * x) == low_pace(math.nextafter(x, math.inf), 3 * x))
+    con = duckdb.connect()
+    con.execute("create table sprint_mid (year int, round int, driver int, mid double)")
+    con.executemany("insert into sprint_mid values (2000, 1, ?, ?)",
+                    [(1, math.nextafter(low, math.inf)), (2, low), (3, 3 * low), (4, 3 * low), (5, 3 * low)])
+    con.execute("insert into sprint_mid values (2000, 2, 1, 0.0)")
+    final = catalog.ORACLES["feat15_sprint_pace"].rsplit("\nselect year, round, driver, floor", 1)[1]
+    got = con.execute(f"select year, round, driver, floor{final}").fetchall()
+    assert sorted((r[1], r[4], r[2]) for r in got) == [(1, i, i) for i in range(1, 6)]
+
+
+def low_pace(mid, field):
+    return 100.0 * (mid / field - 1.0)
