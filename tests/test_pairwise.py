@@ -35,7 +35,7 @@ def test_blocks_hold_every_pair_once(spark, entries, rows):
     placed = models.inputs(ranks(entries.filter("officially_classified = 1"), K, {"_place": [("result_order", "asc"), ("driver", "asc")]}))
     width = len(models.FILLED)
     table = pairwise.blocks(placed, models.FILLED, models.OFFSETS, rows).localCheckpoint()
-    assert table.agg(F.max(F.size("x")) <= width * (rows + max(models.OFFSETS))).first()[0]
+    assert table.agg(F.max(F.length("x")) <= 8 * width * (rows + max(models.OFFSETS))).first()[0]
     pairs = models.ranker_pairs(entries).toPandas()
     gaps, labels = pairs[list(models.FILLED)].to_numpy(), pairs["_label"].to_numpy()
     n, spread = pairwise.spreads(table, width, models.OFFSETS)
