@@ -25,7 +25,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -236,6 +236,25 @@ class PieceModel:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def spliced(data: bytes, changes: list[dict[int, tuple[int, ...]]], parts: tuple[bytes, ...]) -> list[bytes]:
+    """The ids of each segmentation: those of the best with the changed chunks put in."""
+    if all(not c for c in changes):
+        return [data] * len(changes)
+    ends = np.cumsum([len(p) for p in parts]).tolist()
+    out = []
+    for c in changes:
+        at, got = 0, []
+        for k in sorted(c):
+            got += [data[at:ends[k] - len(parts[k])], np.array(c[k], "<u4").tobytes()]
+            at = ends[k]
+        out.append(b"".join([*got, data[at:]]))
+    return out
+
+
+def _offsets(sizes: Iterable[int]) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(np.fromiter(sizes, np.int64)))), pa.int32())
+
+
 _models: dict[str, PieceModel] = {}
 
 
@@ -262,7 +281,7 @@ def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, id_col: str =
     def encode(batches: Iterator[pa.RecordBatch]):
         m = model(path)
         for batch in batches:
-            rows = []
+            rows, listed = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 data, scores, changes, parts = m.encode(text, n)
@@ -270,14 +289,17 @@ def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, id_col: str =
                 # Alternatives differ from the best in a few chunks: these are decoded apart.
                 same = m.decode(best) == text and all(
                     m.joined(new) == m.joined(np.frombuffer(parts[k], "<u4").tolist()) for c in changes for k, new in c.items())
-                rows.append((i, len(best), len(changes), scores, zlib.crc32(data), same,
-                             [[x for k, p in enumerate(parts) for x in c.get(k) or np.frombuffer(p, "<u4").tolist()]
-                              for c in changes] if ids == "all" else np.frombuffer(data, "<i4") if ids == "best" else None))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.int64(), pa.bool_(),
-                     pa.list_(pa.int32()) if ids == "best" else pa.list_(pa.list_(pa.int32()))]
+                rows.append((i, len(best), len(changes), scores, zlib.crc32(data), same))
+                if ids != "none":
+                    listed.append(spliced(data, changes, parts) if ids == "all" else [data])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.int64(), pa.bool_()]
             names = [id_col, "n_pieces", "n_segmentations", "scores", "ids_crc32", "decoded", "ids" if ids == "best" else "segmentations"]
-            width = 6 if ids == "none" else 7
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(width)], names[:width])
+            made = [pa.array([r[k] for r in rows], kinds[k]) for k in range(6)]
+            if ids != "none":
+                flat = [data for ways in listed for data in ways]
+                one = pa.ListArray.from_arrays(_offsets(len(data) // 4 for data in flat), pa.array(np.frombuffer(b"".join(flat), "<i4"), pa.int32()))
+                made.append(one if ids == "best" else pa.ListArray.from_arrays(_offsets(map(len, listed)), one))
+            yield pa.RecordBatch.from_arrays(made, names[:len(made)])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, schema)
 
