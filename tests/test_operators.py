@@ -78,6 +78,17 @@ def test_metrics_of_a_perfect_order_and_row_order(race9):
     assert set(metrics.invariance(race9, "score", False).first().asDict().values()) == {0.0}
 
 
+def test_metrics_join_without_sorting_contests_again(race9, monkeypatch):
+    """Places and correlations are each written by tasks of their own, with the metrics' columns alone."""
+    written, real = {}, metrics.materialise
+    monkeypatch.setattr(metrics, "materialise", lambda df, label: written.setdefault(label, real(df, label)))
+    monkeypatch.setattr("formbook.operators.grouping.WINDOW_ROWS", 1)
+    got = metrics.contest_metrics(race9.withColumn("wide", F.lit("x")), "score", False)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert set(written) == {"placed", "spearman-all", "spearman-finishers"} and "wide" not in written["placed"].columns
+    assert got.first()["spearman_all"] == pytest.approx(1.0)
+
+
 def test_ties_fall_to_the_known_order(race9):
     got = metrics.predicted_rank(race9.withColumn("score", F.lit(1.0)), "score", False)
     assert {r["driver"]: r["pred_rank"] for r in got.collect()} == {d: i + 1 for i, (d, *_) in enumerate(RACE9)}
