@@ -89,6 +89,13 @@ def test_metrics_join_without_sorting_contests_again(race9, monkeypatch):
     assert got.first()["spearman_all"] == pytest.approx(1.0)
 
 
+def test_unread_columns_stay_out_of_the_salted_join(frame):
+    """The salt of the group join is told by the entity, so that what nobody reads is not carried to it."""
+    rows = frame("year int, round int, date date, driver string, team string, circuit_id string, position double, is_dnf int, points double, note string")
+    plan = features.reliability(rows).select("driver", "team_dnf_rate")._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(driver#" in plan
+
+
 def test_ties_fall_to_the_known_order(race9):
     got = metrics.predicted_rank(race9.withColumn("score", F.lit(1.0)), "score", False)
     assert {r["driver"]: r["pred_rank"] for r in got.collect()} == {d: i + 1 for i, (d, *_) in enumerate(RACE9)}
