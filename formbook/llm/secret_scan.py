@@ -9,21 +9,28 @@ more than `INSIDE` characters is read in windows of that many, `STRIDE` apart, s
 that every character is seen; its largest probability counts. A candidate whose
 calibrated probability reaches the threshold is a further finding of kind ``cnn``.
 
-Labelled findings: candidates of a bounded sample of texts (`FIT_ROWS` with a
-pattern's cue and as many of all, by their hash; copies count once) are labelled 1 where
-they are a base finding's secret, 0 outside base findings; labelled runs also appear
-with their bodies redrawn from other alphabets, in another run's context and inside
+Labelled findings: all candidates of all texts are labelled 1 where they are a base
+finding's secret, 0 outside base findings; labelled runs also appear with their
+bodies redrawn from other alphabets, in another run's context and inside
 long paths, and candidates that no secret looks like (numbers, dates, repeated
 characters, words in small, capital and mixed letters, words joined by marks) are
-labelled 0. A held-back fifth of the
-candidates calibrates the output (Platt's scaling) and sets the threshold: the
-highest that keeps recall at `RECALL` or more there. Scans cover every character of
-every candidate of every whole text.
+labelled 0. A fifth of them, by their characters and context, is held back.
+
+Training: the table is dealt by hash into parts of about `PART` rows. Starting from
+one network (fitted to constructed candidates alone) a copy passes through every
+part in the hashes' order, judges all windows and steps (Adam) down the loss of those
+that are not right by `MARGIN`, both labels weighing the same; parts of under `STEPS`
+steps are passed again until then. The mean of the copies is the network. So it
+depends on the rows, not on how Spark deals them. The held-back fifth of all
+candidates, counted by the network's output in steps of 1 / `FINE`, calibrates the
+output (Platt's scaling) and sets the threshold: the highest that keeps recall at
+`RECALL` or more there. Scans cover every character of every candidate of every
+whole text.
 
 Defined cases: null text counts as empty and has no finding; repeated rows are
-reported once each; offsets count code points; without labelled findings (an
-empty table, or no base finding in the sample) the constructed ones alone train
-the network.
+reported once each and count as often in training; offsets count code points;
+without labelled findings (an empty table, or no base finding) the constructed ones
+alone teach the network what a secret is.
 """
 
 from __future__ import annotations
@@ -31,6 +38,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,8 +59,17 @@ CUES = ("passw", "secret", "token", "api")
 LEAST = 8
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
 
-FIT_ROWS = 1500
 RECALL = 0.95
+# Rows that one copy of the network learns from; its least number of steps; windows and drawn secrets in a step.
+PART, STEPS, STEP, DRAWN = 8192, 400, 512, 16
+# Log odds beyond which a window judged rightly gives no gradient; learning rate of the copies.
+MARGIN, RATE = 4.0, 0.01
+# A fifth of the candidates is held back. Labelled secrets and contexts that a copy remembers for redrawing.
+FIFTH, REMEMBERED = 5, 1024
+# Outputs count in steps of 1 / FINE up to LARGEST.
+FINE, LARGEST = 256, 100.0
+# Parameters are averaged as whole multiples of 1 / FIXED, whose sums do not depend on the order.
+FIXED = 1 << 32
 # Characters before, at the beginning, at the end and after a candidate that the network sees.
 BEFORE, HEAD, TAIL, AFTER = 20, 20, 8, 4
 WIDTH = BEFORE + HEAD + TAIL + AFTER
@@ -66,15 +83,19 @@ BLOCK, TOGETHER = 256, 8192
 Span = tuple[int, str, int]
 
 
-def base_spans(text: str) -> list[Span]:
-    """(start, kind, end) of the fixed patterns' findings, each kind leftmost and not overlapping."""
+def base_spans(text: str, runs: list[tuple[int, int]] | None = None) -> list[Span]:
+    """(start, kind, end) of the fixed patterns' findings, each kind leftmost and not overlapping.
+
+    `runs`: the text's candidates; long runs of hexadecimal digits lie in one of these.
+    """
     out, low = [], text.lower()
+    runs = candidates(text) if runs is None else runs
     if any(c in low for c in CUES):
         out += [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     if "AKIA" in text:
         out += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    out += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
-    return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
+    out += [(m.start(), "hex", m.end()) for a, b in runs if b - a >= 32 for m in HEX.finditer(text, a, b)]
+    return out and sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
@@ -132,6 +153,9 @@ def gathered(codes: np.ndarray, spots: np.ndarray) -> np.ndarray:
     return np.concatenate((np.where(at < end, codes.take(at), 96), codes.take(end + np.arange(AFTER))), 1)
 
 
+LEARNED = ("embed", "role", "filters", "bias", "weight", "offset")
+
+
 @dataclass
 class Network:
     embed: np.ndarray
@@ -171,21 +195,37 @@ class Network:
         always = self.bias + sum(self.role[self._roles[k:k + n]] @ by[k] for k in range(SPAN))
         out = np.zeros(len(x))
         for i in range(0, len(x), BLOCK):
-            some = x[i:i + BLOCK]
-            pairs = some[:, :-1] * SYMBOLS + some[:, 1:]
-            h = two[0].take(pairs[:, :n], 0)
-            h += two[1].take(pairs[:, 2:n + 2], 0)
-            h += one[4].take(some[:, 4:], 0)
-            h += always
+            some = np.ascontiguousarray(x[i:i + BLOCK].T)  # positions first, so that sums and maxima run over whole rows
+            pairs = some[:-1] * SYMBOLS + some[1:]
+            h = two[0].take(pairs[:n], 0, mode="clip")
+            h += two[1].take(pairs[2:n + 2], 0, mode="clip")
+            h += one[4].take(some[4:], 0, mode="clip")
+            h += always[:, None]
             np.maximum(h, 0, out=h)
-            out[i:i + BLOCK] = np.concatenate((h.max(1), h.mean(1)), 1) @ self.weight + self.offset
+            out[i:i + BLOCK] = np.concatenate((h.max(0), h.mean(0)), 1) @ self.weight + self.offset
         return out
 
+    def fine(self, x: np.ndarray) -> np.ndarray:
+        """Outputs as whole numbers of steps."""
+        return np.rint(np.clip(self.logits(x), -LARGEST, LARGEST) * FINE).astype(np.int64)
+
     def calibrated(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -40, 40)))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return self.calibrated(self.logits(x))
+        return self.calibrated(self.fine(x) / FINE)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([np.ravel(getattr(self, name)) for name in LEARNED]).astype(np.float64)
+
+    def with_flat(self, values: np.ndarray) -> Network:
+        """A network of these parameters, not calibrated."""
+        out, at = {}, 0
+        for name in LEARNED[:-1]:
+            old = getattr(self, name)
+            out[name] = values[at:at + old.size].reshape(old.shape).astype(np.float32)
+            at += old.size
+        return Network(**out, offset=float(values[at]))
 
     def gradients(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
         z, (cols, h, top, pooled) = self.forward(x)
@@ -201,7 +241,21 @@ class Network:
         embed, role = np.zeros_like(self.embed), np.zeros_like(self.role)
         np.add.at(embed, x, de)
         np.add.at(role, self._roles, de.sum(0))
-        return [embed, role, np.einsum("bpk,bpf->kf", cols, dh), dh.sum((0, 1)), pooled.T @ d, np.array(d.sum())]
+        return [embed, role, cols.reshape(-1, SPAN * EMBED).T @ dh.reshape(-1, FILTERS), dh.sum((0, 1)), pooled.T @ d, np.array(d.sum())]
+
+
+class Adam:
+    def __init__(self, net: Network, rate: float):
+        self.net, self.rate = net, rate
+        self.m, self.v, self.t = [0.0] * 6, [0.0] * 6, 0
+
+    def step(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        net, m, v = self.net, self.m, self.v
+        self.t += 1
+        for k, (name, g) in enumerate(zip(LEARNED, net.gradients(x, y, weight), strict=True)):
+            m[k], v[k] = .9 * m[k] + .1 * g, .999 * v[k] + .001 * g * g
+            step = self.rate * (m[k] / (1 - .9 ** self.t)) / (np.sqrt(v[k] / (1 - .999 ** self.t)) + 1e-8)
+            setattr(net, name, (getattr(net, name) - step).astype(np.float32) if k < 5 else float(net.offset - step))
 
 
 def train(x: np.ndarray, y: np.ndarray, seed: int = 7, epochs: int = 6, rate: float = 0.01, of: np.ndarray | None = None) -> Network:
@@ -216,35 +270,35 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 7, epochs: int = 6, rate: fl
     order, ahead = np.argsort(place[of], kind="stable"), int((place[of] < len(order) // 5).sum())
     held, used = order[:ahead], order[ahead:]
     net, rng = Network.new(seed), np.random.default_rng(seed + 1)
-    names = ("embed", "role", "filters", "bias", "weight", "offset")
-    m, v, t = [0.0] * 6, [0.0] * 6, 0
+    adam = Adam(net, rate)
     share = max(1e-3, min(0.999, float(y[used].mean()))) if len(used) else 0.5
     for _ in range(epochs):
         for at in np.array_split(rng.permutation(used), max(1, len(used) // 64)):
             if not len(at):
                 continue
-            t += 1
-            weight = np.where(y[at] == 1, .5 / share, .5 / (1 - share))
-            for k, (name, g) in enumerate(zip(names, net.gradients(x[at], y[at], weight), strict=True)):
-                m[k], v[k] = .9 * m[k] + .1 * g, .999 * v[k] + .001 * g * g
-                step = rate * (m[k] / (1 - .9 ** t)) / (np.sqrt(v[k] / (1 - .999 ** t)) + 1e-8)
-                setattr(net, name, (getattr(net, name) - step).astype(np.float32) if k < 5 else float(net.offset - step))
+            adam.step(x[at], y[at], np.where(y[at] == 1, .5 / share, .5 / (1 - share)))
     z, target = net.logits(x[held]), y[held]
     if len(held):  # a candidate's largest output counts
         first = np.flatnonzero(np.diff(of[held], prepend=-1))
         z, target = np.maximum.reduceat(z, first), target[first]
-    if 0 < target.sum() < len(target):
-        smooth = np.where(target == 1, (target.sum() + 1) / (target.sum() + 2), 1 / (len(target) - target.sum() + 2))
+    return calibrate(net, z, target, np.ones(len(z)))
+
+
+def calibrate(net: Network, z: np.ndarray, target: np.ndarray, n: np.ndarray) -> Network:
+    """Set scale, shift and threshold by outputs `z` of label `target`, `n` candidates each; unchanged without both labels."""
+    good, all_ = n[target == 1].sum(), n.sum()
+    if 0 < good < all_:
+        smooth = np.where(target == 1, (good + 1) / (good + 2), 1 / (all_ - good + 2))
         at = np.array([1.0, 0.0])
 
         def loss(v):
             u = v[0] * z + v[1]
-            return (np.logaddexp(0, u) - smooth * u).sum() + 5e-4 * v[0] ** 2
+            return (n * (np.logaddexp(0, u) - smooth * u)).sum() + 5e-4 * v[0] ** 2
 
         for _ in range(50):  # Newton's method with a ridge, no step that makes it worse
             p = 1 / (1 + np.exp(-np.clip(at[0] * z + at[1], -40, 40)))
-            q = p * (1 - p) + 1e-9
-            g = np.array([((p - smooth) * z).sum() + 1e-3 * at[0], (p - smooth).sum()])
+            q = n * (p * (1 - p) + 1e-9)
+            g = np.array([(n * (p - smooth) * z).sum() + 1e-3 * at[0], (n * (p - smooth)).sum()])
             h = np.array([[(q * z * z).sum() + 1e-3, (q * z).sum()], [(q * z).sum(), q.sum()]])
             step = np.linalg.solve(h + 1e-9 * np.eye(2), g)
             while np.abs(step).max() > 1e-9 and not loss(at - step) <= loss(at):
@@ -254,8 +308,9 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 7, epochs: int = 6, rate: fl
             at = at - step
         a, b = at
         net.scale, net.shift = float(max(a, 1e-3)), float(b)
-        p = np.sort(net.calibrated(z[target == 1]))
-        net.threshold = float(p[int((1 - RECALL) * len(p))])
+        order = np.flatnonzero(target == 1)[np.argsort(z[target == 1], kind="stable")]
+        first = np.searchsorted(np.cumsum(n[order]), int((1 - RECALL) * good), side="right")
+        net.threshold = float(net.calibrated(z[order[first:first + 1]])[0])
     return net
 
 
@@ -291,7 +346,7 @@ def constructed(found: list[tuple[str, str, str]], others: list[tuple[str, str,
     number = -1
     for k in range(n):
         alphabet = ALPHABETS[k % len(ALPHABETS)]
-        draw = lambda lengths: "".join(rng.choice(alphabet) for _ in range(rng.choice(lengths)))
+        draw = lambda lengths: "".join(rng.choices(alphabet, k=rng.choice(lengths)))
         body = draw((8, 10, 12, 14, 16, 20, 24, 32, 40, 43, 64))
         body = "AKIA" + body[:16] if k % 11 == 0 and len(body) >= 16 else body
         before, _, after = rng.choice(found if k % 3 else others)
@@ -320,60 +375,205 @@ def constructed(found: list[tuple[str, str, str]], others: list[tuple[str, str,
     return x, y
 
 
-def fit(docs: DataFrame, text_col: str = "text", rows: int = FIT_ROWS) -> Network:
-    """Train on at most `rows` texts with a cue or a hex run and `rows` of all texts.
+def labelled(text: str) -> list[tuple[int, int, bool]]:
+    """A text's candidates or their parts (start, end, label)."""
+    runs = candidates(text)
+    base = base_spans(text, runs)
+    if not base:
+        return [(a, b, False) for a, b in runs]
+    out, keys = [], secrets(text)
+    for start, end in runs:
+        out += [(max(start, a), min(end, b), True) for a, _, b in keys if min(end, b) - max(start, a) >= LEAST]
+        out += [(a, b, False) for a, b in outside(start, end, base)]
+    return out
+
+
+def held_back(text: str, start: int, end: int) -> bool:
+    """Of each candidate by its characters and context, so that copies fall on one side."""
+    return zlib.crc32(text[max(0, start - BEFORE):end + AFTER].encode("utf-8", "replace")) % FIFTH == 0
+
+
+class Learner:
+    """A copy of the network that passes through one part of the table."""
+
+    def __init__(self, start: Network, number: int):
+        self.net = start.with_flat(start.flat())
+        self.adam, self.rng, self.number = Adam(self.net, RATE), np.random.default_rng(number), number
+        self.x, self.y, self.waiting, self.steps = [], [], 0, 0
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
+        # (before, body, after) for redrawing, and windows of labelled secrets.
+        self.found, self.others, self.secrets = [], [], []
+        self.seen = [0, 0, 0]
+        self.drawn, self.drawn_label, self.drawn_of = [], [], []
+
+    def remember(self, k: int, item) -> None:
+        """Keep each of all so far with the same chance."""
+        pool, limit = ((self.found, REMEMBERED), (self.others, REMEMBERED), (self.secrets, REMEMBERED))[k]
+        self.seen[k] += 1
+        if len(pool) < limit:
+            pool.append(item)
+        elif (at := int(self.rng.integers(self.seen[k]))) < limit:
+            pool[at] = item
+
+    def take(self, texts: list[str]) -> None:
+        spots, y, at = [], [], len(GAP)
+        for t in texts:
+            other = True  # one context of a text is enough
+            for a, b, hit in labelled(t):
+                if held_back(t, a, b):
+                    continue
+                if hit or other:
+                    self.remember(0 if hit else 1, (t[max(0, a - BEFORE):a], t[a:b], t[b:b + AFTER]))
+                    other = other and hit
+                for p, q in pieces(a, b):
+                    spots.append((at + p, at + q))
+                    y.append(hit)
+                    if hit:
+                        self.remember(2, window(t, p, q))
+            at += len(t) + len(GAP)
+        if not spots:
+            return
+        codes, where = _codes(GAP + "".join(t + GAP for t in texts)), np.array(spots)
+        for k in range(0, len(where), TOGETHER):
+            self.x.append(gathered(codes, where[k:k + TOGETHER]).astype(np.uint8))
+        self.y.append(np.array(y, np.float64))
+        self.waiting += len(y)
+        if self.waiting >= STEP:
+            x, y = np.concatenate(self.x), np.concatenate(self.y)
+            whole = len(y) // STEP * STEP
+            for k in range(0, whole, STEP):
+                self.step(x[k:k + STEP], y[k:k + STEP])
+            self.x, self.y, self.waiting = [x[whole:]], [y[whole:]], len(y) - whole
+
+    def step(self, x: np.ndarray, y: np.ndarray, again: bool = False) -> None:
+        """One step down the loss of these windows, of some secrets seen before and of redrawn ones."""
+        if not again and len(self.kept) < STEPS:
+            self.kept.append((x, y))
+        self.steps += 1
+        number: list[int] = []
+        seed = int(self.rng.integers(1 << 62))
+        made, label = constructed(self.found, self.others, seed, DRAWN, number)
+        use = [n % FIFTH != 0 for n in number]
+        if self.steps <= STEPS:
+            base = len(self.drawn_of) and self.drawn_of[-1] + 1
+            for w, l, n, u in zip(made, label, number, use, strict=True):
+                if not u:
+                    self.drawn.append(w)
+                    self.drawn_label.append(l)
+                    self.drawn_of.append(base + n)
+        more, goal = [w for w, u in zip(made, use, strict=True) if u], [l for l, u in zip(label, use, strict=True) if u]
+        if self.secrets:
+            some = [self.secrets[k] for k in self.rng.integers(len(self.secrets), size=DRAWN)]
+            more, goal = more + some, goal + [1] * len(some)
+        x, y = np.concatenate((x, symbols(more))), np.concatenate((y, goal))
+        hard = (2 * y - 1) * self.net.logits(x) < MARGIN
+        if hard.any():
+            good = y.sum()
+            weight = np.where(y == 1, .5 / max(1, good), .5 / max(1, len(y) - good)) * hard.sum()
+            self.adam.step(x[hard], y[hard], weight[hard])
+
+    def done(self) -> None:
+        """The last windows; small parts are passed again."""
+        if self.waiting:
+            self.step(np.concatenate(self.x), np.concatenate(self.y))
+        kept = self.kept or [(np.zeros((0, WIDTH), np.uint8), np.zeros(0))]
+        for k in range(STEPS - self.steps):
+            self.step(*kept[k % len(kept)], again=True)
+
+
+def outputs(net: Network, texts: list[str]) -> list[tuple[int, bool, int]]:
+    """(output in steps, label, count) of the held-back candidates of these texts; a candidate's largest output counts."""
+    spots, first, hits, at = [], [], [], len(GAP)
+    for t in texts:
+        for a, b, hit in labelled(t):
+            if held_back(t, a, b):
+                first.append(len(spots))
+                hits.append(hit)
+                spots += [(at + p, at + q) for p, q in pieces(a, b)]
+        at += len(t) + len(GAP)
+    if not spots:
+        return []
+    codes, where = _codes(GAP + "".join(t + GAP for t in texts)), np.array(spots)
+    z = np.concatenate([net.fine(gathered(codes, where[k:k + TOGETHER])) for k in range(0, len(where), TOGETHER)])
+    return counted(np.maximum.reduceat(z, first), np.array(hits))
 
-    The texts are chosen by their hashes alone, 8 bytes each; only chosen texts are read for their candidates.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    table = docs.select(text.alias("t"))
-    low = F.lower("t")
-    cue = F.col("t").contains("AKIA") | F.col("t").rlike("[0-9a-f]{32}")
-    for c in CUES:
-        cue = cue | low.contains(c)
+
+def counted(z: np.ndarray, hits: np.ndarray) -> list[tuple[int, bool, int]]:
+    value, n = np.unique(z * 2 + hits, return_counts=True)
+    return [(int(v) >> 1, bool(v & 1), int(c)) for v, c in zip(value, n, strict=True)]
+
+
+_COUNTS = "z int, hit boolean, n long"
+
+
+def _counts(rows: list[tuple[int, bool, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.int64()))], ["z", "hit", "n"])
+
+
+def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", part: int = PART) -> Network:
+    """Train on all texts, a copy for each `part` rows, and calibrate on the held-back fifth of all candidates."""
     small_batches(docs.sparkSession)
-    hashes = materialise(table.groupBy(F.xxhash64("t").alias("h")).agg(F.max(cue).alias("cue")), "secret-hashes")
-    chosen = [hashes.where(some).orderBy("h").limit(rows).select("h") for some in (F.col("cue"), F.lit(True))]
-    chosen = F.broadcast(chosen[0].union(chosen[1]).distinct())  # at most 2 * rows hashes
+    x, y = constructed([], [])
+    start = train(symbols(x), np.array(y, np.float64))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.xxhash64(F.col(id_col), text).alias("h"), text.alias("t"))
+    parts = max(1, -(-docs.count() // part))
+    rows = rows.withColumn("part", F.pmod("h", F.lit(parts)))
 
-    def labelled(batches: Iterator[pa.RecordBatch]):
+    def learn(batches: Iterator[pa.RecordBatch]):
+        learner = None
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            for at in np.split(np.arange(len(numbers)), np.flatnonzero(np.diff(numbers)) + 1):
+                if not len(at):
+                    continue
+                if learner is None or learner.number != numbers[at[0]]:
+                    if learner is not None:
+                        yield learned(learner)
+                    learner = Learner(start, int(numbers[at[0]]))
+                learner.take(batch.column(1).slice(at[0], len(at)).to_pylist())
+        if learner is not None:
+            yield learned(learner)
+
+    def learned(learner):
+        learner.done()
+        flat = np.rint(learner.net.flat() * FIXED).astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([flat.tolist()], pa.list_(pa.int64())), pa.array([learner.drawn], pa.list_(pa.string())),
+             pa.array([learner.drawn_label], pa.list_(pa.int32())), pa.array([learner.drawn_of], pa.list_(pa.int32()))],
+            ["flat", "drawn", "label", "of"])
+
+    nets = materialise(rows.repartition("part").sortWithinPartitions("part", "h").select("part", "t").mapInArrow(
+        learn, "flat array<long>, drawn array<string>, label array<int>, of array<int>"), "secret-nets")
+    sums = nets.select(F.posexplode("flat").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"), F.count("*").alias("n")).orderBy("k").collect()
+    net = start.with_flat(np.array([r.v / r.n / FIXED for r in sums])) if sums else start
+    net.scale, net.shift, net.threshold = start.scale, start.shift, start.threshold
+
+    def of_texts(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            out = []
-            for t in batch.column(0).to_pylist():
-                base, keys = base_spans(t), secrets(t)
-                for start, end in candidates(t):
-                    parts = [(max(start, s), min(end, e), True) for s, _, e in keys if min(end, e) - max(start, s) >= LEAST]
-                    parts += [(a, b, False) for a, b in outside(start, end, base)]
-                    out += [(t[max(0, a - BEFORE):a], t[a:b], t[b:b + AFTER], hit) for a, b, hit in parts]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], (pa.string(), pa.string(), pa.string(), pa.bool_())[k])
-                                              for k in range(4)], ["before", "body", "after", "hit"])
-
-    runs = table.join(chosen, F.xxhash64("t") == F.col("h"), "left_semi").mapInArrow(
-        labelled, "before string, body string, after string, hit boolean")
-    runs = materialise(runs.distinct(), "secret-runs")
-    got = [r for hit in (True, False)  # apart, so that words do not crowd out the findings
-           for r in runs.where(F.col("hit") == hit).orderBy(F.xxhash64("before", "body", "after")).limit(8 * rows).collect()]
-    found = sorted({(r.before, r.body, r.after) for r in got if r.hit})
-    others = sorted({(r.before, r.body, r.after) for r in got if not r.hit})
-    of: list[int] = []
-    x, y = constructed(found, others, of=of)
-    for rows_, label in ((found, 1), (others, 0)):
-        for before, body, after in rows_:
-            number = of[-1] + 1
-            for a, b in pieces(len(before), len(before) + len(body)):
-                x.append(window(before + body + after, a, b))
-                y.append(label)
-                of.append(number)
-    return train(symbols(x), np.array(y, np.float64), of=np.array(of))
+            yield _counts(outputs(net, batch.column(0).to_pylist()))
+
+    def of_drawn(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for drawn, label, of in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if drawn:
+                    first = np.flatnonzero(np.diff(np.array(of), prepend=-1))
+                    yield _counts(counted(np.maximum.reduceat(net.fine(symbols(drawn)), first), np.array(label)[first]))
+
+    held = rows.select("t").mapInArrow(of_texts, _COUNTS).unionAll(nets.select("drawn", "label", "of").mapInArrow(of_drawn, _COUNTS))
+    # At most 2 * (2 * LARGEST * FINE + 1) rows.
+    got = held.groupBy("z", "hit").agg(F.sum("n").alias("n")).orderBy("z", "hit").collect()
+    return calibrate(net, np.array([r.z / FINE for r in got]), np.array([float(r.hit) for r in got]), np.array([float(r.n) for r in got]))
 
 
 def find(texts: list[str], net: Network) -> list[list[Span]]:
     """All findings of each text: (start, kind, end) by start, then kind."""
     out, runs, spots, first, at = [], [], [], [], len(GAP)
     for i, t in enumerate(texts):
-        own = base_spans(t)
+        some = candidates(t)
+        own = base_spans(t, some)
         out.append(own)
-        for start, end in candidates(t):
+        for start, end in some:
             for a, b in outside(start, end, own) if own else ((start, end),):
                 runs.append((i, a, b))
                 first.append(len(spots))
@@ -391,7 +591,7 @@ def find(texts: list[str], net: Network) -> list[list[Span]]:
 
 def scan(docs: DataFrame, net: Network | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id and its findings, array of (kind, start, end)."""
-    net = net or fit(docs, text_col)
+    net = net or fit(docs, text_col, id_col)
     small_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

@@ -239,6 +239,40 @@ def test_network_finds_held_out_secrets():
     assert np.mean([any(k == "cnn" for _, k, _ in h) for h in miss]) <= 0.1
 
 
+def same_network(a, b):
+    return all(np.array_equal(getattr(a, k), getattr(b, k)) for k in ("embed", "role", "filters", "bias", "weight", "offset", "scale", "shift", "threshold"))
+
+
+def test_network_is_trained_on_every_text(spark):
+    """No text is left out for its hash, and how Spark deals the table does not matter."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    docs = spark.createDataFrame([(i, f"of {word()} and {word()}", "x") for i in range(4000)], SCHEMA).withColumn("h", F.xxhash64("text"))
+    last = docs.orderBy(F.desc("h")).limit(1).collect()[0]
+    other = (spark.range(300_000).select(F.concat(F.lit("nor "), F.translate(F.sha1(F.col("id").cast("string")), "0123456789abcdef", "ghijklmnopqrstuv")).alias("t"))
+             .orderBy(F.desc(F.xxhash64("t"))).limit(1).collect()[0]["t"])
+    changed = docs.withColumn("text", F.when(F.col("doc_id") == last.doc_id, F.lit(other)).otherwise(F.col("text"))).drop("h")
+    net = secret_scan.fit(docs.drop("h"))
+    assert same_network(net, secret_scan.fit(docs.drop("h").repartition(7, "text")))
+    assert not same_network(net, secret_scan.fit(changed))
+
+
+def test_held_back_and_learnt_candidates_are_all():
+    texts = [(t or "") + f" and{i:08d} " for i, t in enumerate(SECRETS * 20)]
+    every = [(t, a, b) for t in texts for a, b, _ in secret_scan.labelled(t)]
+    held = [e for e in every if secret_scan.held_back(*e)]
+    assert 0 < len(held) < len(every)
+    learner = secret_scan.Learner(secret_scan.Network.new(1), 0)
+    learner.step = lambda x, y: seen.append(len(y))
+    seen = []
+    learner.take(texts)
+    whole = sum(len(secret_scan.pieces(a, b)) for t, a, b in every if not secret_scan.held_back(t, a, b))
+    assert sum(seen) + learner.waiting == whole
+    got = secret_scan.outputs(secret_scan.Network.new(1), texts)
+    assert sum(n for _, _, n in got) == len(held)
+    assert sum(n for _, hit, n in got if hit) == sum(hit for t in texts for a, b, hit in secret_scan.labelled(t) if secret_scan.held_back(t, a, b))
+
+
 def test_gradients_match_differences():
     x, y = secret_scan.constructed([], [], n=8)
     x, y = secret_scan.symbols(x)[:6], np.array(y[:6], np.float64)
