@@ -11,8 +11,8 @@ White space is escaped as the model does it (a space becomes U+2581, one is put
 before the text). No piece holds anything before an escaped space but escaped
 spaces, so a text falls into independent chunks, and its n best are sums of
 chunks' alternatives: only the n - 1 chunks with the smallest loss of their second
-best can differ from their best. The forward pass gives each chunk's best and that
-loss (a worker remembers the chunks it has seen); the A* search lists those
+best can differ from their best. The forward pass, for many new chunks at once, gives
+each chunk's best and that loss (a worker remembers the chunks it has seen); the A* search lists those
 chunks' alternatives and then, over their lattice, the n best of the text.
 
 Defined cases: null text counts as empty and has one segmentation without
@@ -26,6 +26,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ N_BEST = 4
 UNKNOWN_PENALTY = 10.0
 # Chunks that a worker remembers, and the longest of them in characters.
 REMEMBERED, LONGEST = 600_000, 40
+# Characters of texts whose new chunks pass forward together.
+TOGETHER = 1 << 20
 
 Path = tuple[float, tuple[int, ...]]
 
@@ -111,8 +114,18 @@ class PieceModel:
         after = {b for p in self.pieces for a, b in zip(p, p[1:], strict=False) if a.isalnum()}
         marks = re.escape("".join(c for c in ".,;:!?%&*#$|\"()=" if c not in after))
         ways = [f"[{alone}]"] if alone else []
-        ways += [rf"{SPACE}*[^{SPACE}{alone}{marks}]*[^\W_](?=[{marks}])"] if marks else []
-        self.chunk = re.compile("|".join([*ways, f"{SPACE}*[^{SPACE}{alone}]+", f"{SPACE}+"]))
+        # Possessive: a run ends at a mark or not, giving characters back never helps.
+        ways += [rf"{SPACE}*+[^{SPACE}{alone}{marks}]++(?=[{marks}])(?<=[^\W_])"] if marks else []
+        self.chunk = re.compile("|".join([*ways, f"{SPACE}*+[^{SPACE}{alone}]++", f"{SPACE}++"]))
+        # The same beginnings as a table: node * width + character's number -> next node; the node's piece or -1.
+        self.alphabet = np.array(sorted({ord(c) for p in self.pieces for c in p}), np.int64)
+        node, width = {p: k for k, p in enumerate(("", *self.walk))}, len(self.alphabet)
+        place = {chr(c): k for k, c in enumerate(self.alphabet.tolist())}
+        edge = sorted((node[p[:-1]] * width + place[p[-1]], node[p]) for p in self.walk)
+        self.edge_key, self.edge_to = np.array([e for e, _ in edge], np.int64), np.array([e for _, e in edge], np.int64)
+        self.start = np.full(width, -1, np.int64)  # the same for the first character
+        self.start[self.edge_key[self.edge_key < width]] = self.edge_to[self.edge_key < width]
+        self.piece_at = np.array([-1, *self.walk.values()], np.int64)
         self.known: dict[str, tuple[bytes, float, float]] = {}
         self.listed: dict[tuple[str, int], list[Path]] = {}
 
@@ -176,17 +189,94 @@ class PieceModel:
             ids.extend((i,) if i >= 0 else self._unknown_ids(chunk[at])[::-1])
         return np.array(ids[::-1], "<u4").tobytes(), first[length], first[length] - second[length]
 
-    def best(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
+    def forward_all(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
+        """forward() of many chunks at once: the same steps in the same order, each taken for all chunks."""
+        if not chunks or not len(self.edge_key):
+            return list(map(self.forward, chunks))
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        by = np.argsort(-sizes, kind="stable")  # longest first, so that those with a position come first
+        sizes, width, score = sizes[by], len(self.alphabet), np.array(self.score)
+        n, longest = len(by), int(sizes[0])
+        raw = np.frombuffer("".join(chunks[k] for k in by.tolist()).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        place = np.minimum(np.searchsorted(self.alphabet, raw), width - 1)
+        codes = np.full((longest, n), -1, np.int64)
+        codes.T[np.arange(longest) < sizes[:, None]] = np.where(self.alphabet[place] == raw, place, -1)
+        first, second = (np.full((longest + 1, n), -np.inf) for _ in range(2))
+        from_, piece = (np.full((longest + 1, n), -1, np.int64) for _ in range(2))
+        first[0] = 0.0
+
+        def reach(b, rows, a, ids, scores):
+            v, old = first[a, rows] + scores, first[b, rows]
+            better = v > old
+            second[b, rows] = np.where(better, np.maximum(old, second[a, rows] + scores), np.maximum(second[b, rows], v))
+            first[b, rows] = np.where(better, v, old)
+            some = rows[better]
+            from_[b, some], piece[b, some] = a, ids[better]
+
+        for a in range(longest):
+            rows = np.arange(np.searchsorted(-sizes, -a, side="left"))  # chunks longer than a
+            alone, node = np.ones(len(rows), bool), np.zeros(len(rows), np.int64)
+            for b in range(a + 1, min(longest, a + self.longest) + 1):
+                inside = sizes[rows] >= b
+                rows, node = rows[inside], node[inside]
+                code = codes[b - 1, rows]
+                if b == a + 1:
+                    to = np.where(code >= 0, self.start[code], -1)
+                    there = to >= 0
+                    to = to[there]
+                else:
+                    key = node * width + code
+                    at = np.minimum(np.searchsorted(self.edge_key, key), len(self.edge_key) - 1)
+                    there = (code >= 0) & (self.edge_key[at] == key)
+                    to = self.edge_to[at[there]]
+                rows, node = rows[there], to
+                if not len(rows):
+                    break
+                ids = self.piece_at[node]
+                whole = ids >= 0
+                if b == a + 1:
+                    alone[rows[whole]] = False
+                reach(b, rows[whole], a, ids[whole], score[ids[whole]])
+            rows = np.flatnonzero(alone)
+            reach(a + 1, rows, a, np.full(len(rows), -1), np.full(len(rows), self.unknown_score))
+        back, at, every = [], sizes.copy(), np.arange(n)  # from the end; a chunk at its start adds nothing
+        known = np.ones(n, bool)
+        while at.any():
+            ids = np.where(at > 0, piece[at, every], -2)
+            known &= ids != -1
+            back.append(ids)
+            at = np.where(at > 0, from_[at, every], 0)
+        steps = np.array(back[::-1]).T
+        used = steps != -2
+        data = steps[used].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(used.sum(1))).tolist()
+        top, next_ = first[sizes, every], second[sizes, every]
+        out: list = [None] * n
+        for k, start, end, x, loss, plain in zip(by.tolist(), [0, *ends], ends, top.tolist(), (top - next_).tolist(), known.tolist(), strict=False):
+            out[k] = (data[start:end], x, loss) if plain else self.forward(chunks[k])
+        return out
+
+    def learn(self, new: Iterable[str]) -> None:
+        """Remember the forward passes of these chunks but the long ones."""
+        new = [c for c in new if len(c) <= LONGEST]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+        self.known.update(zip(new, self.forward_all(new), strict=True))
+
+    def best(self, chunks: list[str], out: list | None = None) -> list[tuple[bytes, float, float]]:
+        """The forward passes of these chunks; `out`: what is found of them already."""
         known = self.known
-        out = list(map(known.get, chunks))
+        out = list(map(known.get, chunks)) if out is None else out
         if None in out:
             for k, chunk in enumerate(chunks):
                 if out[k] is None:
-                    out[k] = known.get(chunk) or self.forward(chunk)
-                    if len(chunk) <= LONGEST:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[chunk] = out[k]
+                    out[k] = known.get(chunk)
+                    if out[k] is None:
+                        out[k] = self.forward(chunk)
+                        if len(chunk) <= LONGEST:
+                            if len(known) >= REMEMBERED:
+                                known.clear()
+                            known[chunk] = out[k]
         return out
 
     def ways(self, chunk: str, n: int, best: bytes) -> list[Path]:
@@ -201,15 +291,19 @@ class PieceModel:
         own = (found[0][0], tuple(np.frombuffer(best, "<u4").tolist()))
         return [own, *[w for w in found if w != own]][:n]
 
-    def encode(self, text: str, n: int = N_BEST) -> tuple[bytes, list[float], list[dict[int, tuple[int, ...]]], tuple[bytes, ...]]:
+    def chunks(self, text: str) -> list[str]:
+        return self.chunk.findall(self.escaped(text))
+
+    def encode(self, text: str, n: int = N_BEST, chunks: list[str] | None = None,
+               found: list | None = None) -> tuple[bytes, list[float], list[dict[int, tuple[int, ...]]], tuple[bytes, ...]]:
         """The n best of a text.
 
         Returns the ids of the best, the n scores, for each segmentation the
         chunks in which it differs from the best ({chunk number: ids}), and the
         chunks' best ids.
         """
-        chunks = self.chunk.findall(self.escaped(text))
-        parts, scores, losses = zip(*self.best(chunks), strict=True) if chunks else ((), (), ())
+        chunks = self.chunks(text) if chunks is None else chunks
+        parts, scores, losses = zip(*self.best(chunks, found), strict=True) if chunks else ((), (), ())
         base = sum(scores)
         losses = np.array(losses)
         if len(losses) > n - 1:
@@ -240,7 +334,7 @@ def spliced(data: bytes, changes: list[dict[int, tuple[int, ...]]], parts: tuple
     """The ids of each segmentation: those of the best with the changed chunks put in."""
     if all(not c for c in changes):
         return [data] * len(changes)
-    ends = np.cumsum([len(p) for p in parts]).tolist()
+    ends = list(accumulate(map(len, parts)))
     out = []
     for c in changes:
         at, got = 0, []
@@ -265,6 +359,23 @@ def model(path: str) -> PieceModel:
     return _models[path]
 
 
+def prepared(m: PieceModel, batch: pa.RecordBatch) -> Iterator[tuple[int, str, list[str], list]]:
+    """Id, text, chunks and their forward passes of each row; the new chunks of `TOGETHER` characters pass at once."""
+    ids, held, new, size = batch.column(0).to_pylist(), [], set(), 0
+    for k, text in enumerate(batch.column(1)):
+        text = text.as_py() or ""
+        chunks = m.chunks(text)
+        found = list(map(m.known.get, chunks))
+        if None in found:
+            new.update(set(chunks).difference(m.known))
+        held.append((ids[k], text, chunks, found))
+        size += len(text)
+        if size >= TOGETHER or k + 1 == len(ids):
+            m.learn(new)
+            yield from held
+            held, new, size = [], set(), 0
+
+
 def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text",
                      ids: str = "all") -> DataFrame:
     """(id, n_pieces, n_segmentations, scores, ids_crc32, decoded[, ids | segmentations]) of each document.
@@ -282,9 +393,8 @@ def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, id_col: str =
         m = model(path)
         for batch in batches:
             rows, listed = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                data, scores, changes, parts = m.encode(text, n)
+            for i, text, chunks, known in prepared(m, batch):
+                data, scores, changes, parts = m.encode(text, n, chunks, known)
                 best = np.frombuffer(data, "<u4").tolist()
                 # Alternatives differ from the best in a few chunks: these are decoded apart.
                 same = m.decode(best) == text and all(
