@@ -333,3 +333,20 @@ def test_a_window_task_holds_a_bounded_share(spark, monkeypatch):
     df = grouping.sized(spark.range(5000).withColumnRenamed("id", "driver"), "driver")
     sizes = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(sizes) == 5000 and len(sizes) >= 45 and max(sizes) < 200
+
+
+def test_a_sprint_median_rounds_as_in_the_counterpart(spark, tmp_path):
+    """(0.1 + 0.7) / 2 lies one unit below 0.4 when the two are weighed; stepped from the lower one it ties with 0.4 and takes the other place."""
+    import duckdb
+    from formbook.plans import catalog
+    laps = [(1, 0.4), (2, 0.1), (2, 0.7), (3, 0.2), (3, 5.1)]
+    path = f"{tmp_path}/lineitem.parquet"
+    con = duckdb.connect()
+    con.execute("""create table lineitem (l_suppkey bigint, l_extendedprice double, l_quantity double, l_discount double, l_tax double,
+        l_returnflag varchar, l_linestatus varchar, l_linenumber int, l_shipdate timestamp)""")
+    con.executemany("insert into lineitem values (?, ?, 1, 0, 0, 'N', 'O', 1, '1998-07-04')", laps)
+    con.execute(f"copy lineitem to '{path}' (format parquet)")
+    name = "feat15_sprint_pace"
+    want = con.execute(f"select driver, sprint_pace_pct, sprint_finish from ({catalog.ORACLES[name]}) order by 1").fetchall()
+    got = catalog.QUERIES[name](spark, str(tmp_path)).select("driver", "sprint_pace_pct", "sprint_finish").orderBy("driver").collect()
+    assert [tuple(r) for r in got] == want and [r[2] for r in want] == [2, 1, 3]
