@@ -16,7 +16,7 @@ from .tables import probability_table, scored_entries
 
 ID = [*K, "driver"]
 IDS = "year, round, driver"
-# Draws of the registered queries; the operator's default is the documented number.
+# Draws of the queries on the exported probabilities; `prob5` takes the documented number, the operator's default.
 DRAWS = 500
 REPLICATES = vocab.BOOTSTRAP_REPLICATES
 ORDERINGS = dict(zip(vocab.ORDERING_NAMES, (("grid_position", True), ("p_top10_clf", False), ("rank_score", False), ("blend_score", True)), strict=True))
@@ -91,26 +91,27 @@ def _(spark, sf):
     return out(probability.softmax(scored_entries(spark, sf), "rank_score", 8.0), *ID, "p_win")
 
 
-def _draws(name, score, t):
+def _draws(name, score, t, n=DRAWS):
     u = "(('0x' || substr(md5(concat_ws('/', '20260911', draw, year, round, driver)), 1, 8))::bigint + 0.5) / 4294967296.0"
     part(f"{name}_order", ("scored",), f"""select year, round, driver, draw, row_number() over (partition by year, round, draw
         order by {score} / {t} - ln(-ln({u})) desc, driver) as place
-        from scored cross join (select cast(i + 1 as bigint) as draw from range({DRAWS}) t(i))""")
+        from scored cross join (select cast(i + 1 as bigint) as draw from range({n}) t(i))""")
     part(f"{name}_share", (f"{name}_order",), f"""select year, round, driver,
-        count(case when place <= 3 then 1 end) / {DRAWS}.0 as p_podium, count(case when place <= 10 then 1 end) / {DRAWS}.0 as p_top10
+        count(case when place <= 3 then 1 end) / {n}.0 as p_podium, count(case when place <= 10 then 1 end) / {n}.0 as p_top10
         from {name}_order group by 1, 2, 3""")
 
 
 _draws("pl", "rank_score", "8.0")
 _draws("plg", "-grid_position", "10.0")
+_draws("plw", "rank_score", "8.0", vocab.PL_DRAWS)
 
 
 def model_probabilities(spark, sf):
-    return probability.plackett_luce(scored_entries(spark, sf), "rank_score", 8.0, DRAWS)
+    return probability.plackett_luce(scored_entries(spark, sf), "rank_score", 8.0)
 
 
 @query("prob5_plackett_luce",
-       sql("soft pl_share", f"select {IDS}, {r('p_win', 'p_podium', 'p_top10')}, {r(f'sqrt(0.25 / {DRAWS}) as mc_error')} from soft join pl_share using ({IDS})"))
+       sql("soft plw_share", f"select {IDS}, {r('p_win', 'p_podium', 'p_top10')}, {r(f'sqrt(0.25 / {vocab.PL_DRAWS}) as mc_error')} from soft join plw_share using ({IDS})"))
 def _(spark, sf):
     return out(model_probabilities(spark, sf), *ID, "p_win", "p_podium", "p_top10", "mc_error")
 

@@ -63,3 +63,37 @@ def test_a_draw_does_not_visit_the_field(spark, monkeypatch):
     rows = probability.plackett_luce(df, "u", 1.0, 20_000, shares=placing.sampled_shares)
     one = rows.agg(F.sum("p_win"), F.sum("p_podium"), F.sum("p_top10"), F.count("driver")).first()
     assert tuple(one) == pytest.approx((1.0, 3.0, 10.0, 3000))
+
+
+def test_the_flagship_chances_take_the_documented_draws():
+    """20,000 draws in the query and in its counterpart, as in folds and forecasts; 500 are left to the queries that say so."""
+    from formbook.functions import vocab
+    from formbook.plans import catalog
+    assert f"range({vocab.PL_DRAWS})" in catalog.ORACLES["prob5_plackett_luce"] and "range(500)" not in catalog.ORACLES["prob5_plackett_luce"]
+    assert "range(500)" in catalog.ORACLES["prob10_podium_brier"]
+
+
+def test_the_query_draws_as_documented(spark):
+    from formbook.functions import vocab
+    from formbook.plans import catalog
+    rows = catalog.QUERIES["prob5_plackett_luce"](spark, "/root/testdata/sf0.001")
+    assert {r[0] for r in rows.select("mc_error").collect()} == {math.floor(math.sqrt(0.25 / vocab.PL_DRAWS) * 1e6 + 0.5) / 1e6}
+
+
+@pytest.mark.parametrize("hot", [2_000_000, 3])
+def test_hashed_draws_are_the_ranked_ones(spark, hot):
+    """The same numbers as the built-in md5: long and short ids, ties, missing, no and endless utilities, two of them, several blocks of draws."""
+    from formbook.operators import hashed
+    rows = [(2024, 1, f"d{i}" + "x" * (i % 4 * 25), [-1.0, 0.5, None, math.nan, math.inf, -math.inf, 2.0][i % 7] if i < 21 else -1.0) for i in range(60)]
+    rows += [(2024, 2, f"e{i}", [None, -1.0, None, None][i % 4]) for i in range(30)] + [(2024, 3, "f", 0.0)]
+    df = spark.createDataFrame(rows, "year int, round int, driver string, u double")
+    some = df.select("*", F.col("u").alias("_u0"), (-F.col("u")).alias("_u1"), F.lit(True).alias("_r0"), (F.col("round") < 3).alias("_r1"))
+    found = [{tuple(r) for r in of(some, {0: "_u0", 1: "_u1"}, 1203, 7, K, K).groupBy(*K, "driver", "_of").agg(F.sum("_podium"), F.sum("_top")).collect()}
+             for of in (hashed.hashed_draws, hashed.ranked_draws)]
+    assert found[0] == found[1] and len(found[0]) > 60
+    spark.conf.set("spark.formbook.hotGroupRows", str(hot))
+    try:
+        got = {tuple(r) for r in probability.drawn_shares(df, {"": F.col("u")}, 600).collect()}
+    finally:
+        spark.conf.unset("spark.formbook.hotGroupRows")
+    assert max(r[4] for r in got) == 1.0 and len(got) > 30
